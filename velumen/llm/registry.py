@@ -4,16 +4,84 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velumen.llm import packing
+from velumen.llm import chat, mixing, packing, tiff
 from velumen.llm.scratch import table
 
 
+def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_media_digest(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, [("user", said), ("assistant", said)])], "conv_id long, messages array<struct<role: string, content: string>>")
+    turns = chat.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(chat.canonical_turns(probe))
+    return chat.chat_digest(chat.format_chat(turns))
+
+
+def op6_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken()
+
+
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_tiff_pages": op1_tiff_pages,
+    "op5_chat_fingerprint": op5_chat_fingerprint,
+    "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
     "op9_vector_packing": op9_vector_packing,
 }
 
-ORACLES: dict[str, str] = {}
+_OP5 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, length(regexp_replace(role || text, '[^\\<\[\]]', '', 'g')) AS escaped FROM rows
+)
+SELECT conv_id,
+  count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(7 + length(role) + length(text) + escaped) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+_OP6 = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+  FROM documents
+), per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [5.0, 2.0, 1.0]::DOUBLE[][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight,
+    source_size * 3.0::DOUBLE AS most FROM per
+), levels AS (
+  SELECT *, most / weight AS full_at, row_number() OVER o AS place,
+    (sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW o AS (ORDER BY most / weight, source NULLS LAST)
+), aims AS (
+  SELECT source, source_size,
+    least(most, coalesce(weight * (SELECT arg_min(level, place) FROM levels WHERE level <= full_at), most)) AS target
+  FROM levels
+), line AS (
+  SELECT s.*, a.source_size, a.target, CAST(round(a.target) AS BIGINT) AS take,
+    sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS place_at
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
+)
+SELECT doc_id, size, source_size, target, source,
+  CAST(CASE WHEN size = 0 THEN 0 ELSE take // source_size * size
+    + greatest(0, least(size, take % source_size - place_at)) END AS BIGINT) AS taken
+FROM line
+"""
+
+ORACLES = {
+    "op5_chat_fingerprint": _OP5,
+    "op6_low_discrepancy_mix": _OP6,
+}
