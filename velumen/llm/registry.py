@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velumen.llm import chat, mixing, packing, tiff
+from velumen.llm import chat, langid, mixing, packing, tiff, toxicity
 from velumen.llm.scratch import table
 
 
@@ -12,6 +12,10 @@ def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, [("user", said), ("assistant", said)])], "conv_id long, messages array<struct<role: string, content: string>>")
@@ -23,14 +27,20 @@ def op6_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_tiff_pages": op1_tiff_pages,
+    "op2_nearest_centroid_language": op2_nearest_centroid_language,
     "op5_chat_fingerprint": op5_chat_fingerprint,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
+    "op8_toxic_segments": op8_toxic_segments,
     "op9_vector_packing": op9_vector_packing,
 }
 
@@ -59,8 +69,8 @@ WITH sized AS (
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
-  SELECT *, [5.0, 2.0, 1.0]::DOUBLE[][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight,
-    source_size * 3.0::DOUBLE AS most FROM per
+  SELECT *, CAST(list_extract([5.0, 2.0, 1.0], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)) AS DOUBLE) AS weight,
+    CAST(source_size * 3 AS DOUBLE) AS most FROM per
 ), levels AS (
   SELECT *, most / weight AS full_at, row_number() OVER o AS place,
     (sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))

@@ -16,8 +16,11 @@ BLOCK = 2 << 20
 
 U = np.uint64
 _BASE, _ROLL = 0x9E6C63D0876A9A35, 0xD1342543DE82EF95
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All bytes but ASCII letters and those of multi-byte characters.
+NO_LETTER = np.ones(256, dtype=bool)
+NO_LETTER[65:91] = NO_LETTER[97:123] = NO_LETTER[128:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
@@ -46,7 +49,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def blocks(text: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(text: pa.Array, size: int = BLOCK, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of each row's bytes) of consecutive rows; null is empty text."""
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
@@ -61,14 +64,14 @@ def blocks(text: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.nda
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(off, off[at] + size, side="right")) - 1)
+        end = min(at + rows, max(at + 1, int(np.searchsorted(off, off[at] + size, side="right")) - 1))
         yield at, end, data[off[at] : off[end]], off[at : end + 1] - off[at]
         at = end
 
 
-def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in a block, and the offsets of each row's words."""
-    ink = ~_SPACE[data]
+def spans(data: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in a block, and the offsets of each row's words. between: bytes that part words."""
+    ink = ~between[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[off] = True
     before = np.zeros(len(data), dtype=bool)
