@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velumen.llm import chat, langid, mixing, packing, repeats, tiff, toxicity
+from velumen.llm import chat, langid, minhash, mixing, packing, repeats, tiff, toxicity
 from velumen.llm.scratch import table
 
 
@@ -20,6 +20,10 @@ def op3_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, [("user", said), ("assistant", said)])], "conv_id long, messages array<struct<role: string, content: string>>")
@@ -43,6 +47,7 @@ QUERIES = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_nearest_centroid_language": op2_nearest_centroid_language,
     "op3_recompression_dedup": op3_recompression_dedup,
+    "op4_bbit_minhash": op4_bbit_minhash,
     "op5_chat_fingerprint": op5_chat_fingerprint,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
     "op8_toxic_segments": op8_toxic_segments,
