@@ -186,7 +186,8 @@ def known_labels(labels: DataFrame, fold: tuple[int, int]) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, *, fold: tuple[int, int] = (4, 2), sample: int = 8000, prior: float = 20_000.0, errors: float = 2.5, alpha: float = 0.05) -> Model:
     """Three quarters of the training labels count tokens; of the rest, about `sample` rows fit the constants and the curve."""
     texts, known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), known_labels(labels, fold)
-    counts = token_counts(texts.join(known.where(~F.col("calibrates")), "doc_id", "left"))
+    # Texts meet labels by a shuffle at every size; labels grow with the corpus, so they are not sent around.
+    counts = token_counts(texts.join(known.where(~F.col("calibrates")).hint("merge"), "doc_id", "left"))
     n, ones, calibrating = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), F.count_if("calibrates")).first()
     model = Model(np.zeros(SIZE + 1), 0.0, 1.0, np.zeros(0), ones / n if n else 0.0, alpha)
     if not counts[0].sum() or not counts[1].sum() or not calibrating:
