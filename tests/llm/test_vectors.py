@@ -1,0 +1,67 @@
+import numpy as np
+import pytest
+
+from velumen.llm import vectors
+
+
+def brute(rows, cosine=0.95):
+    """vec_id -> (links, component, kept) of distinct ids."""
+    ok = {i: np.array(v, dtype=np.float64) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    ids = sorted(ok)
+    root = {i: i for i, _ in rows}
+    links = dict.fromkeys(root, 0)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] / np.linalg.norm(ok[a]) / np.linalg.norm(ok[b]) >= cosine:
+                links[a] += 1
+                links[b] += 1
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (links[i], find(i), find(i) == i) for i, _ in rows}
+
+
+def corpus(seed, n=300, dim=16):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n // 3, dim))
+    rows = [(int(i), (base[rng.integers(len(base))] * 3 + rng.normal(size=dim) * rng.choice([0.01, 0.5, 0.9])).astype(np.float32).tolist()) for i in range(n)]
+    return rows + [(n + i, rows[i][1]) for i in range(10)]
+
+
+def run(spark, rows, **kw):
+    df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<float>, size int").repartition(3)
+    return vectors.near_duplicates(df, **kw).collect()
+
+
+@pytest.mark.parametrize("shard", [1500, 40])
+def test_recall_and_precision(spark, monkeypatch, shard):
+    monkeypatch.setattr(vectors, "SHARD", shard)
+    rows = corpus(4)
+    want, got = brute(rows), {r.vec_id: (r.n_links, r.component_id, r.kept) for r in run(spark, rows)}
+    assert set(got) == set(want)
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(g[0] for g in got.values()) >= 0.97 * sum(w[0] for w in want.values())
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+
+
+def test_defined_cases(spark):
+    nan = float("nan")
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [nan, 1.0]), (7, [float("inf"), 1.0]), (8, []), (9, [1.0, 0.0, 0.0]), (10, [1.0, 0.0]), (11, [0.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in run(spark, [*rows, (None, [1.0, 0.0])])}
+    assert got.pop(None) == (0, None, True)
+    assert got == brute(rows)
+    assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_one_tight_group_over_many_blocks():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=12) + rng.normal(size=(400, 12)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    adj = vectors.pruned(x, 1)
+    found = vectors.in_range(x, adj, 0.95, 32)
+    assert found.sum() >= 0.99 * 400 * 399

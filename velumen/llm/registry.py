@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velumen.llm import chat, langid, minhash, mixing, packing, repeats, tiff, toxicity
-from velumen.llm.scratch import table
+from velumen.llm import chat, langid, minhash, mixing, packing, repeats, sharding, tiff, toxicity, vectors
+from velumen.llm.scratch import Scratch, table
 
 
 def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op7_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,10 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.stored_digest(table(spark, sf_dir, "documents"), Scratch(spark, "store").root)
+
+
 QUERIES = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_nearest_centroid_language": op2_nearest_centroid_language,
@@ -50,8 +58,10 @@ QUERIES = {
     "op4_bbit_minhash": op4_bbit_minhash,
     "op5_chat_fingerprint": op5_chat_fingerprint,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
+    "op7_robust_pruned_graph": op7_robust_pruned_graph,
     "op8_toxic_segments": op8_toxic_segments,
     "op9_vector_packing": op9_vector_packing,
+    "op10_tiered_compaction": op10_tiered_compaction,
 }
 
 _OP5 = r"""
@@ -101,7 +111,13 @@ SELECT doc_id, size, source_size, target, source,
 FROM line
 """
 
+_OP10 = """
+SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, lang, source
+FROM documents
+"""
+
 ORACLES = {
     "op5_chat_fingerprint": _OP5,
     "op6_low_discrepancy_mix": _OP6,
+    "op10_tiered_compaction": _OP10,
 }
