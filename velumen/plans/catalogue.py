@@ -1,4 +1,448 @@
 """Registered catalogue queries and their DuckDB oracles."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from velumen.functions import blurhash, encoder, shape, vector
+from velumen.operators import auth, events, pairs, reindex, search, stats
+from velumen.sources import catalog, schema
+from velumen.streaming import events as streaming
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+_IMAGES = f"image AS ({schema.IMAGE_DUCK})"
+_VISIBLE = "searchable IS TRUE AND deleted IS FALSE"
+_DISTANCE = """CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL ELSE
+  greatest(0.0, least(2.0, 1 - list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))
+    / (sqrt(list_sum(list_transform({a}, lambda x: x * x))) * sqrt(list_sum(list_transform({b}, lambda x: x * x)))))) END"""
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _event_now():
+    return F.expr(f"TIMESTAMP_NTZ '{schema.NOW_EVENTS}'")
+
+
+def _session_now():
+    return F.expr(f"TIMESTAMP_NTZ '{schema.NOW_SESSIONS}'")
+
+
+# Gallery, lookup and search -------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_IMAGES} SELECT id, source, extension, from_old_database FROM image WHERE {_VISIBLE}
+ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id LIMIT 54""")
+def random_gallery_seeded(spark, sf_dir):
+    return search.random_gallery(schema.images(spark, sf_dir), seed=42)
+
+
+@query()
+def random_gallery(spark, sf_dir):
+    return search.random_gallery(schema.images(spark, sf_dir))
+
+
+@query(f"WITH {_IMAGES} SELECT id, source, extension, searchable, deleted FROM image WHERE id = 10")
+def image_by_id(spark, sf_dir):
+    return search.by_id(schema.images(spark, sf_dir), 10).select("id", "source", "extension", "searchable", "deleted")
+
+
+def _similar_sql(target: int, limit: int) -> str:
+    d = _DISTANCE.format(a="i.embedding", b="t.embedding")
+    return f"""WITH {_IMAGES}, target AS (SELECT embedding FROM image WHERE id = {target} AND deleted IS FALSE)
+SELECT i.id, round({d}, 6) AS distance FROM image i CROSS JOIN target t
+WHERE {_VISIBLE} AND i.id <> {target} ORDER BY distance NULLS LAST, i.id LIMIT {limit}"""
+
+
+@query(_similar_sql(1, 96))
+def similar_by_id(spark, sf_dir):
+    return search.similar(schema.images(spark, sf_dir), 1, digits=6)
+
+
+@query(_similar_sql(10, 96))
+def similar_to_unsearchable(spark, sf_dir):
+    return search.similar(schema.images(spark, sf_dir), 10, digits=6)
+
+
+@query(_similar_sql(1, 100_000))
+def similar_null_tail(spark, sf_dir):
+    return search.similar(schema.images(spark, sf_dir), 1, digits=6, limit=100_000)
+
+
+@query(
+    f"""SELECT 0 AS rank, CAST(1 AS BIGINT) AS id, CAST(NULL AS DOUBLE) AS distance
+UNION ALL SELECT CAST(row_number() OVER (ORDER BY distance NULLS LAST, id) AS INT), id, distance FROM ({_similar_sql(1, 96)})"""
+)
+def similar_with_target_first(spark, sf_dir):
+    return search.with_target_first(schema.images(spark, sf_dir), 1, digits=6)
+
+
+
+@query("SELECT 0 AS rank, CAST(7 AS BIGINT) AS id, CAST(NULL AS DOUBLE) AS distance")
+def similar_deleted_target(spark, sf_dir):
+    return search.with_target_first(schema.images(spark, sf_dir), 7, digits=6)
+
+
+def _query_vector(spark, sf_dir) -> list[float]:
+    return [float(x) for x in _table(spark, sf_dir, "embeddings").where("vec_id = 1").first().embedding]
+
+
+_NEAR = f"""WITH {_IMAGES}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 1),
+far AS (SELECT id, extension, source, round({_DISTANCE.format(a='embedding', b='v')}, 6) AS distance FROM image CROSS JOIN q WHERE {_VISIBLE})
+SELECT id, extension, source, distance FROM far WHERE distance <= {{t}}"""
+
+
+@query(_NEAR.format(t=0.765))
+def search_by_vector_threshold(spark, sf_dir):
+    return search.within(schema.images(spark, sf_dir), _query_vector(spark, sf_dir), digits=6)
+
+
+@query(_NEAR.format(t=0.8))
+def search_wider_threshold(spark, sf_dir):
+    return search.within(schema.images(spark, sf_dir), _query_vector(spark, sf_dir), threshold=0.8, digits=6)
+
+
+@query()
+def search_by_text(spark, sf_dir):
+    return search.search_text(schema.images(spark, sf_dir), "the golden compass", encoder.HashEncoder(64), threshold=2.0)
+
+
+@query(f"""SELECT id, '{{"versions":{{"png":{{"original":"{shape.DEFAULT_PREFIX}/original/' || id || '.' || extension || '"}}}}}}' AS json FROM ({_NEAR.format(t=0.765)}) WHERE extension IS NOT NULL""")
+def cover_bytext_json(spark, sf_dir):
+    found = search.within(schema.images(spark, sf_dir), _query_vector(spark, sf_dir), digits=6)
+    return search.api_json(found.where("extension is not null"))
+
+
+# Pairs ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_IMAGES} SELECT a.id AS id1, b.id AS id2, round({_DISTANCE.format(a='a.embedding', b='b.embedding')}, 6) AS distance
+FROM image a JOIN image b ON a.id < b.id""")
+def image_neighbor(spark, sf_dir):
+    return pairs.image_neighbor(schema.images(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH {_IMAGES}, seen AS (SELECT * FROM image WHERE {_VISIBLE})
+SELECT a.id AS id1, a.source AS source1, b.id AS id2, b.extension AS extension2, round({_DISTANCE.format(a='a.embedding', b='b.embedding')}, 6) AS distance
+FROM seen a JOIN seen b ON a.id < b.id ORDER BY distance NULLS LAST, id1, id2 LIMIT 48""")
+def near_duplicates(spark, sf_dir):
+    top = pairs.near_duplicates(schema.images(spark, sf_dir))
+    return top.select(F.col("image1.id").alias("id1"), F.col("image1.source").alias("source1"), F.col("image2.id").alias("id2"), F.col("image2.extension").alias("extension2"), F.round("distance", 6).alias("distance"))
+
+
+# Statistics -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_IMAGES} SELECT CAST(count(*) AS INT) AS total, CAST(count(*) FILTER (WHERE deleted = TRUE) AS INT) AS deleted,
+CAST(count(*) FILTER (WHERE searchable = TRUE) AS INT) AS searchable FROM image""")
+def image_overall_stats(spark, sf_dir):
+    return stats.overall(schema.images(spark, sf_dir))
+
+
+@query(f"""WITH {_IMAGES} SELECT extension, CAST(count(*) AS INT) AS count FROM image WHERE extension IS NOT NULL
+GROUP BY extension ORDER BY count DESC, extension LIMIT 10""")
+def images_by_extension(spark, sf_dir):
+    return stats.by_extension(schema.images(spark, sf_dir))
+
+
+@query(f"""SELECT CAST(count(*) AS INT) AS total_events, CAST(count(*) FILTER (WHERE event_type = 'click') AS INT) AS deleted_events,
+CAST(count(*) FILTER (WHERE event_type = 'view') AS INT) AS undeleted_events,
+CAST(count(*) FILTER (WHERE ts > TIMESTAMP '{schema.NOW_EVENTS}' - INTERVAL 7 DAYS) AS INT) AS recent_events FROM events""")
+def analytics_stats(spark, sf_dir):
+    return stats.analytics(schema.events(spark, sf_dir), _event_now(), deleted="click", undeleted="view")
+
+
+@query(f"""WITH {_IMAGES} SELECT round(count(*) FILTER (WHERE deleted) / count(*) * 100, 1) AS deleted_percent,
+round(count(*) FILTER (WHERE searchable) / count(*) * 100, 1) AS searchable_percent FROM image""")
+def percent_of_total(spark, sf_dir):
+    return stats.percentages(schema.images(spark, sf_dir))
+
+
+@query("SELECT 'ok' AS status")
+def heartbeat(spark, sf_dir):
+    return stats.heartbeat(spark)
+
+
+# Sessions -------------------------------------------------------------------------------------------------------
+
+_LIVE = f"""SELECT o_orderkey AS session_id, c_name AS username FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE o_orderdate + INTERVAL 1 DAY > TIMESTAMP '{schema.NOW_SESSIONS}'"""
+
+
+@query(f"{_LIVE} AND c_name = 'Customer#000000001'")
+def session_auth(spark, sf_dir):
+    return auth.authenticated(schema.sessions(spark, sf_dir), schema.users(spark, sf_dir), _session_now(), username="Customer#000000001")
+
+
+@query(_LIVE)
+def sessions_live(spark, sf_dir):
+    return auth.authenticated(schema.sessions(spark, sf_dir), schema.users(spark, sf_dir), _session_now())
+
+
+@query("SELECT c_custkey AS id, c_name AS username FROM customer WHERE c_name = 'Customer#000000007'")
+def login_lookup(spark, sf_dir):
+    return auth.lookup(schema.users(spark, sf_dir), "Customer#000000007")
+
+
+@query(f"""SELECT 'new-' || CAST(c_custkey AS VARCHAR) AS session_id, c_custkey AS user_id, TIMESTAMP '{schema.NOW_SESSIONS}' + INTERVAL 1 DAY AS expires_at
+FROM customer WHERE c_custkey <= 20""")
+def session_insert_expiry(spark, sf_dir):
+    logins = schema.users(spark, sf_dir).where("id <= 20").select(F.concat(F.lit("new-"), F.col("id").cast("string")).alias("session_id"), F.col("id").alias("user_id"))
+    return auth.new_sessions(logins, _session_now())
+
+
+@query("""SELECT o_orderkey AS session_id, o_custkey AS user_id FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM orders e WHERE e.o_orderpriority = '1-URGENT' AND e.o_orderkey = o.o_orderkey)""")
+def session_delete(spark, sf_dir):
+    ended = _table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("session_id"))
+    return auth.end_session(schema.sessions(spark, sf_dir), ended).select("session_id", "user_id")
+
+
+@query("SELECT o_orderkey AS session_id, o_custkey AS user_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def session_cascade(spark, sf_dir):
+    return schema.cascade_sessions(schema.sessions(spark, sf_dir), schema.users(spark, sf_dir).where("id % 2 = 0")).select("session_id", "user_id")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey AS VARCHAR) END AS session_id,
+CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS username FROM customer""")
+def cookie_round_trip(spark, sf_dir):
+    good = shape.encode_cookie(F.col("id"), F.col("username"))
+    bad = F.when(F.col("id") % 10 == 0, F.lit("not base64!")).otherwise(F.base64(F.encode(F.lit("{broken"), "UTF-8")))
+    cookie = shape.decode_cookie(F.when(F.col("id") % 5 == 0, bad).otherwise(good))
+    return schema.users(spark, sf_dir).select("id", cookie.alias("c")).select("id", F.col("c.sessionId").alias("session_id"), F.col("c.username").alias("username"))
+
+
+# Embedding backlog ----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_IMAGES} SELECT id, source FROM image WHERE embedding IS NULL ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id LIMIT 10")
+def reindex_backlog(spark, sf_dir):
+    return reindex.backlog(schema.images(spark, sf_dir), seed=42).select("id", "source")
+
+
+@query(f"WITH {_IMAGES} SELECT id, embedding IS NULL AS was_missing, false AS is_missing FROM image")
+def reindex_in_one_pass(spark, sf_dir):
+    images = schema.images(spark, sf_dir)
+    new = reindex.embedded(images, encoder.HashEncoder(64))
+    done = reindex.reindexed(images.withColumn("was_missing", F.col("embedding").isNull()), new)
+    return done.select("id", "was_missing", F.col("embedding").isNull().alias("is_missing"))
+
+
+# Events ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH top AS (SELECT coalesce(max(event_id), 0) AS m FROM events), new AS (
+  SELECT 'imageDownloaded' AS event_type, '{{"id":"' || CAST(vec_id AS VARCHAR) || '"}}' AS payload FROM embeddings WHERE vec_id < 25)
+SELECT m + row_number() OVER (ORDER BY event_type, payload) AS id, event_type, payload, TIMESTAMP '{schema.NOW_EVENTS}' AS created_at FROM new, top""")
+def event_append(spark, sf_dir):
+    new = _table(spark, sf_dir, "embeddings").where("vec_id < 25").select(F.lit("imageDownloaded").alias("event_type"), events.payload("imageDownloaded", id=F.col("vec_id").cast("string")).alias("payload"))
+    return events.append(schema.events(spark, sf_dir), new, _event_now())
+
+
+@query("SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def event_payload_json(spark, sf_dir):
+    return schema.events(spark, sf_dir).select("id", F.get_json_object("payload", "$.k").cast("long").alias("k"))
+
+
+def _changes(spark, sf_dir, on, off):
+    e = schema.events(spark, sf_dir).where("event_type in ('click', 'view')")
+    return e.select("id", (F.col("id") % 500).alias("image_id"), F.when(F.col("event_type") == "click", on).otherwise(off).alias("event_type"), "created_at")
+
+
+def _overlay_sql(flag: str) -> str:
+    return f"""WITH {_IMAGES}, last AS (
+  SELECT event_id % 500 AS image_id, arg_max(event_type, (ts, event_id)) AS t FROM events WHERE event_type IN ('click', 'view') GROUP BY 1)
+SELECT id, CASE WHEN t IS NULL THEN {flag} ELSE t = 'click' END AS {flag} FROM image LEFT JOIN last ON id = image_id"""
+
+
+@query(_overlay_sql("deleted"))
+def flag_overlay_after_events(spark, sf_dir):
+    return events.with_deleted(schema.images(spark, sf_dir), _changes(spark, sf_dir, "imageDeleted", "imageUndeleted")).select("id", "deleted")
+
+
+@query(_overlay_sql("searchable"))
+def searchable_overlay_after_events(spark, sf_dir):
+    return events.with_searchable(schema.images(spark, sf_dir), _changes(spark, sf_dir, "setImageSearchable", "setImageNotSearchable")).select("id", "searchable")
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    w = streaming.counts_by_window(schema.events(spark, sf_dir))
+    return w.select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+# Shaping --------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_IMAGES} SELECT id, CASE WHEN starts_with(source, 'https://reddit.com/') THEN 'https://redd.it/' || substr(source, 20) ELSE coalesce(source, '') END AS source FROM image""")
+def url_rewrite(spark, sf_dir):
+    return schema.images(spark, sf_dir).select("id", shape.rewrite_source(F.col("source")).alias("source"))
+
+
+_P = shape.DEFAULT_PREFIX
+
+
+@query(f"""WITH {_IMAGES} SELECT id, '{_P}/original/' || id || '.' || extension AS url,
+{', '.join(f"'{_P}/{k}/{w}/' || id || '.{e}' AS {k}_{w}" for k, e in shape.FORMATS.items() for w in shape.WIDTHS)} FROM image""")
+def image_urls(spark, sf_dir):
+    s = schema.images(spark, sf_dir).select("id", shape.shaped(F.col("id"), F.col("source"), F.col("extension")).alias("s"))
+    return s.select("id", "s.url", *[F.col(f"s.{k}.`{w}`").alias(f"{k}_{w}") for k in shape.FORMATS for w in shape.WIDTHS])
+
+
+@query(f"""WITH {_IMAGES} SELECT id, CASE WHEN source IS NULL OR split_part(source, '/', -1) = '' THEN 'cover' ELSE split_part(source, '/', -1) END AS filename FROM image""")
+def filename(spark, sf_dir):
+    return schema.images(spark, sf_dir).select("id", shape.filename(F.col("source")).alias("filename"))
+
+
+@query(f"""WITH {_IMAGES} SELECT id, '{{' || concat_ws(',', '"id":' || id, CASE WHEN searchable IS NULL THEN NULL ELSE '"searchable":' || searchable END) || '}}' AS json FROM image""")
+def optional_fields_json(spark, sf_dir):
+    return schema.images(spark, sf_dir).select("id", F.to_json(F.struct("id", "searchable")).alias("json"))
+
+
+@query("SELECT vec_id AS i, vec_id % 15 IN (1, 9, 10) AS large, vec_id % 7 = 3 AS medium FROM embeddings")
+def layout_flags(spark, sf_dir):
+    i = F.col("vec_id")
+    return _table(spark, sf_dir, "embeddings").select(i.alias("i"), shape.wide_cell(i, True).alias("large"), shape.wide_cell(i, False).alias("medium"))
+
+
+@query("SELECT c_custkey AS id, format('{:,}', c_custkey * 1000) AS grouped, round(c_acctbal, 1) AS one_digit FROM customer")
+def number_format(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.format_number(F.col("c_custkey") * 1000, 0).alias("grouped"), F.round("c_acctbal", 1).alias("one_digit"))
+
+
+@query("""WITH t AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '12.5' END AS raw FROM customer)
+SELECT id, CASE raw WHEN 'true' THEN true WHEN 'false' THEN false END AS flag, TRY_CAST(raw AS DOUBLE) AS number, false AS uuid FROM t""")
+def value_validation(spark, sf_dir):
+    raw = F.when(F.col("id") % 4 == 0, "true").when(F.col("id") % 4 == 1, "false").when(F.col("id") % 4 == 2, "12.5")
+    t = schema.users(spark, sf_dir).select("id", raw.alias("raw"))
+    return t.select("id", shape.parse_bool(F.col("raw")).alias("flag"), shape.parse_number(F.col("raw")).alias("number"), F.coalesce(shape.is_uuid(F.col("raw")), F.lit(False)).alias("uuid"))
+
+
+@query(f"""WITH {_IMAGES} SELECT id, round(list_sum(list_transform(embedding, lambda x: (2 * x) * (2 * x))), 6) AS squared, len(embedding) AS dims FROM image""")
+def vector_parse_normalize(spark, sf_dir):
+    doubled = F.to_json(F.transform("embedding", lambda x: 2 * x))
+    v = schema.images(spark, sf_dir).select("id", vector.parse(doubled, 64).alias("v"))
+    again = F.transform(vector.l2_normalize(F.col("v")), lambda x: x * vector.norm(F.col("v")))
+    return v.select("id", F.round(vector.dot(again, F.col("v")), 6).alias("squared"), F.when(F.col("v").isNotNull(), F.size("v")).cast("long").alias("dims"))
+
+
+# Encoder --------------------------------------------------------------------------------------------------------
+
+_LINES = r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS x FROM documents),
+l AS (SELECT doc_id, string_split(x, chr(10)) AS parts FROM t WHERE x <> '')
+SELECT doc_id, CAST(i - 1 AS INT) AS line, md5(parts[i]) AS input_md5, CASE WHEN regexp_matches(parts[i], '^https?://') THEN 'image' ELSE 'text' END AS kind
+FROM l, LATERAL unnest(range(1, len(parts) + 1)) AS u(i)"""
+
+
+@query(_LINES)
+def encoder_dispatch_lines(spark, sf_dir):
+    d = encoder.dispatch(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "line", F.md5("input").alias("input_md5"), "kind")
+
+
+@query()
+def embed_text(spark, sf_dir):
+    inputs = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("input"))
+    return encoder.embed_column(inputs, encoder.HashEncoder(64)).select("item_id", "embedding")
+
+
+#: Valid hashes to decode, by number.
+_HASHES = ("LEHV6nWB2yk8pyo0adR*.7kCMdnj", "LGF5]+Yk^6#M@-5c,1J5@[or[Q6.", "L6PZfSi_.AyE_3t7t7R**0o#DgR4", "LKO2?U%2Tw=w]~RBVZRi};RPxuwH")
+
+
+def _hashed(spark, sf_dir):
+    pick = F.element_at(F.array(*map(F.lit, _HASHES)), (F.col("id") % len(_HASHES) + 1).cast("int"))
+    return schema.images(spark, sf_dir).select("id", pick.alias("hash"))
+
+
+@query()
+def blurhash_png(spark, sf_dir):
+    return _hashed(spark, sf_dir).select("id", blurhash.data_url_column(F.col("hash")).alias("url"))
+
+
+@query()
+def primary_color(spark, sf_dir):
+    c = _hashed(spark, sf_dir).select("id", blurhash.primary_colour_column(F.col("hash")).alias("c"))
+    return c.select("id", F.round("c.h", 3).alias("h"), F.round("c.s", 3).alias("s"), F.round("c.l", 3).alias("l"), shape.shadow(F.col("c.h"), F.col("c.s"), F.col("c.l")).alias("shadow"))
+
+
+# Catalogue ------------------------------------------------------------------------------------------------------
+
+#: References among the test tables: table, referenced table.
+EDGES = [("nation", "region"), ("customer", "nation"), ("supplier", "nation"), ("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier")]
+TABLES = ["customer", "lineitem", "nation", "orders", "part", "region", "supplier"]
+
+
+@query(f"""WITH RECURSIVE edges(t, r) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in EDGES)}),
+tables(t) AS (VALUES {', '.join(f"('{t}')" for t in TABLES)}),
+depth(t, d) AS (SELECT t, 0 FROM tables UNION SELECT e.t, d + 1 FROM edges e JOIN depth ON e.r = depth.t)
+SELECT t AS table_name, CAST(row_number() OVER (ORDER BY max(d), t) AS INT) AS position FROM depth GROUP BY t""")
+def fk_load_order(spark, sf_dir):
+    order = catalog.load_order(TABLES, EDGES)
+    return spark.createDataFrame([(t, i + 1) for i, t in enumerate(order)], "table_name string, position int")
+
+
+@query("SELECT coalesce(max(event_id), 0) AS max_id, coalesce(max(event_id), 0) + 1 AS next_id FROM events")
+def max_id_resync(spark, sf_dir):
+    return catalog.next_id(schema.events(spark, sf_dir), "id")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def not_in_catalog(spark, sf_dir):
+    return catalog.not_in(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", _table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query("""SELECT c_mktsegment, count(*) AS n, array_to_string(list_sort(list(c_name)), ',') AS names,
+CAST(len(list_filter(list(c_name), lambda x: x <> 'Customer#000000001')) AS INT) AS others, bool_or(c_name = 'Customer#000000001') AS has_first FROM customer GROUP BY c_mktsegment""")
+def array_ops(spark, sf_dir):
+    g = _table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("c_name")).alias("l"))
+    first = F.lit("Customer#000000001")
+    return g.select("c_mktsegment", "n", F.array_join("l", ",").alias("names"), F.size(catalog.without(F.col("l"), first)).alias("others"), F.array_contains("l", first).alias("has_first"))
+
+
+@query(r"""WITH v AS (SELECT c_custkey AS id, 'SELECT * FROM prod.t' || c_custkey || CASE c_custkey % 4 WHEN 0 THEN ' WITH NO DATA;' WHEN 1 THEN ' with data' WHEN 2 THEN ';' ELSE '' END AS sql FROM customer)
+SELECT id, regexp_replace(regexp_replace(sql, '\s+with\s+(no\s+)?data\s*;?\s*$', '', 'i'), ';\s*$', '') AS sql FROM v""")
+def regex_strip(spark, sf_dir):
+    k = F.col("id") % 4
+    tail = F.when(k == 0, " WITH NO DATA;").when(k == 1, " with data").when(k == 2, ";").otherwise("")
+    return schema.users(spark, sf_dir).select("id", shape.strip_view_tail(F.concat(F.lit("SELECT * FROM prod.t"), F.col("id").cast("string"), tail)).alias("sql"))
+
+
+@query("""WITH v AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'nextval(prod.' || n_name || ')' ELSE n_name END AS d FROM nation)
+SELECT id, d LIKE '%prod.%' AS mentions, replace(d, 'prod.', 'dev.') AS moved FROM v""")
+def catalog_like(spark, sf_dir):
+    d = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("nextval(prod."), F.col("n_name"), F.lit(")"))).otherwise(F.col("n_name"))
+    v = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), d.alias("d"))
+    return v.select("id", catalog.mentions(F.col("d"), F.lit("prod")).alias("mentions"), catalog.requalified(F.col("d"), "prod", "dev").alias("moved"))
+
+
+@query("""SELECT r_name, n_name, count(c_custkey) AS customers FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
+WHERE r_name IN ('ASIA', 'EUROPE') AND n_nationkey <> 0 GROUP BY r_name, n_name ORDER BY r_name, n_name""")
+def multiway_join(spark, sf_dir):
+    r, n, c = (_table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    joined = r.where(F.col("r_name").isin("ASIA", "EUROPE")).join(n.where("n_nationkey != 0"), F.col("n_regionkey") == F.col("r_regionkey")).join(c, F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy("r_name", "n_name").agg(F.count("c_custkey").alias("customers")).orderBy("r_name", "n_name")
+
+
+@query("""SELECT 'unique(o_orderkey)' AS rule, CAST(0 AS BIGINT) AS n WHERE false
+UNION ALL SELECT 'references(o_custkey, customer.c_custkey)', count(*) FROM orders WHERE o_custkey % 3 = 0""")
+def constraint_violations(spark, sf_dir):
+    rules = schema.Constraints(key=("o_orderkey",), references={"o_custkey": ("customer", "c_custkey")})
+    parents = _table(spark, sf_dir, "customer").where("c_custkey % 3 != 0")
+    return schema.violations(_table(spark, sf_dir, "orders"), rules, {"customer": parents})
