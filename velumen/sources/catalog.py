@@ -10,7 +10,7 @@ from velumen.functions.shape import quote_ident
 
 def tables(spark: SparkSession, database: str) -> DataFrame:
     """(name, kind) of a database's tables and views."""
-    found = [(t.name, "view" if "VIEW" in t.tableType else "table") for t in spark.catalog.listTables(database)]
+    found = [(t.name, "view" if "VIEW" in t.tableType else "table") for t in spark.catalog.listTables(database) if not t.isTemporary]
     return spark.createDataFrame(found, "name string, kind string")
 
 
