@@ -7,8 +7,10 @@ and pairs more than five standard errors below the threshold go. The rest are co
 
 Groups are resolved without listing their pairs. First every member of a band bucket meets the bucket's least member
 (a star). Confirmed links make components; a bucket within one component is done. In the other buckets only members of
-different components are compared, block by block, by their packed signatures. A miss needs two sets of similarity
-0.75 or more that share none of 32 bands: five in a million at the threshold itself.
+different components are compared, block by block, by their packed signatures, and what comes of it is which document
+may join which larger component. Its full set then meets the sets of all members of that component, block by block,
+through an index of shingles. A miss needs two sets of similarity 0.75 or more that share none of 32 bands: five in a
+million at the threshold itself.
 
 Defined results: documents without words, null text or null id have no links; fewer words than a shingle make the
 whole sequence one shingle; rows with one id are one node, whatever their texts; repeated rows repeat; an empty table
@@ -122,9 +124,9 @@ def _estimate(a: str, b: str) -> Column:
     return ((1 - differ / MINIMA) - chance) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of document ids, those whose full sets are similar enough."""
-    ids = scratch.keep(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+def full_sets(ids: DataFrame, docs: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """(doc_id, s): the whole shingle sets of the documents with these ids, written once."""
+    ids = scratch.keep(ids.distinct(), "ids")
     chosen = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +135,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, perce
                 values, rows = shingle_sets(data, off, k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array([values[rows[i] : rows[i + 1]].tobytes() for i in range(end - at)], pa.binary())], names=["doc_id", "s"])
 
-    found = scratch.keep(docs.join(chosen, "doc_id", "left_semi").select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(sets, "doc_id long, s binary"), "sets")
+    return scratch.keep(docs.join(chosen, "doc_id", "left_semi").select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(sets, "doc_id long, s binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of document ids, those whose full sets are similar enough."""
+    found = full_sets(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), docs, scratch, k)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,14 +152,82 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, perce
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    out = scratch.keep(joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long").distinct(), "links")
-    scratch.drop(found, ids)
+    out = scratch.keep(joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
+    scratch.drop(found)
+    return out
+
+
+def grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """The groups of equal keys in batches that are sorted by them."""
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        if not t.num_rows:
+            continue
+        key = np.stack([t.column(c).to_numpy() for c in names])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        done = 0
+        for cut in cuts:
+            yield t.slice(done, int(cut) - done)
+            done = int(cut)
+        held = t.slice(done)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def joining(asked: DataFrame, label: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """Of (a, b), a document and a component it is not in, those where its full set is similar enough to a member's.
+
+    Members and documents meet in blocks; a block's sets are indexed by shingle, so that one document is compared with
+    all of them at once, and no pairs are listed.
+    """
+    named = label.unionByName(asked.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    members = scratch.keep(asked.select(F.col("b").alias("component")).distinct().join(named, "component").select(F.col("component").alias("b"), F.col("node").alias("id")), "of")
+    sizes = members.groupBy("b").agg(F.ceil(F.count("*") / (BLOCK // 2)).alias("nm")).join(asked.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("nx")), "b")
+    sizes = scratch.keep(sizes, "sizes")
+    sets = full_sets(members.select(F.col("id").alias("doc_id")).unionByName(asked.select(F.col("a").alias("doc_id"))), docs, scratch, k)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    left = members.join(sizes, "b").select("b", mine("nm").alias("p"), every("nx").alias("q"), "id", F.lit(False).alias("asks"))
+    right = asked.select("b", F.col("a").alias("id")).join(sizes, "b").select("b", mine("nx").alias("q"), every("nm").alias("p"), "id", F.lit(True).alias("asks"))
+    rows = left.unionByName(right).join(sets.withColumnRenamed("doc_id", "id"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["b", "p", "q"]):
+            asks, ids = t.column("asks").to_numpy(), t.column("id").to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s").combine_chunks()]
+            own = [sets[i] for i in np.flatnonzero(~asks)]
+            size = np.array([len(x) for x in own], dtype=np.int64)
+            if not len(size):
+                continue
+            values, who = np.concatenate(own), np.repeat(np.arange(len(own)), size)
+            order = np.argsort(values, kind="stable")
+            values, who = values[order], who[order]
+            hits = []
+            for i in np.flatnonzero(asks):
+                low, high = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(who[at], minlength=len(own))
+                if ((both > 0) & (100 * both >= percent * (size + len(sets[i]) - both))).any():
+                    hits.append(ids[i])
+            if hits:
+                yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64()), pa.array([t.column("b")[0].as_py()] * len(hits), pa.int64())], names=["a", "b"])
+
+    out = scratch.keep(rows.repartition("b", "p", "q").sortWithinPartitions("b", "p", "q").select("b", "p", "q", "id", "asks", "s").mapInArrow(run, "a long, b long"), "links")
+    scratch.drop(sets)
     return out
 
 
 def _mixed(shared: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of one bucket in different components whose estimate allows a link. shared: key, id, n, low."""
-    named = scratch.keep(shared.join(label.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id")), "named")
+    """(a, b): a member of a bucket and a larger component in it with a member whose estimate allows a link.
+
+    shared: key, id, n, low. Members of one component are not compared, and a component is named once per member.
+    """
+    sized = label.groupBy("component").agg(F.count("*").alias("size"))
+    named = shared.join(label.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = scratch.keep(named.join(sized.withColumnRenamed("component", "label"), "label", "left").withColumn("size", F.coalesce("size", F.lit(1)).cast("long")), "named")
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("m"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.sum("m").alias("rows"), F.max(F.struct("m", "label")).alias("top")).where("labels > 1")
     mixed = mixed.select("key", F.col("top.label").alias("top"), F.ceil((F.col("rows") - F.col("top.m")) / BLOCK).alias("others"), F.ceil(F.col("top.m") / BLOCK).alias("tops"))
@@ -161,47 +236,38 @@ def _mixed(shared: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     block = F.when(F.col("is_top"), F.col("others") + F.pmod(F.xxhash64("id"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others")))
     rows = rows.withColumn("block", block.cast("long"))
     meet = F.when(F.col("is_top"), F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("others") + F.col("tops") - 1))
-    rows = rows.withColumn("other", F.explode(meet)).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "label", "n", "low")
+    rows = rows.withColumn("other", F.explode(meet)).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "label", "size", "n", "low")
 
     def close(t: pa.Table) -> np.ndarray:
-        block, label, ids, n = (t.column(c).to_numpy() for c in ("block", "label", "id", "n"))
-        low = t.column("low").combine_chunks().values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+        block, label, size, ids, n = (t.column(c).to_numpy() for c in ("block", "label", "size", "id", "n"))
+        low = t.column("low").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
         p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
         left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
         out = []
         for i in range(0, len(left), 64):
             rows_ = left[i : i + 64]
             ok = (label[rows_][:, None] != label[right]) & (100 * np.minimum(n[rows_][:, None], n[right]) >= PERCENT * np.maximum(n[rows_][:, None], n[right]))
-            if p == q:
-                ok &= ids[rows_][:, None] < ids[right]
             x, y = np.nonzero(ok)
-            d = low[rows_[x]] ^ low[right[y]]
+            x, y = rows_[x], right[y]
+            d = low[x] ^ low[y]
             differ = np.bitwise_count((d | d >> tc.U(1)) & tc.U(0x5555555555555555)).sum(axis=1, dtype=np.int64)
             chance = 0.5**LOW_BITS
             fine = ((1 - differ / MINIMA) - chance) / (1 - chance) >= LEAST
-            out.append(np.stack([ids[rows_[x[fine]]], ids[right[y[fine]]]]))
-        return np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
+            x, y = x[fine], y[fine]
+            # The member of the smaller component asks the larger one; of equals, the later one asks.
+            asks = (size[x] < size[y]) | ((size[x] == size[y]) & (label[x] > label[y]))
+            pairs = np.stack([np.where(asks, ids[x], ids[y]), np.where(asks, label[y], label[x])])
+            out.append(np.unique(pairs, axis=1))
+        return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            group = np.stack([t.column(c).to_numpy() for c in ("key", "p", "q")])
-            cuts = np.append(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1, t.num_rows)
-            done = 0
-            for cut in cuts[:-1]:
-                a, b = close(t.slice(done, cut - done))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                done = int(cut)
-            held = t.slice(done)
-        if held is not None and held.num_rows:
-            a, b = close(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for t in grouped(batches, ["key", "p", "q"]):
+            a, b = close(t)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     found = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long")
-    out = scratch.keep(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "pairs")
+    out = scratch.keep(found.distinct(), "asked")
     scratch.drop(named)
     return out
 
@@ -223,11 +289,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     pairs = pairs.join(sig.toDF("a", "na", "la"), "a").join(sig.toDF("b", "nb", "lb"), "b")
     pairs = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_estimate("la", "lb") >= LEAST)).select("a", "b")
     links = confirmed(scratch.keep(pairs, "pairs"), base, scratch, shingle, percent)
-    label = scratch.keep(components(links, scratch), "labels")
+    label = components(links, scratch)
     more = _mixed(shared.select("key", "id").join(sig, "id"), label, scratch)
     if not more.isEmpty():
-        links = links.unionByName(confirmed(more, base, scratch, shingle, percent))
-        label = scratch.keep(components(links, scratch), "labels")
+        links = joining(more, label, base, scratch, shingle, percent)
+        label = components(links.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
     owner = classes.select("whole", F.col("id").alias("node")).join(label, "node", "left").select("whole", F.coalesce("component", "node").alias("component_id"))
     # Rows of one id may belong to several classes; the id's least component holds for all of them.
     out = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("whole")).alias("whole")).join(owner, "whole", "left")
