@@ -86,11 +86,12 @@ def _turns(layout: str, c) -> Column:
 
 def canonical_turns(records: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) of a typed table, by the mapping that its schema's fingerprint selects."""
-    layout = MAPPINGS.get(fingerprint(field_paths(records.schema)))
+    paths = field_paths(records.schema)
+    layout = MAPPINGS.get(fingerprint(paths))
     if layout is None and id_col in records.columns:
-        layout = MAPPINGS.get(fingerprint([p for p in field_paths(records.schema) if p != "conv_id"]))
+        layout = MAPPINGS.get(fingerprint([p for p in paths if p != "conv_id"]))
     if layout is None:
-        raise ValueError(f"no mapping for the paths {field_paths(records.schema)}")
+        raise ValueError(f"no mapping for the paths {paths}")
     if layout == "rows":
         return records.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     return records.select(F.col(id_col).alias("conv_id"), F.inline(_turns(layout, lambda x: F.col(x))))

@@ -33,6 +33,8 @@ from velumen.llm.scratch import Scratch
 BITS = 18
 SIZE = 1 << BITS
 SLICES = 64
+#: Rows of a block whose segments are searched at once.
+ROWS = 512
 
 
 #: Units of a token besides the whole: its first so many bytes, where it is longer. Inflected and compound forms share them.
@@ -141,9 +143,13 @@ class Model:
     drift: float = 0.0
 
     def token_scores(self, units: np.ndarray) -> np.ndarray:
-        """A token's score is that of its most telling unit, less the drift."""
+        """A token's score is that of its most telling unit, less the drift.
+
+        Scores are whole multiples of 1/65536, so sums are exact and do not depend on what shares a block.
+        """
         s = self.scores[units]
-        return s[np.argmax(np.abs(s), axis=0), np.arange(s.shape[1])] - self.drift
+        s = s[np.argmax(np.abs(s), axis=0), np.arange(s.shape[1])] - self.drift
+        return np.round(s * 65536) / 65536
 
     def evidence(self, s: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[tuple]]]:
         """Per row: score, number of significant passages, passages (token start, token end, score)."""
@@ -233,7 +239,7 @@ def measure(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for at, end, data, off in tc.blocks(batch.column(0)):
+            for at, end, data, off in tc.blocks(batch.column(0), rows=ROWS):
                 units, _, _, rows = tokens(data, off)
                 s, length = m.token_scores(units), np.diff(rows)
                 excess, total, lists = m.evidence(s, rows)
@@ -252,7 +258,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for batch in batches:
             rows_out: list[tuple] = []
-            for at, _, data, off in tc.blocks(batch.column(0)):
+            for at, _, data, off in tc.blocks(batch.column(0), rows=ROWS):
                 units, starts, ends, rows = tokens(data, off)
                 for i, found in enumerate(m.evidence(m.token_scores(units), rows)[2]):
                     for s, e, score in found:
