@@ -6,8 +6,9 @@ its target. Van der Corput points (slot numbers with their bits reversed) fall o
 every stretch of the schedule holds each source in proportion. Slots are ranked within their source and join, rank by
 rank and round after round, the equal-token blocks of that source's shuffled documents.
 
-Nothing is gathered but one row per source: shuffles and ranks use prefix sums over buckets of rows, whose number
-follows the input. Defined results: null or empty text has size 0 and is never taken; a null id is carried; repeated
+Nothing is gathered but two totals: shuffles and ranks use prefix sums over buckets of rows, whose number follows the
+input, and the table of sources is sent around only where Spark finds it small. Only that table, one row per source,
+is ever ordered in one task. Defined results: null or empty text has size 0 and is never taken; a null id is carried; repeated
 rows are documents of their own; an empty table gives no rows; reruns agree.
 """
 
@@ -84,28 +85,29 @@ class Mix:
         return joined.select("d.doc_id", "d.source", "d.size", "d.key", (F.col("s.start") + F.col("d.inside")).alias("at"))
 
     def slots(self, n_slots: int) -> DataFrame:
-        """(slot, source, rank): van der Corput points over the cumulated slot counts, ranked within their source."""
+        """(slot, source, source_size, take, rank): van der Corput points over the cumulated slot counts, ranked within their source."""
         want = self.sources.withColumn("n", F.ceil(F.col("take") / self.block).cast("long"))
         high = F.sum("n").over(W.orderBy(F.col("source").asc_nulls_last()))
-        want = want.select("source", (high - F.col("n")).alias("low"), high.alias("high")).where("high > low")
+        want = want.select("source", "source_size", "take", (high - F.col("n")).alias("low"), high.alias("high")).where("high > low")
+        # Sources by the stretches of slots that they touch, so that slots find theirs by an equal key.
+        want = want.withColumn("stretch", F.explode(F.sequence(F.expr(f"low div {BUCKET}"), F.expr(f"(high - 1) div {BUCKET}"))))
         bits = max(1, (max(n_slots, 1) - 1).bit_length())
         tasks = max(1, min(200_000, ceil((1 << bits) / 200_000)))
         point = F.conv(F.reverse(F.lpad(F.bin("slot"), bits, "0")), 2, 10).cast("long")
         points = self.spark.range(0, 1 << bits, 1, tasks).withColumnRenamed("id", "slot").withColumn("x", point).where(F.col("x") < n_slots)
-        drawn = points.join(F.broadcast(want), (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).select("slot", "source", (F.floor(F.col("slot") / BUCKET)).alias("chunk"))
+        points = points.withColumn("stretch", F.expr(f"x div {BUCKET}"))
+        drawn = points.join(want, "stretch").where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).select("slot", "source", "source_size", "take", (F.floor(F.col("slot") / BUCKET)).alias("chunk"))
         counts = drawn.groupBy("source", "chunk").agg(F.count("*").alias("n"))
         first = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         counts = counts.select("source", "chunk", first.alias("first")).alias("c")
         local = drawn.withColumn("local", F.row_number().over(W.partitionBy("source", "chunk").orderBy("slot")) - 1).alias("d")
-        return local.join(counts, _same(F.col("d.source"), F.col("c.source")) & (F.col("d.chunk") == F.col("c.chunk"))).select("d.slot", "d.source", (F.col("c.first") + F.col("d.local")).alias("rank"))
+        return local.join(counts, _same(F.col("d.source"), F.col("c.source")) & (F.col("d.chunk") == F.col("c.chunk"))).select("d.slot", "d.source", "d.source_size", "d.take", (F.col("c.first") + F.col("d.local")).alias("rank"))
 
     def pieces(self) -> DataFrame:
         """The mixture in order of slot: (slot, source, round, doc_id, size, key, start, words), start in words."""
         documents, n_slots = self.totals()
-        length = self.sources.select("source", "source_size", "take")
         # The stretch of the source's endless line that a slot reads, cut where its rounds end.
-        s = self.slots(n_slots).alias("s").join(F.broadcast(length).alias("n"), _same(F.col("s.source"), F.col("n.source")))
-        s = s.select("s.slot", "s.source", "n.source_size", (F.col("s.rank") * self.block).alias("low"), F.least((F.col("s.rank") + 1) * self.block, F.col("n.take")).alias("high"))
+        s = self.slots(n_slots).select("slot", "source", "source_size", (F.col("rank") * self.block).alias("low"), F.least((F.col("rank") + 1) * self.block, F.col("take")).alias("high"))
         s = s.withColumn("round", F.explode(F.sequence(F.expr("low div source_size"), F.expr("(high - 1) div source_size"))))
         low = F.greatest(F.col("low") - F.col("round") * F.col("source_size"), F.lit(0))
         high = F.least(F.col("high") - F.col("round") * F.col("source_size"), F.col("source_size"))
@@ -122,7 +124,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """Per document: doc_id, size, source_size, target, taken."""
         d = self.sizes.alias("d")
-        rows = d.join(F.broadcast(self.sources).alias("s"), _same(F.col("d.source"), F.col("s.source"))).select("d.doc_id", "d.size", "s.source", "s.source_size", "s.target")
+        rows = d.join(self.sources.alias("s"), _same(F.col("d.source"), F.col("s.source"))).select("d.doc_id", "d.size", "s.source", "s.source_size", "s.target")
         got = self.pieces().groupBy("doc_id", "source", "size").agg(F.sum("words").alias("words")).alias("g")
         # Rows that are alike in id, source and size are told apart by number, and share what they give evenly.
         alike = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"), F.first("source_size").alias("source_size"), F.first("target").alias("target")).alias("r")
