@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from velumen.llm.scratch import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = "mix-1"
@@ -62,7 +64,8 @@ class Mix:
             raise ValueError("block, cap, share and weights must be positive")
         self.spark: SparkSession = docs.sparkSession
         self.block = block
-        self.sizes = sized(docs, **columns)
+        # Ids, sources and sizes are read several times, texts once.
+        self.sizes = Scratch(self.spark, "mixing").keep(sized(docs, **columns))
         self.sources = targets(self.sizes, weights=weights, share=share, cap=cap).withColumn("take", F.round("target").cast("long"))
 
     def totals(self) -> tuple[int, int]:
