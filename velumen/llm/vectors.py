@@ -154,19 +154,37 @@ def medoids(x: np.ndarray, most: int = 12) -> np.ndarray:
     return np.array(found)
 
 
-def in_range(x: np.ndarray, adj: np.ndarray, cosine: float, beam: int) -> np.ndarray:
-    """Symmetric matrix of the pairs that range search over the graph finds and double precision verifies."""
-    n = len(x)
+def padded(adj: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and neighbours of lists that are filled up with -1."""
+    return np.concatenate([[0], np.cumsum((adj >= 0).sum(axis=1))]), adj[adj >= 0]
+
+
+def in_range(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray], cosine: float, beam: int, step: int = 1 << 20) -> np.ndarray:
+    """Symmetric matrix of the pairs that range search over the graph finds and double precision verifies.
+
+    graph: offsets and neighbours. No more than about `step` neighbours are looked at at once.
+    """
+    n, (off, to) = len(x), graph
+    degree = np.diff(off)
     found = np.zeros((n, n), dtype=bool)
     starts = medoids(x)
     slim = x.astype(np.float32)
+
+    def unseen(qi: np.ndarray, v: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Neighbours of v that query qi has not seen, now seen: query, neighbour, cosine."""
+        m = degree[v]
+        nb = to[np.repeat(off[v] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+        key = np.repeat(qi, m) * n + nb
+        key = np.unique(key[~seen.ravel()[key]])
+        seen.ravel()[key] = True
+        return key // n, key % n, np.einsum("ij,ij->i", slim[a + key // n], slim[key % n])
+
     for a in range(0, n, 512):
-        q = np.arange(a, min(n, a + 512))
-        seen = np.zeros((len(q), n), dtype=bool)
-        rows = np.arange(len(q))
-        ids = np.tile(starts, (len(q), 1))
-        sims = slim[q] @ slim[starts].T
+        size = min(512, n - a)
+        rows = np.arange(size)
+        seen = np.zeros((size, n), dtype=bool)
         seen[:, starts] = True
+        ids, sims = np.tile(starts, (size, 1)), slim[a : a + size] @ slim[starts].T
         fresh = np.ones(ids.shape, dtype=bool)
         hits = [(np.repeat(rows, len(starts)), ids.ravel(), sims.ravel())]
         while True:
@@ -176,58 +194,51 @@ def in_range(x: np.ndarray, adj: np.ndarray, cosine: float, beam: int) -> np.nda
             if not len(go):
                 break
             fresh[go, at[go]] = False
-            nb = adj[ids[go, at[go]]]
-            r, c = np.nonzero(nb >= 0)
-            qi, v = go[r], nb[r, c]
-            new = ~seen[qi, v]
-            qi, v = qi[new], v[new]
-            key = np.unique(qi * n + v)
-            qi, v = key // n, key % n
-            seen[qi, v] = True
-            s = np.einsum("ij,ij->i", slim[q[qi]], slim[v])
+            qi, v, s = unseen(go, ids[go, at[go]], seen)
             hits.append((qi, v, s))
-            width = adj.shape[1]
-            add = np.full((len(q), width), -1, dtype=np.int64)
-            add_s = np.full((len(q), width), -np.inf, dtype=np.float32)
-            first = np.searchsorted(qi, qi)
-            add[qi, np.arange(len(qi)) - first] = v
-            add_s[qi, np.arange(len(qi)) - first] = s
+            place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+            add = np.full((size, int(place.max(initial=-1)) + 1), -1, dtype=np.int64)
+            add_s = np.full(add.shape, -np.inf, dtype=np.float32)
+            add[qi, place], add_s[qi, place] = v, s
             ids, sims, fresh = np.concatenate([ids, add], axis=1), np.concatenate([sims, add_s], axis=1), np.concatenate([fresh, add_s > -np.inf], axis=1)
             if ids.shape[1] > beam:
                 top = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
                 ids, sims, fresh = (np.take_along_axis(y, top, axis=1) for y in (ids, sims, fresh))
         qi, v, s = (np.concatenate(y) for y in zip(*hits, strict=True))
-        front = s >= cosine - 0.02
-        qi, v = qi[front], v[front]
-        while len(qi):  # range expansion: neighbours of hits, of their hits, and so on
-            found[q[qi], v] = True
-            nb = adj[v]
-            r, c = np.nonzero(nb >= 0)
-            key = qi[r] * n + nb[r, c]
-            key = np.unique(key[~seen.ravel()[key]])
-            qi, v = key // n, key % n
-            seen[qi, v] = True
-            near = np.einsum("ij,ij->i", slim[q[qi]], slim[v]) >= cosine - 0.02
-            qi, v = qi[near], v[near]
+        del hits
+        near = s >= cosine - 0.02
+        front = [(qi[near], v[near])]
+        while front:  # range expansion: neighbours of hits, of their hits, and so on
+            qi, v = front.pop()
+            found[a + qi, v] = True
+            edges = np.append(np.flatnonzero(np.diff(np.cumsum(degree[v]) // step)) + 1, len(v))
+            for i, k in zip(np.concatenate([[0], edges[:-1]]), edges, strict=True):
+                q2, v2, s = unseen(qi[i:k], v[i:k], seen)
+                near = s >= cosine - 0.02
+                if near.any():
+                    front.append((q2[near], v2[near]))
     found |= found.T
     np.fill_diagonal(found, False)
-    i, j = np.nonzero(np.triu(found))
-    for a in range(0, len(i), 1 << 18):
-        u, w = i[a : a + (1 << 18)], j[a : a + (1 << 18)]
-        bad = np.einsum("ij,ij->i", x[u], x[w]) < cosine
-        found[u[bad], w[bad]] = found[w[bad], u[bad]] = False
+    for a in range(0, n, 512):
+        i, j = np.nonzero(np.triu(found[a : a + 512], k=a + 1))
+        for c in range(0, len(i), 1 << 17):
+            u, w = a + i[c : c + (1 << 17)], j[c : c + (1 << 17)]
+            bad = np.einsum("ij,ij->i", x[u], x[w]) < cosine
+            found[u[bad], w[bad]] = found[w[bad], u[bad]] = False
     return found
 
 
 def _local_roots(found: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Least id of each row's component within a shard."""
-    root = ids.copy()
+    """Least id of each row's component within a shard. ids: in order."""
+    root = np.arange(len(ids))
     while True:
-        i, j = np.nonzero(found)
         low = root.copy()
-        np.minimum.at(low, i, root[j])
+        for a in range(0, len(ids), 512):
+            part = np.where(found[a : a + 512], root, len(ids)).min(axis=1, initial=len(ids))
+            low[a : a + 512] = np.minimum(low[a : a + 512], part)
+        low = low[low]
         if np.array_equal(low, root):
-            return root
+            return ids[root]
         root = low
 
 
@@ -263,10 +274,7 @@ def search(members: DataFrame, scratch: Scratch, cosine: float, beam: int) -> Da
         row = np.repeat(np.arange(n), np.diff(off))
         ok = (ids[at] == to) & (at != row)
         row, at = row[ok], at[ok]
-        first = np.searchsorted(row, row)
-        adj = np.full((n, max(1, int((np.arange(len(row)) - first).max(initial=0)) + 1)), -1, dtype=np.int64)
-        adj[row, np.arange(len(row)) - first] = at
-        found = in_range(unit(t.column("v"), t.column("dim")[0].as_py()), adj, cosine, beam)
+        found = in_range(unit(t.column("v"), t.column("dim")[0].as_py()), (np.searchsorted(row, np.arange(n + 1)), at), cosine, beam)
         root = _local_roots(found, ids)
         # A pair that also shares an earlier shard counts there.
         places, counts = [set(p) for p in t.column("shards").to_pylist()], np.zeros(n, dtype=np.int64)
@@ -274,7 +282,9 @@ def search(members: DataFrame, scratch: Scratch, cosine: float, beam: int) -> Da
         for kind in set(earlier):
             mine = np.array([e == kind for e in earlier])
             rivals = np.array([not (e & kind) for e in earlier])
-            counts[mine] = found[np.ix_(mine, rivals)] @ size[rivals]
+            weight = np.where(rivals, size, 0)
+            for i in np.array_split(np.flatnonzero(mine), max(1, mine.sum() // 512)):
+                counts[i] = found[i] @ weight
         some = found.any(axis=1)
         return pa.table({"id": ids[some], "links": counts[some], "root": root[some]})
 
