@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash, with links confirmed on full shingle sets.
 
 A document's set is its distinct word shingles. Documents with equal sets are one class, and each class goes on once.
-Of 128 minima per set, four at a time make 32 band keys, and two low bits of each are packed into a signature. Sets
+Of 128 minima per set, four at a time make 32 band keys, and eight low bits of each are packed into a signature. Sets
 that share a band key are candidates; the share of equal low bits, corrected for chance, estimates their similarity,
 and pairs more than five standard errors below the threshold go. The rest are compared set by set.
 
@@ -34,9 +34,10 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, PER_BAND = 32, 4
 MINIMA = BANDS * PER_BAND
-LOW_BITS = 2
+LOW_BITS = 8
+WORDS = MINIMA * LOW_BITS // 64
 #: Estimates below this are five standard errors under the threshold.
-LEAST = 0.52
+LEAST = 0.56
 #: Members of a bucket that are compared at once.
 BLOCK = 512
 #: Ids that are sent to all tasks instead of shuffling the texts to them; 8 bytes each.
@@ -108,18 +109,32 @@ def sign(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                     keys, low, fp = signatures(sets, rows)
                     whole[some] = fp.view(np.int64)
                 else:
-                    keys, low = np.zeros((0, BANDS), np.uint64), np.zeros((0, 4), np.uint64)
+                    keys, low = np.zeros((0, BANDS), np.uint64), np.zeros((0, WORDS), np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(size), pa.array(whole, mask=size == 0), lists(np.ascontiguousarray(keys), some, n), lists(np.ascontiguousarray(low), some, n)], names=["doc_id", "n", "whole", "keys", "low"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, _SIGNED)
 
 
+#: Shifts that gather a lane's bits in its lowest one, and those lowest bits.
+_STEPS = (4, 2, 1)
+_LOWEST = 0x0101010101010101
+
+
+def differing(d: np.ndarray) -> np.ndarray:
+    """How many lanes of each row of exclusive-or words differ."""
+    for step in _STEPS:
+        d = d | d >> tc.U(step)
+    return np.bitwise_count(d & tc.U(_LOWEST)).sum(axis=1, dtype=np.int64)
+
+
 def _estimate(a: str, b: str) -> Column:
     """Similarity by equal low bits, corrected for chance."""
     differ = F.lit(0)
-    for i in range(MINIMA * LOW_BITS // 64):
+    for i in range(WORDS):
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        for step in _STEPS:
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(_LOWEST)))
     chance = 0.5**LOW_BITS
     return ((1 - differ / MINIMA) - chance) / (1 - chance)
 
@@ -249,8 +264,7 @@ def _mixed(shared: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
             ok = (label[rows_][:, None] != label[right]) & (100 * np.minimum(n[rows_][:, None], n[right]) >= PERCENT * np.maximum(n[rows_][:, None], n[right]))
             x, y = np.nonzero(ok)
             x, y = rows_[x], right[y]
-            d = low[x] ^ low[y]
-            differ = np.bitwise_count((d | d >> tc.U(1)) & tc.U(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+            differ = differing(low[x] ^ low[y])
             chance = 0.5**LOW_BITS
             fine = ((1 - differ / MINIMA) - chance) / (1 - chance) >= LEAST
             x, y = x[fine], y[fine]
