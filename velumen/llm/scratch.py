@@ -8,7 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of one Arrow batch, of which the JVM and Python each hold one or two a task.
+BATCH_BYTES = 8 << 20
+_DEFAULT_BATCH = 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session has a bound of its own: texts differ much in length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in (f"{_DEFAULT_BATCH}b", str(_DEFAULT_BATCH), "-1b", "-1"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +38,7 @@ class Scratch:
     """A folder of Parquet tables under the shared folder; a lost executor rereads them instead of recomputing."""
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{base(spark)}/velumen/{label}-{uuid.uuid4().hex}"
         self._n = 0
