@@ -10,8 +10,14 @@ from pyspark.sql import types as T
 
 _vector = T.ArrayType(T.FloatType())
 
-#: Embedding models by name: column and dimensions. The default comes first.
-MODELS = {f"mobileclip_{m}": (f"embedding_mobileclip_{m}", 512) for m in ("s0", "s1", "s2", "b", "blt")}
+#: Embedding models by name, with column and dimensions.
+MODELS = {
+    "mobileclip_s0": ("embedding_mobileclip_s0", 512),
+    "mobileclip_s1": ("embedding_mobileclip_s1", 512),
+    "mobileclip_s2": ("embedding_mobileclip_s2", 512),
+    "mobileclip_b": ("embedding_mobileclip_b", 512),
+    "mobileclip_blt": ("embedding_mobileclip_blt", 512),
+}
 DEFAULT_MODEL = "mobileclip_s0"
 
 IMAGE = T.StructType(
