@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velumen.functions.shape import quote_ident
+from velumen.functions.shape import quote_ident, strip_view_tail
 
 
 def tables(spark: SparkSession, database: str) -> DataFrame:
@@ -45,6 +45,37 @@ def copy_tables(spark: SparkSession, source: str, target: str, edges: list[tuple
     return order
 
 
+def columns(spark: SparkSession, database: str) -> DataFrame:
+    """(table, column, type, nullable) of a database."""
+    found = [(t.name, c.name, c.dataType, c.nullable) for t in spark.catalog.listTables(database) if not t.isTemporary for c in spark.catalog.listColumns(f"{quote_ident(database)}.{quote_ident(t.name)}")]
+    return spark.createDataFrame(found, "table string, column string, type string, nullable boolean")
+
+
+def copy_views(spark: SparkSession, definitions: dict[str, str], source: str, target: str) -> list[str]:
+    """Create views from their definitions, moved from one database to another and without a closing WITH [NO] DATA."""
+    moved = spark.createDataFrame(sorted(definitions.items()), "name string, sql string").select("name", strip_view_tail(requalified(F.col("sql"), source, target)).alias("sql"))
+    made = []
+    for r in moved.collect():  # definitions are metadata
+        spark.sql(f"CREATE OR REPLACE VIEW {quote_ident(target)}.{quote_ident(r.name)} AS {r.sql}")
+        made.append(r.name)
+    return made
+
+
+def replace_dataset(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Write beside a dataset and rename into its place, so that readers see the old or the new one whole."""
+    aside, old = f"{path}.new", f"{path}.old"
+    df.write.mode("overwrite").parquet(aside)
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    fs = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(make(old), True)
+    if fs.exists(make(path)) and not fs.rename(make(path), make(old)):
+        raise OSError(f"{path} cannot be moved")
+    if not fs.rename(make(aside), make(path)):
+        fs.rename(make(old), make(path))
+        raise OSError(f"{path} cannot be replaced")
+    fs.delete(make(old), True)
+
+
 def next_id(df: DataFrame, column: str) -> DataFrame:
     """One row: the largest id (0 if none) and the next one to give out."""
     top = F.coalesce(F.max(column), F.lit(0)).cast("long")
