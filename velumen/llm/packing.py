@@ -34,7 +34,7 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 class Memo(dict):
     """Token ids of a word as little-endian 32-bit integers; forgets everything when it is full."""
 
-    def __init__(self, path: str, words: int = 300_000, parts: int = 400_000):
+    def __init__(self, path: str, words: int = 700_000, parts: int = 700_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
