@@ -14,6 +14,7 @@ batch and the memo, each of bounded size.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,10 @@ _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Memo(dict):
     """Token ids of a word as little-endian 32-bit integers; forgets everything when it is full."""
 
@@ -53,7 +58,7 @@ class Memo(dict):
             if len(self.parts) >= self.most[1]:
                 self.parts.clear()
             mapped = s if s.isascii() else self.bytes.pre_tokenize_str(s)[0][0]
-            found = self.parts[s] = np.array([t.id for t in self.whole.model.tokenize(mapped)], dtype="<u4").tobytes()
+            found = self.parts[s] = packed([t.id for t in self.whole.model.tokenize(mapped)])
         return found
 
     def __missing__(self, word: bytes) -> bytes:
@@ -64,7 +69,7 @@ class Memo(dict):
             if plain[2]:
                 ids += self.part(plain[2])
         else:
-            ids = np.array(self.whole.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            ids = packed(self.whole.encode(s, add_special_tokens=False).ids)
         if len(word) < 64:
             if len(self) >= self.most[0]:
                 self.clear()
@@ -185,7 +190,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", los
     """One row per piece. loss_from_col: token index from which a document's tokens bear loss (default 0: all)."""
     if capacity < 1 or max_segments < 1 or (max_loss is not None and max_loss < 1):
         raise ValueError("limits must be positive")
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = packed([end_id])
     loss = capacity if max_loss is None else max_loss
     first = F.col(loss_from_col).cast("long") if loss_from_col else F.lit(0).cast("long")
 
