@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single text is a block of its own.
 BLOCK = 2 << 20
+#: Bytes of a block that are hashed at once.
+STRETCH = 1 << 18
 
 U = np.uint64
 _BASE, _ROLL = 0x9E6C63D0876A9A35, 0xD1342543DE82EF95
@@ -84,11 +86,20 @@ def spans(data: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tup
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each word's bytes."""
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=sums[1:])
-    back = powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit fingerprint of each word's bytes, worked out for a stretch of words at a time. Words are in order."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + STRETCH, side="right")))
+        part = data[base : ends[j - 1]]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[part] * powers(_BASE, len(part)), out=sums[1:])
+        back = powers(pow(_BASE, -1, 1 << 64), len(part) + 1)
+        s, e = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
