@@ -65,3 +65,16 @@ def test_one_tight_group_over_many_blocks():
     adj = vectors.pruned(x, 1)
     found = vectors.in_range(x, vectors.padded(adj), 0.95, 32, step=3000)
     assert found.sum() >= 0.99 * 400 * 399 and (vectors._local_roots(found, np.arange(400) * 3) == 0).all()
+
+
+def test_pairs_that_share_no_shard(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 20)
+    rng = np.random.default_rng(8)
+    a, z = (rng.normal(size=(400, 64)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (a * z).sum(axis=1, keepdims=True) * a
+    b = 0.952 * a + np.sqrt(1 - 0.952**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    rows = list(enumerate(np.concatenate([a, b]).tolist()))
+    # A least recall of 0 takes the first attempt as it is.
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in run(spark, rows, least_recall=0.0)}
+    assert got == brute(rows)

@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from velumen.llm import textcore as tc
-from velumen.llm.graph import components
+from velumen.llm.graph import _roots, components
 from velumen.llm.scratch import Scratch
 
 COSINE = 0.95
@@ -288,7 +289,79 @@ def search(members: DataFrame, scratch: Scratch, cosine: float, beam: int) -> Da
         some = found.any(axis=1)
         return pa.table({"id": ids[some], "links": counts[some], "root": root[some]})
 
-    return scratch.keep(ready.groupBy("shard").applyInArrow(look, "id long, links long, root long"), "found")
+    found = scratch.keep(ready.groupBy("shard").applyInArrow(look, "id long, links long, root long"), "found")
+    return found.unionByName(across(ready, scratch, cosine))
+
+
+def _block(rows: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, unit vectors, sizes, and shards with their rows, of a block's structs."""
+    ids, v, size, shards = rows.flatten()
+    row = np.repeat(np.arange(len(ids)), np.asarray(shards.value_lengths()))
+    return ids.to_numpy(), unit(v, dim), size.to_numpy(), np.asarray(shards.flatten()), row
+
+
+def blocks(ready: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k, dim, rows, centre, radius): every class once, in the first of its shards, with the cap that holds the block."""
+    homes = ready.where(F.col("shard") == F.col("shards")[0]).groupBy(F.col("shard").alias("k"), "dim").agg(F.collect_list(F.struct("id", "v", "size", "shards")).alias("rows"))
+
+    def capped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            centres, radii = [], []
+            for r in range(batch.num_rows):
+                x = _block(batch.column(2)[r].values, batch.column(1)[r].as_py())[1]
+                c = x.mean(axis=0)
+                c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else x[0]
+                centres.append(c)
+                radii.append(float(np.arccos(np.clip((x @ c).min(), -1, 1))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64())], names=["k", "dim", "rows", "centre", "radius"])
+
+    schema = StructType([*homes.schema.fields, StructField("centre", ArrayType(DoubleType())), StructField("radius", DoubleType())])
+    return scratch.keep(homes.mapInArrow(capped, schema), "blocks")
+
+
+def across(ready: DataFrame, scratch: Scratch, cosine: float) -> DataFrame:
+    """(id, links, root) of all pairs that share no shard, by block against block. ready: id, v, dim, size, shard, shards."""
+    packed = blocks(ready, scratch)
+    a, b = (packed.select(*[F.col(c).alias(f"{side}_{c}") for c in packed.columns]) for side in "ab")
+    angle = float(np.arccos(cosine)) + 1e-6
+    dot = F.aggregate(F.zip_with("a_centre", "b_centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("a_radius") - F.col("b_radius")
+    # Not an equality of dim, which would send all blocks to one task.
+    wanted = (F.col("a_k") < F.col("b_k")) & (F.abs(F.col("a_dim") - F.col("b_dim")) < 1) & (apart <= angle)
+    met = a.hint("shuffle_replicate_nl").join(b, wanted).select("a_dim", "a_rows", "b_rows", "a_centre", "a_radius", "b_centre", "b_radius")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim, rows_a, rows_b, centre_a, radius_a, centre_b, radius_b = (c[r] for c in batch.columns)
+                ids_a, x_a, size_a, shards_a, row_a = _block(rows_a.values, dim.as_py())
+                ids_b, x_b, size_b, shards_b, row_b = _block(rows_b.values, dim.as_py())
+                at_a = np.flatnonzero(np.arccos(np.clip(x_a @ np.array(centre_b.as_py()), -1, 1)) <= radius_b.as_py() + angle)
+                at_b = np.flatnonzero(np.arccos(np.clip(x_b @ np.array(centre_a.as_py()), -1, 1)) <= radius_a.as_py() + angle)
+                slim_a, slim_b = x_a.astype(np.float32), x_b[at_b].astype(np.float32)
+                both = np.intersect1d(shards_a, shards_b)
+                for c in range(0, len(at_a), 512):
+                    i, j = np.nonzero(slim_a[at_a[c : c + 512]] @ slim_b.T >= cosine - 1e-5)
+                    i, j = at_a[c + i], at_b[j]
+                    parts = [np.arange(p, min(p + (1 << 16), len(i))) for p in range(0, len(i), 1 << 16)]
+                    ok = np.concatenate([np.einsum("ij,ij->i", x_a[i[p]], x_b[j[p]]) >= cosine for p in parts] or [np.zeros(0, dtype=bool)])
+                    i, j = i[ok], j[ok]
+                    if len(i) and len(both):
+                        # Which rows of the strip and of the other block share a shard.
+                        rows = np.unique(i)
+                        in_a, in_b = np.zeros((len(x_a), len(both)), dtype=np.float32), np.zeros((len(x_b), len(both)), dtype=np.float32)
+                        for inside, shards, row in ((in_a, shards_a, row_a), (in_b, shards_b, row_b)):
+                            at = np.minimum(np.searchsorted(both, shards), len(both) - 1)
+                            hit = both[at] == shards
+                            inside[row[hit], at[hit]] = 1
+                        shared = (in_a[rows] @ in_b.T > 0)[np.searchsorted(rows, i), j]
+                        i, j = i[~shared], j[~shared]
+                    if len(i):
+                        nodes, root = _roots(ids_a[i], ids_b[j])
+                        links = np.bincount(np.searchsorted(nodes, np.concatenate([ids_a[i], ids_b[j]])), np.concatenate([size_b[j], size_a[i]]))
+                        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links.astype(np.int64)), pa.array(root)], names=["id", "links", "root"])
+
+    return scratch.keep(met.mapInArrow(meet, "id long, links long, root long"), "across")
 
 
 def recall(classes: DataFrame, counts: DataFrame, cosine: float, audit: int) -> float:
