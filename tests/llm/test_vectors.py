@@ -78,3 +78,24 @@ def test_pairs_that_share_no_shard(spark, monkeypatch):
     # A least recall of 0 takes the first attempt as it is.
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in run(spark, rows, least_recall=0.0)}
     assert got == brute(rows)
+
+
+def test_all_pairs_are_compared_after_the_last_attempt(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 40)
+    monkeypatch.setattr(vectors, "in_range", lambda x, *_: np.zeros((len(x), len(x)), dtype=bool))
+    rows = corpus(4, n=150)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in run(spark, rows)} == brute(rows)
+
+
+def test_audit_sees_rare_links_and_small_groups(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1000, 32))
+    x[1] = x[0] + 0.01
+    classes = lambda v: spark.createDataFrame([(i, r, 32, 1) for i, r in enumerate(v.tolist())], "id long, v array<double>, dim int, size long")
+    none = spark.createDataFrame([], "id long, links long")
+    assert vectors.recall(classes(x), none, 0.95, 8) == 0.0
+    # One group of 300, all found, and 30 pairs, none found.
+    x[:300] = x[0] + rng.normal(size=(300, 32)) * 0.01
+    x[300:330] = x[330:360] + 0.01
+    large = spark.createDataFrame([(i, 299) for i in range(300)], "id long, links long")
+    assert vectors.recall(classes(x), large, 0.95, 1000) == 0.0

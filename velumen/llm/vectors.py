@@ -9,8 +9,9 @@ starts from the shard's medoids, and from every hit within range the range is ex
 new turns up. Hits are verified in double precision. A pair that shares several shards counts in the first of them, so
 links are counted without listing pairs; a shard gives a spanning edge per vector for the components.
 
-Recall is audited against brute force for a sample of about `audit` vectors (a documented bound) against all rows; a
-recall under `least_recall` widens beam and overlap and searches again.
+Recall is audited by brute force against all rows for samples of about `audit` vectors and more, until enough linked ones
+of small groups were seen; each counts alike, small and large groups apart. A recall under `least_recall` widens beam and overlap and
+searches again; after the third search all pairs are compared.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components have no links, nor has a
 row without id; vectors of different lengths are not compared; rows of one id are one vertex; repeated rows are equal
@@ -37,6 +38,8 @@ COSINE = 0.95
 SHARD = 1500
 PIVOTS = 256
 NEAR, FAR_, DEGREE, SLACK = 48, 24, 20, 1.2
+#: Linked classes of small groups that an audit must see, classes that one pass of it looks at, links of a class in a large group.
+LINKED, AUDITED, LARGE = 50, 8192, 10
 _log = logging.getLogger(__name__)
 
 
@@ -293,6 +296,12 @@ def search(members: DataFrame, scratch: Scratch, cosine: float, beam: int) -> Da
     return found.unionByName(across(ready, scratch, cosine))
 
 
+def exact(members: DataFrame, scratch: Scratch, cosine: float) -> DataFrame:
+    """(id, links, root) of all pairs, without the graph."""
+    places = members.groupBy("id").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
+    return across(members.join(places, "id"), scratch, cosine, every=True)
+
+
 def _block(rows: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids, unit vectors, sizes, and shards with their rows, of a block's structs."""
     ids, v, size, shards = rows.flatten()
@@ -319,30 +328,32 @@ def blocks(ready: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(homes.mapInArrow(capped, schema), "blocks")
 
 
-def across(ready: DataFrame, scratch: Scratch, cosine: float) -> DataFrame:
-    """(id, links, root) of all pairs that share no shard, by block against block. ready: id, v, dim, size, shard, shards."""
+def across(ready: DataFrame, scratch: Scratch, cosine: float, every: bool = False) -> DataFrame:
+    """(id, links, root) of all pairs that share no shard, or of every pair, by block against block. ready: id, v, dim, size, shard, shards."""
     packed = blocks(ready, scratch)
     a, b = (packed.select(*[F.col(c).alias(f"{side}_{c}") for c in packed.columns]) for side in "ab")
     angle = float(np.arccos(cosine)) + 1e-6
     dot = F.aggregate(F.zip_with("a_centre", "b_centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("a_radius") - F.col("b_radius")
     # Not an equality of dim, which would send all blocks to one task.
-    wanted = (F.col("a_k") < F.col("b_k")) & (F.abs(F.col("a_dim") - F.col("b_dim")) < 1) & (apart <= angle)
-    met = a.hint("shuffle_replicate_nl").join(b, wanted).select("a_dim", "a_rows", "b_rows", "a_centre", "a_radius", "b_centre", "b_radius")
+    wanted = (F.col("a_k") <= F.col("b_k") if every else F.col("a_k") < F.col("b_k")) & (F.abs(F.col("a_dim") - F.col("b_dim")) < 1) & (apart <= angle)
+    met = a.hint("shuffle_replicate_nl").join(b, wanted).select("a_dim", "a_rows", "b_rows", "a_centre", "a_radius", "b_centre", "b_radius", (F.col("a_k") == F.col("b_k")).alias("same"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                dim, rows_a, rows_b, centre_a, radius_a, centre_b, radius_b = (c[r] for c in batch.columns)
+                dim, rows_a, rows_b, centre_a, radius_a, centre_b, radius_b, same = (c[r] for c in batch.columns)
                 ids_a, x_a, size_a, shards_a, row_a = _block(rows_a.values, dim.as_py())
                 ids_b, x_b, size_b, shards_b, row_b = _block(rows_b.values, dim.as_py())
                 at_a = np.flatnonzero(np.arccos(np.clip(x_a @ np.array(centre_b.as_py()), -1, 1)) <= radius_b.as_py() + angle)
                 at_b = np.flatnonzero(np.arccos(np.clip(x_b @ np.array(centre_a.as_py()), -1, 1)) <= radius_a.as_py() + angle)
                 slim_a, slim_b = x_a.astype(np.float32), x_b[at_b].astype(np.float32)
-                both = np.intersect1d(shards_a, shards_b)
+                both = np.intersect1d(shards_a, shards_b) if not every else ()
                 for c in range(0, len(at_a), 512):
                     i, j = np.nonzero(slim_a[at_a[c : c + 512]] @ slim_b.T >= cosine - 1e-5)
                     i, j = at_a[c + i], at_b[j]
+                    if same.as_py():
+                        i, j = i[i < j], j[i < j]
                     parts = [np.arange(p, min(p + (1 << 16), len(i))) for p in range(0, len(i), 1 << 16)]
                     ok = np.concatenate([np.einsum("ij,ij->i", x_a[i[p]], x_b[j[p]]) >= cosine for p in parts] or [np.zeros(0, dtype=bool)])
                     i, j = i[ok], j[ok]
@@ -365,29 +376,45 @@ def across(ready: DataFrame, scratch: Scratch, cosine: float) -> DataFrame:
 
 
 def recall(classes: DataFrame, counts: DataFrame, cosine: float, audit: int) -> float:
-    """Share of the links of about `audit` sampled classes, by brute force against all, that were counted."""
-    n = classes.count()
-    sample = classes.where(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 30)) < min(1.0, audit / max(n, 1)) * (1 << 30)).limit(2 * audit).select("id", "v", "dim").toPandas()
-    if not len(sample):
-        return 1.0
-    queries = {int(d): (g["id"].to_numpy(), unit(pa.array(list(g["v"])), int(d))) for d, g in sample.groupby("dim")}
-    shared = classes.sparkSession.sparkContext.broadcast(queries)
-
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dim = batch.column(2).to_numpy()
-            for d in np.unique(dim):
-                if int(d) not in shared.value:
-                    continue
-                ids, q = shared.value[int(d)]
-                rows = batch.filter(pa.array(dim == d))
-                x, own, size = unit(rows.column(1), int(d)), rows.column(0).to_numpy(), rows.column(3).to_numpy()
-                hit = (q @ x.T >= cosine) & (ids[:, None] != own)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit @ size)], names=["id", "n"])
+    """Recall of linked classes by brute force against all; each counts alike, and the worse of small and large groups decides.
 
-    truth = classes.select("id", "v", "dim", "size").mapInArrow(brute, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    got = truth.join(counts, "id", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0))))).first()
-    return got[1] / got[0] if got[0] else 1.0
+    Samples of about `audit` classes and more are drawn until LINKED linked ones in small groups were seen, or all classes.
+    """
+    n, at, width = classes.count(), 0, 0.0
+    seen: dict[bool, list[float]] = {False: [0, 0.0], True: [0, 0.0]}
+    step = min(1.0, audit / max(n, 1))
+    place = F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 30))
+    while at < 1 << 30 and seen[False][0] < LINKED:
+        width = min(max(step, 4 * width), max(step, AUDITED / max(n, 1)))
+        to = min(1 << 30, at + max(1, round(width * (1 << 30))))
+        sample = classes.where((place >= at) & (place < to)).select("id", "v", "dim").toPandas()
+        at = to
+        if not len(sample):
+            continue
+        queries = {int(d): (g["id"].to_numpy(), unit(pa.array(list(g["v"])), int(d))) for d, g in sample.groupby("dim")}
+        shared = classes.sparkSession.sparkContext.broadcast(queries)
+
+        def brute(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dim = batch.column(2).to_numpy()
+                for d in np.unique(dim):
+                    if int(d) not in shared.value:
+                        continue
+                    ids, q = shared.value[int(d)]
+                    rows = batch.filter(pa.array(dim == d))
+                    x, own, size = unit(rows.column(1), int(d)), rows.column(0).to_numpy(), rows.column(3).to_numpy()
+                    for c in range(0, len(ids), 512):
+                        hit = (q[c : c + 512] @ x.T >= cosine) & (ids[c : c + 512, None] != own)
+                        some = hit.any(axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[c : c + 512][some]), pa.array(hit[some] @ size)], names=["id", "n"])
+
+        truth = classes.select("id", "v", "dim", "size").mapInArrow(brute, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        each = truth.join(counts, "id", "left").select((F.col("n") >= LARGE).alias("large"), (F.least("n", F.coalesce("links", F.lit(0))) / F.col("n")).alias("share"))
+        for r in each.groupBy("large").agg(F.count("*").alias("k"), F.sum("share").alias("s")).collect():
+            seen[r.large][0] += r.k
+            seen[r.large][1] += r.s
+        shared.destroy()
+    return min([s / k for k, s in seen.values() if k], default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, beam: int = 32, overlap: int = 2, audit: int = 512, least_recall: float = 0.95) -> DataFrame:
@@ -405,7 +432,10 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         share = recall(classes, counts, cosine, audit)
         if share >= least_recall:
             break
-        _log.warning("recall %.3f; beam and overlap are widened", share)
+        _log.warning("recall %.3f; %s", share, "beam and overlap are widened" if attempt < 2 else "all pairs are compared")
+    else:
+        found = scratch.keep(exact(members, scratch, cosine), "found")
+        counts = scratch.keep(found.groupBy("id").agg(F.sum("links").alias("links")), "counts")
     label = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
     per = classes.join(counts, "id", "left").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
     per = per.select(F.col("v").alias("cv"), "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
