@@ -202,3 +202,13 @@ def test_schema_rules(spark):
     assert df.schema.fieldNames() == schema.IMAGE.fieldNames() and df.first().searchable is True
     assert [(r.rule, r.n) for r in schema.violations(df, schema.CONSTRAINTS["image"]).collect()] == [("unique(id)", 1)]
     assert schema.model_column("mobileclip_b") == "embedding_mobileclip_b" and schema.model_column("?") == "embedding_mobileclip_s0"
+
+
+def test_similar_without_limit_keeps_the_null_tail(spark, tmp_path):
+    from velumen.plans import catalogue
+
+    spark.range(140_000).selectExpr("id AS vec_id", "array(1F, float(id)) AS embedding", "0 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen = schema.images(spark, str(tmp_path)).where(search.visible()).where("id != 1")
+    assert seen.count() > 100_000
+    got = catalogue.QUERIES["similar_null_tail"](spark, str(tmp_path))
+    assert (got.count(), got.where("distance is null").count()) == (seen.count(), seen.where("embedding is null").count())

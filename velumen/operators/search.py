@@ -46,13 +46,14 @@ def by_id(images: DataFrame, id_) -> DataFrame:
     return images.where(F.col("id") == F.lit(id_))
 
 
-def similar(images: DataFrame, id_, *, column: str = "embedding", limit: int = SIMILAR, digits: int | None = None) -> DataFrame:
-    """(id, distance) of the nearest visible images; none if the target is missing or deleted. Missing embeddings come last."""
+def similar(images: DataFrame, id_, *, column: str = "embedding", limit: int | None = SIMILAR, digits: int | None = None) -> DataFrame:
+    """(id, distance) of the nearest visible images, of all without a limit; none if the target is missing or deleted. Missing embeddings come last."""
     target = by_id(images, id_).where(F.col("deleted").eqNullSafe(F.lit(False))).select(F.col(column).alias("_t"))
     distance = vector.cosine_distance(F.col(column), F.col("_t"))
     distance = distance if digits is None else F.round(distance, digits)
     near = images.where(visible() & (F.col("id") != F.lit(id_))).select("id", column).crossJoin(F.broadcast(target.limit(1)))
-    return near.select("id", distance.alias("distance")).orderBy(F.col("distance").asc_nulls_last(), "id").limit(limit)
+    ordered = near.select("id", distance.alias("distance")).orderBy(F.col("distance").asc_nulls_last(), "id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def with_target_first(images: DataFrame, id_, **options) -> DataFrame:

@@ -82,7 +82,7 @@ def similar_to_unsearchable(spark, sf_dir):
 
 @query(_similar_sql(1, 100_000))
 def similar_null_tail(spark, sf_dir):
-    return search.similar(schema.images(spark, sf_dir), 1, digits=6, limit=100_000)
+    return search.similar(schema.images(spark, sf_dir), 1, digits=6, limit=None)
 
 
 @query(
