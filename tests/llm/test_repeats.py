@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from velumen.llm import repeats
@@ -63,13 +64,54 @@ def test_repeated_rows(spark):
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 50)] * 3 + [(2, 0)]
 
 
-def test_equal_windows_share_their_anchor():
-    rng = np.random.default_rng(9)
-    core = tc.mix(rng.integers(0, 50, 90).astype(np.uint64))
-    a = np.concatenate([tc.mix(rng.integers(0, 50, 33).astype(np.uint64)), core, tc.mix(rng.integers(0, 50, 20).astype(np.uint64))])
-    b = np.concatenate([core, tc.mix(rng.integers(0, 50, 70).astype(np.uint64))])
-    one, two = (repeats.anchors(h, np.array([0, len(h)]), 35) for h in (a, b))
-    assert np.array_equal(one[2][33 : 33 + 56], two[2][:56]) and (one[2] != tc.mix(one[1])).mean() > 0.8
+@pytest.mark.parametrize("seed", range(8))
+def test_equal_windows_share_their_anchor(seed):
+    window, names = 12 + 7 * (seed % 4), {}
+    for docs in (texts(seed, vocabulary=(2, 5, 30, 300)[seed % 4]), ["p q r " * 60, "x " + "p q r " * 40 + "y", "s " * 90 + "t"]):
+        for _, _, data, off in tc.blocks(pa.array(docs)):
+            starts, ends, rows = tc.spans(data, off)
+            h = tc.word_hashes(data, starts, ends)
+            _, low, high = repeats.symbols(h, rows)
+            assert (np.diff(low) >= 0).all() and (np.diff(high) >= 0).all()
+            for p, _, name in zip(*repeats.anchors(h, rows, window), strict=True):
+                names.setdefault(tuple(h[p : p + window].tolist()), set()).add(int(name))
+    assert all(len(x) == 1 for x in names.values())
+
+
+def test_anchors_of_plain_text_are_symbols():
+    h = tc.mix(np.random.default_rng(9).integers(0, 500, 4000).astype(np.uint64))
+    _, whole, name = repeats.anchors(h, np.array([0, len(h)]))
+    assert (name != tc.mix(whole)).mean() > 0.99
+
+
+def test_words_that_fool_linear_hashes(spark):
+    parity = lambda n, flip: "".join("ab"[(i.bit_count() & 1) ^ flip] for i in range(n))
+    common = " ".join(f"c{i}" for i in range(34))
+    docs = [f"{parity(n, flip)} {n}{common}" for n in (8, 16, 512, 1024, 2048, 4096) for flip in (0, 1)]
+    got = repeats.repeat_digest(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert {(r.doc_id, r.n_removed) for r in got.collect()} == {(i, 0) for i in range(len(docs))}
+    # Windows of 1024 words whose two kinds of word are exchanged.
+    docs = [" ".join(parity(1024, flip)) for flip in (0, 1)]
+    got = repeats.repeat_digest(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), window=1024)
+    assert [r.n_removed for r in got.collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("window", [128, 200, 300])
+def test_wide_windows(spark, window):
+    rng = np.random.default_rng(window)
+    docs = [" ".join("ab" * 400)[: 2 * int(n) - 1] for n in rng.integers(window - 10, 500, 6)]
+    docs += [" ".join(f"w{k}" for k in rng.integers(0, 4, 600)) for _ in range(4)]
+    docs += [docs[6] + " end", "start " + docs[7], " ".join(docs[8].split()[100:450])]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.repeat_digest(df, window=window).collect()}
+    assert [got[i] for i in range(len(docs))] == brute(docs, window)
+
+
+def test_many_equal_rows(spark):
+    text = " ".join(f"v{i}" for i in range(60))
+    df = spark.createDataFrame([(5, text)] * 3000 + [(6, f"a {text} b")], "doc_id long, text string").repartition(8)
+    got = repeats.repeat_digest(df).groupBy("doc_id", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(5, 60, 3000), (6, 60, 1)}
 
 
 def test_whole_table(spark, sf):

@@ -172,25 +172,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, perce
     return out
 
 
-def grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
-    """The groups of equal keys in batches that are sorted by them."""
-    held: pa.Table | None = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([held, t]) if held is not None else t
-        if not t.num_rows:
-            continue
-        key = np.stack([t.column(c).to_numpy() for c in names])
-        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        done = 0
-        for cut in cuts:
-            yield t.slice(done, int(cut) - done)
-            done = int(cut)
-        held = t.slice(done)
-    if held is not None and held.num_rows:
-        yield held
-
-
 def joining(asked: DataFrame, label: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
     """Of (a, b), a document and a component it is not in, those where its full set is similar enough to a member's.
 
@@ -209,7 +190,7 @@ def joining(asked: DataFrame, label: DataFrame, docs: DataFrame, scratch: Scratc
     rows = left.unionByName(right).join(sets.withColumnRenamed("doc_id", "id"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, ["b", "p", "q"]):
+        for t in tc.grouped(batches, ["b", "p", "q"]):
             asks, ids = t.column("asks").to_numpy(), t.column("id").to_numpy()
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s").combine_chunks()]
             own = [sets[i] for i in np.flatnonzero(~asks)]
@@ -275,7 +256,7 @@ def _mixed(shared: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
         return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, ["key", "p", "q"]):
+        for t in tc.grouped(batches, ["key", "p", "q"]):
             a, b = close(t)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])

@@ -1,16 +1,18 @@
 """Exact substring dedup by recompression: windows of words that occur anywhere else are removed.
 
-Each executor rewrites the word sequences of its texts in rounds: first runs of one word become one symbol, then, round
-by round, a symbol of the left class and one of the right class beside it become a pair symbol. Class and name of a
-symbol follow from its content alone, so every task gives equal substrings the same symbols without exchanging a
-dictionary. Only symbols near an end of a substring depend on what stands outside it; each symbol carries the stretch
-of words that decides it, its context. The first symbol whose context lies within a window is the window's anchor, and
-equal windows have equal anchors.
-
-One shuffle deals windows out by their anchor's name. Where a name occurs once, its windows are unique; where it is
-shared, fingerprints of the whole windows verify which of them repeat. Windows with no such symbol (within long runs of
-one word) stand by their own fingerprint. Windows equal within one block are found at once and sent a single time, so
-that no passage, however common, fills a task. Names and window fingerprints together have 112 bits.
+Each executor rewrites the word sequences of its texts in rounds: runs of one symbol become one symbol, then a symbol of
+the left class and one of the right class beside it become a pair symbol, and so on. Class and name of a symbol follow
+from its content alone, by hashes that are the same everywhere, so all tasks of the round name runs and pairs globally
+without exchanging a dictionary. Only symbols near an end of a substring depend on what stands outside it; each symbol
+carries the stretch of words that decides it, its context. The two least names among the symbols decided within a window
+are the window's anchor, and equal windows have equal anchors.
+
+One shuffle deals windows out by their anchor, in runs. Where an anchor occurs once, its windows are unique; where it is
+shared, fingerprints of the whole windows verify which of them repeat. Windows in which no symbol is decided (within long
+runs of one word) stand by their own fingerprint. A common phrase does not gather its windows in one place, as the second
+name differs with what stands beside it; windows equal within one block are found at once and sent a single time, so that
+no passage, however common, fills a task. Two windows are equal if 64 bits of their words, 32 bits of their anchor's name
+and the bucket that more of its bits choose are equal; no step of these hashes is linear.
 
 Defined results: null text has no words; documents shorter than the window lose nothing; equal rows count as separate
 occurrences, and rows with one id and text get the same result; a null id is carried; an empty table gives no rows;
@@ -31,8 +33,11 @@ from velumen.llm import textcore as tc
 from velumen.llm.scratch import partitions
 
 WINDOW = 35
-ROUNDS = 6
-HASH_BYTES = 6
+ROUNDS = 4
+#: Windows of one run at most; buckets in all, where tasks are few.
+MOST, BUCKETS = 63, 16_384
+#: Rounds that begin with merging runs.
+RUNS = (0, 2)
 
 
 def _salt(k: int) -> np.uint64:
@@ -47,16 +52,14 @@ def symbols(h: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS) -> tuple[np.n
         return h, z, z
     first = np.zeros(n + 1, dtype=bool)
     first[rows] = True
-    # Runs: a symbol for each, decided by the words on both sides of it.
-    new = first[:n].copy()
-    new[1:] |= h[1:] != h[:-1]
-    starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], n)
-    times = ends - starts
-    name = np.where(times > 1, tc.mix(h[starts] + times.astype(np.uint64) * tc.U(0xA24BAED4963EE407)), h[starts])
-    head = first[starts]  # the first symbol of its row
-    low, high = starts - 1, ends + 1  # a row's ends lie outside every window of the row
+    name, head = h, first[:n]  # the first symbol of its row
+    low, high = np.arange(n), np.arange(1, n + 1)
+    # What hangs on there being no symbol before or after hangs on a place that no window of the row holds.
+    some = np.diff(rows) > 0
+    before, after = rows[:-1][some] - 1, rows[1:][some] + 1
     for k in range(rounds):
+        if k in RUNS:
+            name, head, low, high = _merge_runs(name, head, low, high, before, after)
         left = (tc.mix(name ^ _salt(k)) >> tc.U(63)).astype(bool)
         tail = np.append(head[1:], True)
         joins = np.zeros(len(name), dtype=bool)
@@ -64,17 +67,36 @@ def symbols(h: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS) -> tuple[np.n
         taken = np.append(False, joins[:-1])
         # What a symbol's fate hangs on: its neighbour on the side to which it could have joined.
         reach = np.where(joins | (left & ~tail), np.append(high[1:], 0), high)
-        reach = np.where(left & tail, high + 1, reach)
         since = np.where(~left & ~head & ~taken, np.append(0, low[:-1]), low)
-        since = np.where(~left & head, low - 1, since)
         name = np.where(joins, tc.mix(name * tc.U(0xC2B2AE3D27D4EB4F) + np.append(name[1:], tc.U(0))), name)
+        since[head] = np.where(left[head], since[head], before)
+        reach[tail] = np.where(left[tail], after, reach[tail])
         keep = ~taken
         name, head, low, high = name[keep], head[keep], since[keep], reach[keep]
     return name, low, high
 
 
+def _merge_runs(name, head, low, high, before, after):
+    """Runs of one name become a symbol each, decided by the symbols on both sides."""
+    new = head.copy()
+    new[1:] |= name[1:] != name[:-1]
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(name))
+    times = ends - starts
+    merged = np.where(times > 1, tc.mix(name[starts] + times.astype(np.uint64) * tc.U(0xA24BAED4963EE407)), name[starts])
+    since = low[starts - 1]
+    since[head[starts]] = before
+    over = np.minimum(ends, len(name) - 1)
+    reach = high[over]
+    reach[(ends == len(name)) | head[over]] = after
+    return merged, head[starts], since, reach
+
+
 def anchors(h: np.ndarray, rows: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, fingerprint and anchor name of every window that lies within one row of a block."""
+    """Start, fingerprint and anchor name of every window that lies within one row of a block.
+
+    A window's anchor is the pair of the two least names, in a scrambled order, among the symbols decided within it.
+    """
     whole = tc.grams(h, window)
     inside = np.zeros(len(h) + 1, dtype=np.int64)
     length = np.diff(rows)
@@ -84,141 +106,166 @@ def anchors(h: np.ndarray, rows: np.ndarray, window: int = WINDOW, rounds: int =
     at = np.flatnonzero(np.cumsum(inside)[: len(whole)] > 0)
     whole = whole[at]
     name, low, high = symbols(h, rows, rounds)
-    j = np.minimum(np.searchsorted(low, at, side="left"), max(len(name) - 1, 0))
-    held = (low[j] >= at) & (high[j] <= at + window) if len(name) else np.zeros(0, dtype=bool)
-    # Offsets tell apart the windows of one anchor in steps, which spreads the windows around a common phrase.
-    step = ((low[j] - at) >> 3).astype(np.uint64)
-    return at, whole, np.where(held, tc.mix(name[j] + step), tc.mix(whole))
+    rank = tc.mix(name ^ _salt(rounds))
+    j, end = np.searchsorted(low, at, side="left"), np.searchsorted(high, at + window, side="right")
+    held = np.flatnonzero(j < end)
+    out = tc.mix(whole)
+    if len(held):
+        least, second = _least_two(rank, j[held], end[held])
+        out[held] = tc.mix(least * tc.U(0xC2B2AE3D27D4EB4F) + second)
+    return at, whole, out
+
+
+def _least_two(rank: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two least different values of each stretch, the second all ones where there is but one."""
+
+    def both(a: tuple, b: tuple) -> tuple:
+        least = np.minimum(a[0], b[0])
+        return least, np.minimum(np.where(a[0] > least, a[0], a[1]), np.where(b[0] > least, b[0], b[1]))
+
+    level = np.frexp((end - start).astype(np.float64))[1] - 1  # two stretches of 2**level cover each
+    most, n = int(level.max()), len(rank)
+    table = [(rank, np.full(n, ~tc.U(0)))]
+    for k in range(most):
+        shifted = np.minimum(np.arange(n) + (1 << k), n - 1)
+        table.append(both(table[-1], tuple(x[shifted] for x in table[-1])))
+    firsts, seconds = (np.concatenate([t[i] for t in table]) for i in range(2))
+    a, b = level * n + start, level * n + end - (1 << level)
+    return both((firsts[a], seconds[a]), (firsts[b], seconds[b]))
 
 
 def _runs(*same: np.ndarray) -> np.ndarray:
-    """Starts of the runs in which all the given differences hold."""
-    ok = np.logical_and.reduce(same)
-    return np.flatnonzero(np.append(True, ~ok))
+    """Starts of the runs in which all the given differences hold, cut at MOST."""
+    starts = np.flatnonzero(np.append(True, ~np.logical_and.reduce(same)))
+    size = np.diff(np.append(starts, len(same[0]) + 1))
+    pieces = -(-size // MOST)
+    before = np.cumsum(pieces) - pieces
+    return np.repeat(starts, pieces) + MOST * (np.arange(pieces.sum()) - np.repeat(before, pieces))
+
+
+_DEALT = "bucket int, name array<int>, uid array<long>, chk array<int>, start array<int>, size array<tinyint>, whole binary"
+_KINDS = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int8())
+_SPANS = "uid long, chk int, start int, n int"
+
+
+def _spans(uid: np.ndarray, chk: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    columns = (uid.astype(np.int64), *(x.astype(np.int32) for x in (chk, start, n)))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "chk", "start", "n"])
+
+
+def _rows(bucket: np.ndarray, columns: list[np.ndarray], whole: np.ndarray | None, size: np.ndarray) -> pa.RecordBatch:
+    """Runs in order of bucket as one row for each bucket; whole: the fingerprints of their windows, end to end."""
+    cuts = np.append(_heads(bucket), len(bucket))
+    off = pa.array(cuts.astype(np.int32))
+    lists = [pa.ListArray.from_arrays(off, pa.array(c.astype(k.to_pandas_dtype()))) for c, k in zip(columns, _KINDS, strict=True)]
+    if whole is None:
+        blobs = pa.nulls(len(cuts) - 1, pa.binary())
+    else:
+        ends = np.concatenate([[0], np.cumsum(size)])[cuts].astype(np.int32) * 8
+        blobs = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(whole, dtype="<u8"))])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), *lists, blobs], names=[c.split()[0] for c in _DEALT.split(", ")])
+
+
+def _heads(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, key[1:] != key[:-1]))
 
 
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(uid, start, n): windows start..start+n-1 of the text with that uid occur elsewhere. docs: uid, text (binary)."""
-    buckets = partitions(docs.sparkSession)
+    """(uid, chk, start, n): windows start..start+n-1 of that text occur elsewhere. docs: uid, chk, text (binary)."""
+    tasks = partitions(docs.sparkSession)
+    # Tasks work through their buckets one by one and hold one at a time.
+    buckets = tasks * max(1, min(16, BUCKETS // tasks))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for row, _, data, off in tc.blocks(batch.column(1), 2 * tc.BLOCK, 60_000):
+            uids, chks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for row, end, data, off in tc.blocks(batch.column(2), 2 * tc.BLOCK):
                 starts, ends, rows = tc.spans(data, off)
                 if len(starts) < window:
                     continue
                 at, whole, name = anchors(tc.word_hashes(data, starts, ends), rows, window, rounds)
                 if len(at):
-                    yield pack(at, whole, name, rows, uids[row : row + len(rows) - 1])
+                    yield from pack(at, whole, name, rows, uids[row:end], chks[row:end])
 
-    def pack(at, whole, name, rows, uids) -> pa.RecordBatch:
+    def pack(at, whole, name, rows, uids, chks) -> Iterator[pa.RecordBatch]:
         order = np.argsort(whole, kind="stable")
-        same = whole[order][1:] == whole[order][:-1]
+        same = (whole[order][1:] == whole[order][:-1]) & (name[order][1:] == name[order][:-1])
         later, equal = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
         later[order[1:]] = same  # not the first of its kind in this block
         equal[order[1:]] |= same
         equal[order[:-1]] |= same
         doc = np.searchsorted(rows, at, side="right") - 1
-        place = (at - rows[doc]).astype("<u4")
+        place = at - rows[doc]
         # Found here: runs of windows that repeat within the block.
         here = np.flatnonzero(equal)
-        cut = _runs(np.diff(here) == 1, np.diff(doc[here]) == 0) if len(here) else here
-        told = encode_spans(uids[doc[here[cut]]], place[here[cut]], np.diff(np.append(cut, len(here))))
+        if len(here):
+            cut = _runs(np.diff(here) == 1, np.diff(doc[here]) == 0)
+            lead, size = here[cut], np.diff(np.append(cut, len(here)))
+            d = doc[lead]
+            yield _rows(np.full(len(lead), int(uids[d[0]]) % buckets), [np.zeros(len(lead)), uids[d], chks[d], place[lead], size], None, size)
         # To compare: one of each kind, in runs that share an anchor.
         send = np.flatnonzero(~later)
         cut = _runs(np.diff(send) == 1, np.diff(doc[send]) == 0, np.diff(name[send]) == 0, np.diff(equal[send].astype(np.int8)) == 0)
         size = np.diff(np.append(cut, len(send)))
-        lead = send[cut]
-        bucket = (name[lead] >> tc.U(32)) * tc.U(buckets) >> tc.U(32)
+        bucket = (name[send[cut]] >> tc.U(32)) * tc.U(buckets) >> tc.U(32)
         by = np.argsort(bucket, kind="stable")
-        size, lead, cut, bucket = size[by], lead[by], cut[by], bucket[by].astype(np.int64)
-        upto = np.cumsum(size)
+        bucket, cut, size = bucket[by].astype(np.int64), cut[by], size[by]
+        lead, upto = send[cut], np.cumsum(size)
         each = send[np.repeat(cut - (upto - size), size) + np.arange(upto[-1])]
-        raw = np.ascontiguousarray(whole[each].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
-        marks = np.searchsorted(bucket, np.arange(buckets + 1))
-        firsts = np.concatenate([[0], upto])
-        blobs, ids = [], []
-        for b in range(buckets):
-            i, k = marks[b], marks[b + 1]
-            if i == k:
-                continue
-            w = firsts[i], firsts[k]
-            ids.append(b)
-            mine = lead[i:k]
-            own, where = np.unique(doc[mine], return_inverse=True)
-            blobs.append(b"".join((np.array([k - i, len(own)], "<u4").tobytes(), name[mine].astype("<u4").tobytes(), uids[own].tobytes(), place[mine].tobytes(), where.astype("<u2").tobytes(), (size[i:k] * 2 + equal[mine]).astype("u1").tobytes(), raw[w[0] : w[1]].tobytes())))
-        if told:
-            ids.append(int(uids[0] % buckets))
-            blobs.append(b"\0\0\0\0" + told)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+        d = doc[lead]
+        yield _rows(bucket, [(name[lead] & tc.U(0xFFFFFFFF)).astype(np.uint32).view(np.int32), uids[d], chks[d], place[lead], size * 2 + equal[lead]], whole[each], size)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        for batch in batches:
-            for blob in batch.column(1):
-                raw = blob.as_py()
-                r = int(np.frombuffer(raw, "<u4", 1)[0])
-                if not r:
-                    yield decode_spans(raw[4:])
-                    continue
-                d, p = int(np.frombuffer(raw, "<u4", 1, 4)[0]), 8
-                name, p = np.frombuffer(raw, "<u4", r, p), p + 4 * r
-                uid, p = np.frombuffer(raw, "<i8", d, p), p + 8 * d
-                start, p = np.frombuffer(raw, "<u4", r, p), p + 4 * r
-                doc, p = np.frombuffer(raw, "<u2", r, p), p + 2 * r
-                size, p = np.frombuffer(raw, "u1", r, p), p + r
-                parts.append((name, uid[doc], start, size, np.frombuffer(raw, np.uint8, offset=p).reshape(-1, HASH_BYTES)))
-        if not parts:
-            return
-        name, uid, start, size = (np.concatenate([x[i] for x in parts]) for i in range(4))
-        hashes = np.concatenate([x[4] for x in parts])
-        del parts
+        known: list[pa.RecordBatch] = []
+
+        def unknown() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                told = batch.filter(batch.column(6).is_null())
+                if told.num_rows:
+                    known.append(_spans(*(told.column(i).flatten().to_numpy() for i in (2, 3, 4, 5))))
+                yield batch.filter(batch.column(6).is_valid())
+
+        for t in tc.grouped(unknown(), ["bucket"]):
+            yield from known
+            known.clear()
+            found = shared(t)
+            if found is not None:
+                yield found
+        yield from known
+
+    def shared(t: pa.Table) -> pa.RecordBatch | None:
+        """Spans of the windows of a bucket that occur in it more than once, but for those found where they were read."""
+        name, uid, chk, start, size = (t.column(i).combine_chunks().flatten().to_numpy() for i in range(1, 6))
         dup, size = (size & 1).astype(bool), (size >> 1).astype(np.int64)
         # A name that occurs once, and not twice within its block, needs no look at its windows.
         order = np.argsort(name, kind="stable")
         same = name[order][1:] == name[order][:-1]
-        shared = dup.copy()
-        shared[order[1:]] |= same
-        shared[order[:-1]] |= same
-        pick = np.flatnonzero(shared)
+        pick = dup.copy()
+        pick[order[1:]] |= same
+        pick[order[:-1]] |= same
+        pick = np.flatnonzero(pick)
         if not len(pick):
-            return
-        upto = np.cumsum(size)
-        s = size[pick]
+            return None
+        hashes = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in t.column(6)])
+        upto, s = np.cumsum(size), size[pick]
         end = np.cumsum(s)
-        each = np.repeat((upto - size)[pick] - (end - s), s) + np.arange(end[-1])
-        wide = np.zeros((len(each), 8), dtype=np.uint8)
-        wide[:, :HASH_BYTES] = hashes[each]
         run = np.repeat(np.arange(len(pick)), s)
-        key, tag = wide.view("<u8").ravel(), name[pick][run]
+        key, tag = hashes[((upto - size)[pick] - (end - s))[run] + np.arange(end[-1])], name[pick][run]
         order = np.lexsort((tag, key))
         same = (key[order][1:] == key[order][:-1]) & (tag[order][1:] == tag[order][:-1])
-        found = dup[pick][run]
-        known = found.copy()
+        found = np.zeros(len(key), dtype=bool)
         found[order[1:]] |= same
         found[order[:-1]] |= same
-        found &= ~known  # those were told where they were found
-        hit = np.flatnonzero(found)
+        hit = np.flatnonzero(found & ~dup[pick][run])
         if not len(hit):
-            return
+            return None
         cut = _runs(np.diff(hit) == 1, np.diff(run[hit]) == 0)
         lead = hit[cut]
         r = run[lead]
-        yield decode_spans(encode_spans(uid[pick][r], start[pick][r] + (lead - (end - s)[r]), np.diff(np.append(cut, len(hit)))))
-
-    dealt = docs.select("uid", "text").mapInArrow(deal, "bucket int, blob binary")
-    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(compare, "uid long, start int, n int")
-
-
-def encode_spans(uid: np.ndarray, start: np.ndarray, n: np.ndarray) -> bytes:
-    return b"" if not len(uid) else np.uint32(len(uid)).tobytes() + uid.astype("<i8").tobytes() + start.astype("<i4").tobytes() + n.astype("<i4").tobytes()
-
+        return _spans(uid[pick][r], chk[pick][r], start[pick][r] + (lead - (end - s)[r]), np.diff(np.append(cut, len(hit))))
 
-def decode_spans(raw: bytes) -> pa.RecordBatch:
-    m = int(np.frombuffer(raw, "<u4", 1)[0])
-    columns = np.frombuffer(raw, "<i8", m, 4), np.frombuffer(raw, "<i4", m, 4 + 8 * m), np.frombuffer(raw, "<i4", m, 4 + 12 * m)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "start", "n"])
+    dealt = docs.select("uid", "chk", "text").mapInArrow(deal, _DEALT)
+    return dealt.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket").mapInArrow(compare, _SPANS)
 
 
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -228,23 +275,24 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = WIN
     """
     names = {f"c{i}": c for i, c in enumerate(docs.columns)}
     text = next(k for k, c in names.items() if c == text_col)
-    own = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns if c in ("doc_id", text_col)])
-    keyed = docs.select(*[F.col(c).alias(k) for k, c in names.items()], own.alias("uid"))
-    spans = repeated_spans(keyed.select("uid", F.encode(F.col(text), "UTF-8").alias("text")), window=window, rounds=rounds)
-    lists = spans.groupBy("uid").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
-    both = keyed.join(lists, "uid", "left")
+    own = [F.col(c).cast("string") for c in docs.columns if c in ("doc_id", text_col)]
+    # Rows are told apart by 96 bits of id and text; rows alike in both get the same result.
+    keyed = docs.select(*[F.col(c).alias(k) for k, c in names.items()], F.xxhash64(*own).alias("uid"), F.hash(*own).alias("chk"))
+    spans = repeated_spans(keyed.select("uid", "chk", F.encode(F.col(text), "UTF-8").alias("text")), window=window, rounds=rounds)
+    lists = spans.groupBy("uid", "chk").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    both = keyed.join(lists, ["uid", "chk"], "left")
     rest = [k for k in names if k != text]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, words_n, removed_n, sha = [], [], [], []
-            texts, starts, ns = (batch.column(i) for i in range(3))
+            texts, spans = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
                 raw = texts[i].as_py()
                 words = (raw or b"").split()
                 gone = 0
-                if starts[i].is_valid and len(starts[i]):
-                    a, m = (np.asarray(x[i].values, dtype=np.int64) for x in (starts, ns))
+                if spans[i].is_valid and len(spans[i]):
+                    a, m = (x.to_numpy().astype(np.int64) for x in spans[i].values.flatten())
                     depth = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(depth, a, 1)
                     np.add.at(depth, a + m + window - 1, -1)
@@ -256,12 +304,12 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = WIN
                 words_n.append(len(words) + gone)
                 removed_n.append(gone)
                 sha.append(hashlib.sha256(joined).hexdigest())
-            columns = [pa.array(out, pa.binary()).cast(pa.string()), *(batch.column(3 + k) for k in range(len(rest))), pa.array(words_n, pa.int64()), pa.array(removed_n, pa.int64()), pa.array(sha, pa.string())]
+            columns = [pa.array(out, pa.binary()).cast(pa.string()), *(batch.column(2 + k) for k in range(len(rest))), pa.array(words_n, pa.int64()), pa.array(removed_n, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[text, *rest, "n_words", "n_removed", "kept_sha256"])
 
     kinds = ", ".join(f"{k} {keyed.schema[k].dataType.simpleString()}" for k in rest)
     schema = ", ".join(x for x in (f"{text} string", kinds, "n_words long, n_removed long, kept_sha256 string") if x)
-    done = both.select(F.encode(F.col(text), "UTF-8").alias(text), "starts", "ns", *rest).mapInArrow(cut, schema)
+    done = both.select(F.encode(F.col(text), "UTF-8").alias(text), "spans", *rest).mapInArrow(cut, schema)
     made = [c for c in ("n_words", "n_removed", "kept_sha256") if c not in names.values()]
     return done.select(*[F.col(k).alias(c) for k, c in names.items()], *made)
 

@@ -10,14 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text handled at once; a longer single text is a block of its own.
 BLOCK = 2 << 20
-#: Bytes of a block that are hashed at once.
-STRETCH = 1 << 18
 
 U = np.uint64
-_BASE, _ROLL = 0x9E6C63D0876A9A35, 0xD1342543DE82EF95
+_ODD = U(0xC2B2AE3D27D4EB4F)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: All bytes but ASCII letters and those of multi-byte characters.
@@ -25,7 +24,10 @@ NO_LETTER = np.ones(256, dtype=bool)
 NO_LETTER[65:91] = NO_LETTER[97:123] = NO_LETTER[128:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
+#: Longer words are hashed one by one.
+LONG = 64
+#: Bits of the first 0 to 8 bytes of a little-endian integer.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,19 +40,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base to the powers 0 to n-1, modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        out = np.full(max(n, 1024), U(base), dtype=np.uint64)
-        out[0] = 1
-        have = _powers[base] = np.cumprod(out)
-    return have[:n]
-
-
 def blocks(text: pa.Array, size: int = BLOCK, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of each row's bytes) of consecutive rows; null is empty text."""
     if isinstance(text, pa.ChunkedArray):
@@ -86,28 +75,63 @@ def spans(data: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tup
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each word's bytes, worked out for a stretch of words at a time. Words are in order."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        base = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, base + STRETCH, side="right")))
-        part = data[base : ends[j - 1]]
-        sums = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[part] * powers(_BASE, len(part)), out=sums[1:])
-        back = powers(pow(_BASE, -1, 1 << 64), len(part) + 1)
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
-        i = j
+    """A 64-bit fingerprint of each word's bytes.
+
+    Eight bytes at a time are mixed into a state that begins with the word's length; nothing about it is linear, and
+    words of up to eight bytes have a fingerprint of their own among words of their length.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _ODD)
+    if not len(out):
+        return out
+    wide = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    rows = None  # of words that go on
+    for k in range(0, LONG, 8):
+        at, left = (starts, size) if rows is None else (starts[rows] + k, size[rows] - k)
+        chunk = wide[at] & _FIRST[np.minimum(left, 8)]
+        out[slice(None) if rows is None else rows] = mix((out if rows is None else out[rows]) ^ chunk)
+        rows = np.flatnonzero((size > k + 8) & (size <= LONG)) if rows is None else rows[left > 8]
+        if not len(rows):
+            break
+    for i in np.flatnonzero(size > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
     return out
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """A fingerprint of the k values from each place; places whose k values would pass the end are left out."""
+    """A fingerprint of the k values from each place; places whose k values would pass the end are left out.
+
+    Fingerprints of 1, 2, 4, ... values are mixed from two halves, and those that make up k are mixed together.
+    """
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    sums = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(h * powers(_ROLL, len(h)), out=sums[1:])
-    back = powers(pow(_ROLL, -1, 1 << 64), n)
-    return mix((sums[k:] - sums[:n]) * back + U(k))
+    out, at, level, width = None, 0, h, 1
+    while True:
+        if k & width:
+            part = level[at : at + n]
+            out = part if out is None else mix(out * _ODD + part)
+            at += width
+        if 2 * width > k:
+            return mix(out + U(k))
+        level = mix(level[:-width] * _ODD + level[width:])
+        width *= 2
+
+
+def grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """The groups of equal keys in batches that are sorted by them."""
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        if not t.num_rows:
+            continue
+        key = np.stack([t.column(c).to_numpy() for c in names])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        done = 0
+        for cut in cuts:
+            yield t.slice(done, int(cut) - done)
+            done = int(cut)
+        held = t.slice(done)
+    if held is not None and held.num_rows:
+        yield held
