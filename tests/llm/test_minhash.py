@@ -15,7 +15,7 @@ def shingles(text):
 
 
 def brute(docs):
-    """(size, component, kept) by row."""
+    """(size, component, kept) by row; rows of one id are one node."""
     sets = [shingles(t) for _, t in docs]
     root = {i: i for i, _ in docs if i is not None}
 
@@ -71,11 +71,52 @@ def test_repeated_rows_and_chain(spark):
 
 def test_large_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
-    monkeypatch.setattr(minhash, "SENT_IDS", 0)
+    monkeypatch.setattr(minhash, "MEET_ROWS", 3)
+    monkeypatch.setattr(minhash, "MEET_BYTES", 4000)
     docs = corpus(5, 90)
     assert run(spark, docs) == brute(docs)
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = [(3, a), (5, a), (5, b), (7, b), (8, None), (8, c), (2, c), (8, ""), (9, ""), (9, None), (5, a), (5, a)]
+    got = run(spark, docs)
+    assert got == brute(docs) and {r[0]: r[2] for r in got} == {3: 3, 5: 3, 7: 3, 8: 2, 2: 2, 9: 9}
+
+
+def test_words_that_fool_linear_hashes(spark):
+    parity = lambda n, flip: "".join("ab"[(i.bit_count() & 1) ^ flip] for i in range(n))
+    docs = [(n + flip, parity(n, flip)) for n in (16, 512, 1024, 4096) for flip in (0, 1)]
+    assert run(spark, docs) == brute(docs)
+
+
+def test_all_links_near_the_threshold(spark):
+    """Pairs of similarity 0.75 and little more: no candidate is lost to bands or estimates."""
+    docs, near = [], 0
+    for i in range(400):
+        words = [f"p{i}w{j}" for j in range(60)]
+        other = words[: 53 + i % 3] + [f"p{i}x{j}" for j in range(6)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        x, y = shingles(docs[-1][1]), shingles(docs[-2][1])
+        near += 100 * len(x & y) >= 75 * len(x | y)
+    got = {r[0]: r[2] for r in run(spark, docs)}
+    assert near == 400 and all(got[2 * i + 1] == 2 * i for i in range(400))
+
+
+def test_very_long_text(spark):
+    words = [f"w{i * 7919 % 300007}" for i in range(250_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:230_000])), (3, " ".join(words[:150_000])), (4, "w0 " * 400_000)]
+    assert [(r[0], r[2]) for r in run(spark, docs)] == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
+def test_whole_table(spark, sf):
+    from velumen.llm.registry import QUERIES
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = QUERIES["op4_bbit_minhash"](spark, sf).collect()
+    assert sorted([tuple(r[c] for c in ("doc_id", "n_shingles", "component_id", "kept")) for r in got], key=str) == brute(docs)
+
+
 def test_deduplicated_keeps_columns(spark):
     df = spark.createDataFrame([(2, "a b c", "x"), (1, "A b c", "y"), (3, "d", "z"), (None, "a b c", "n")], "doc_id long, text string, source string")
     got = minhash.deduplicated(df)

@@ -1,20 +1,21 @@
 """Near-duplicate documents by b-bit MinHash, with links confirmed on full shingle sets.
 
-A document's set is its distinct word shingles. Documents with equal sets are one class, and each class goes on once.
-Of 128 minima per set, four at a time make 32 band keys, and eight low bits of each are packed into a signature. Sets
-that share a band key are candidates; the share of equal low bits, corrected for chance, estimates their similarity,
-and pairs more than five standard errors below the threshold go. The rest are compared set by set.
+A document's set is its distinct word shingles. Documents with equal sets (128 bits of the set decide) are one class, and
+each class goes on once. Of 128 minima per set, four at a time make 32 band keys, and eight low bits of each are packed
+into a signature. Sets that share a band key are candidates; the share of equal low bits, corrected for chance, estimates
+their similarity, and pairs more than five standard errors below the threshold go. The rest are compared set by set; the
+sets of all candidates are made in one pass, by one shuffle of the texts at every size of input.
 
 Groups are resolved without listing their pairs. First every member of a band bucket meets the bucket's least member
 (a star). Confirmed links make components; a bucket within one component is done. In the other buckets only members of
 different components are compared, block by block, by their packed signatures, and what comes of it is which document
 may join which larger component. Its full set then meets the sets of all members of that component, block by block,
-through an index of shingles. A miss needs two sets of similarity 0.75 or more that share none of 32 bands: five in a
-million at the threshold itself.
+through an index of shingles; blocks are bounded by rows and by bytes. A miss needs two sets of similarity 0.75 or more
+that share none of 32 bands: five in a million at the threshold itself.
 
-Defined results: documents without words, null text or null id have no links; fewer words than a shingle make the
-whole sequence one shingle; rows with one id are one node, whatever their texts; repeated rows repeat; an empty table
-gives no rows; other columns are ignored.
+Defined results: documents without words or with null text have no links of their own, a null id has none; fewer words
+than a shingle make the whole sequence one shingle; rows with one id are one node, whatever their texts, so they share a
+component and join those of their texts; repeated rows repeat; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ WORDS = MINIMA * LOW_BITS // 64
 LEAST = 0.56
 #: Members of a bucket that are compared at once.
 BLOCK = 512
-#: Ids that are sent to all tasks instead of shuffling the texts to them; 8 bytes each.
-SENT_IDS = 200_000
+#: Documents, and bytes of their sets, of one side of a block in which full sets meet.
+MEET_ROWS, MEET_BYTES = 128, 4 << 20
 
 _rng = np.random.default_rng(20)
 _FLIP = _rng.integers(0, 1 << 64, MINIMA, dtype=np.uint64)
@@ -68,8 +69,18 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[n
     return (np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)), np.cumsum(size)
 
 
-def signatures(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per nonempty row: band keys, packed low bits, and a fingerprint of the whole set."""
+def fingerprints(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Two independent fingerprints of each nonempty row's whole set."""
+    some = np.flatnonzero(np.diff(off))
+    out, size = np.empty((2, len(some)), dtype=np.uint64), np.diff(off)[some].astype(np.uint64)
+    for i in range(2):
+        sets = tc.mix(sets + tc.U(0x9E3779B97F4A7C15))
+        out[i] = tc.mix(np.add.reduceat(sets, off[:-1][some]) + size) if len(some) else 0
+    return out.view(np.int64)
+
+
+def signatures(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per nonempty row: band keys and packed low bits."""
     some = np.flatnonzero(np.diff(off))
     at = off[:-1][some]
     minima = np.empty((len(some), MINIMA), dtype=np.uint64)
@@ -83,15 +94,14 @@ def signatures(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
         keys = tc.mix(keys + minima[:, k::PER_BAND] + np.arange(1, BANDS + 1, dtype=np.uint64))
     low = (minima & tc.U((1 << LOW_BITS) - 1)).reshape(len(some), -1, 64 // LOW_BITS)
     packed = np.bitwise_or.reduce(low << (np.arange(64 // LOW_BITS, dtype=np.uint64) * tc.U(LOW_BITS)), axis=2)
-    whole = tc.mix(np.add.reduceat(tc.mix(sets), at) + np.diff(off)[some].astype(np.uint64))
-    return keys, packed, whole
+    return keys, packed
 
 
-_SIGNED = "doc_id long, n long, whole long, keys array<long>, low array<long>"
+_SIGNED = "doc_id long, n long, w long, x long, keys array<long>, low array<long>"
 
 
 def sign(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n (set size), whole (set fingerprint), keys, low; the last three null for empty sets."""
+    """doc_id, n (set size), w and x (fingerprints of the set), keys, low; the last four null for empty sets."""
 
     def lists(a: np.ndarray, some: np.ndarray, n: int) -> pa.Array:
         off = np.zeros(n + 1, dtype=np.int32)
@@ -104,13 +114,13 @@ def sign(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 sets, rows = shingle_sets(data, off, k)
                 n, size = end - at, np.diff(rows)
                 some = np.flatnonzero(size)
-                whole = np.zeros(n, dtype=np.int64)
+                whole = np.zeros((2, n), dtype=np.int64)
                 if len(some):
-                    keys, low, fp = signatures(sets, rows)
-                    whole[some] = fp.view(np.int64)
+                    whole[:, some] = fingerprints(sets, rows)
+                    keys, low = signatures(sets, rows)
                 else:
                     keys, low = np.zeros((0, BANDS), np.uint64), np.zeros((0, WORDS), np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(size), pa.array(whole, mask=size == 0), lists(np.ascontiguousarray(keys), some, n), lists(np.ascontiguousarray(low), some, n)], names=["doc_id", "n", "whole", "keys", "low"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(size), *(pa.array(x, mask=size == 0) for x in whole), lists(np.ascontiguousarray(keys), some, n), lists(np.ascontiguousarray(low), some, n)], names=["doc_id", "n", "w", "x", "keys", "low"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, _SIGNED)
 
@@ -139,55 +149,62 @@ def _estimate(a: str, b: str) -> Column:
     return ((1 - differ / MINIMA) - chance) / (1 - chance)
 
 
-def full_sets(ids: DataFrame, docs: DataFrame, scratch: Scratch, k: int) -> DataFrame:
-    """(doc_id, s): the whole shingle sets of the documents with these ids, written once."""
-    ids = scratch.keep(ids.distinct(), "ids")
-    chosen = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+def full_sets(wanted: DataFrame, docs: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """(id, w, s): the whole shingle sets of the classes named by wanted (id, w), written once."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # of this task's documents; repeated rows give one set
         for batch in batches:
             for at, end, data, off in tc.blocks(batch.column(1)):
                 values, rows = shingle_sets(data, off, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array([values[rows[i] : rows[i + 1]].tobytes() for i in range(end - at)], pa.binary())], names=["doc_id", "s"])
+                some, ids = np.flatnonzero(np.diff(rows)), batch.column(0).slice(at, end - at).to_numpy()
+                out = []
+                for i, w in zip(some, fingerprints(values, rows)[0].tolist(), strict=True):
+                    key = int(ids[i]), w
+                    if key not in seen:
+                        seen.add(key)
+                        out.append((*key, values[rows[i] : rows[i + 1]].tobytes()))
+                columns = zip(*out, strict=True) if out else [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "w", "s"])
 
-    return scratch.keep(docs.join(chosen, "doc_id", "left_semi").select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(sets, "doc_id long, s binary"), "sets")
+    ids = wanted.select(F.col("id").alias("doc_id")).distinct()
+    texts = docs.join(ids.hint("merge"), "doc_id", "left_semi")
+    return scratch.keep(texts.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(sets, "id long, w long, s binary"), "sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of document ids, those whose full sets are similar enough."""
-    found = full_sets(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), docs, scratch, k)
+def confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(a, b): ids of the pairs (a, aw, b, bw) of classes whose full sets are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(u) + len(v) - len(np.unique(np.concatenate([u, v]))) if len(u) and len(v) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(u) + len(v) - both))
+                both = len(u) + len(v) - len(np.unique(np.concatenate([u, v])))
+                keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    out = scratch.keep(joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
-    scratch.drop(found)
-    return out
+    joined = pairs.join(sets.toDF("a", "aw", "sa"), ["a", "aw"]).join(sets.toDF("b", "bw", "sb"), ["b", "bw"])
+    return scratch.keep(joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
 
 
-def joining(asked: DataFrame, label: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
-    """Of (a, b), a document and a component it is not in, those where its full set is similar enough to a member's.
+def joining(asked: DataFrame, label: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Of (id, w, b), a class and a component it is not in, the (a, b) whose full set is similar enough to a member's.
 
     Members and documents meet in blocks; a block's sets are indexed by shingle, so that one document is compared with
     all of them at once, and no pairs are listed.
     """
-    named = label.unionByName(asked.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-    members = scratch.keep(asked.select(F.col("b").alias("component")).distinct().join(named, "component").select(F.col("component").alias("b"), F.col("node").alias("id")), "of")
-    sizes = members.groupBy("b").agg(F.ceil(F.count("*") / (BLOCK // 2)).alias("nm")).join(asked.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("nx")), "b")
-    sizes = scratch.keep(sizes, "sizes")
-    sets = full_sets(members.select(F.col("id").alias("doc_id")).unionByName(asked.select(F.col("a").alias("doc_id"))), docs, scratch, k)
+    sized = sets.select("id", "w", F.length("s").alias("bytes"))
+    labelled = sized.join(label.select(F.col("node").alias("id"), F.col("component").alias("b")), "id", "left").withColumn("b", F.coalesce("b", "id"))
+    members = scratch.keep(labelled.join(asked.select("b").distinct(), "b", "left_semi").select("b", "id", "w", "bytes"), "of")
+    asking = scratch.keep(asked.join(sized, ["id", "w"]).select("b", "id", "w", "bytes"), "asking")
+    parts = lambda name: F.ceil(F.greatest(F.count("*") / MEET_ROWS, F.sum("bytes") / MEET_BYTES)).alias(name)
+    sizes = scratch.keep(members.groupBy("b").agg(parts("nm")).join(asking.groupBy("b").agg(parts("nx")), "b"), "sizes")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    left = members.join(sizes, "b").select("b", mine("nm").alias("p"), every("nx").alias("q"), "id", F.lit(False).alias("asks"))
-    right = asked.select("b", F.col("a").alias("id")).join(sizes, "b").select("b", mine("nx").alias("q"), every("nm").alias("p"), "id", F.lit(True).alias("asks"))
-    rows = left.unionByName(right).join(sets.withColumnRenamed("doc_id", "id"), "id")
+    mine = lambda n: F.pmod(F.xxhash64("id", "w"), F.col(n))
+    left = members.join(sizes, "b").select("b", mine("nm").alias("p"), every("nx").alias("q"), "id", "w", F.lit(False).alias("asks"))
+    right = asking.join(sizes, "b").select("b", mine("nx").alias("q"), every("nm").alias("p"), "id", "w", F.lit(True).alias("asks"))
+    rows = left.unionByName(right).join(sets, ["id", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tc.grouped(batches, ["b", "p", "q"]):
@@ -212,14 +229,14 @@ def joining(asked: DataFrame, label: DataFrame, docs: DataFrame, scratch: Scratc
                 yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64()), pa.array([t.column("b")[0].as_py()] * len(hits), pa.int64())], names=["a", "b"])
 
     out = scratch.keep(rows.repartition("b", "p", "q").sortWithinPartitions("b", "p", "q").select("b", "p", "q", "id", "asks", "s").mapInArrow(run, "a long, b long"), "links")
-    scratch.drop(sets)
+    scratch.drop(members, asking)
     return out
 
 
 def _mixed(shared: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): a member of a bucket and a larger component in it with a member whose estimate allows a link.
+    """(id, w, b): a member of a bucket and a larger component in it with a member whose estimate allows a link.
 
-    shared: key, id, n, low. Members of one component are not compared, and a component is named once per member.
+    shared: key, id, w, n, low. Members of one component are not compared, and a component is named once per member.
     """
     sized = label.groupBy("component").agg(F.count("*").alias("size"))
     named = shared.join(label.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -229,13 +246,13 @@ def _mixed(shared: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     mixed = mixed.select("key", F.col("top.label").alias("top"), F.ceil((F.col("rows") - F.col("top.m")) / BLOCK).alias("others"), F.ceil(F.col("top.m") / BLOCK).alias("tops"))
     rows = named.join(mixed, "key").withColumn("is_top", F.col("label") == F.col("top"))
     # Blocks 0.. of the others and, after them, of the largest component; all pairs of blocks but those of that component.
-    block = F.when(F.col("is_top"), F.col("others") + F.pmod(F.xxhash64("id"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others")))
+    block = F.when(F.col("is_top"), F.col("others") + F.pmod(F.xxhash64("id", "w"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("id", "w"), F.col("others")))
     rows = rows.withColumn("block", block.cast("long"))
     meet = F.when(F.col("is_top"), F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("others") + F.col("tops") - 1))
-    rows = rows.withColumn("other", F.explode(meet)).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "label", "size", "n", "low")
+    rows = rows.withColumn("other", F.explode(meet)).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "w", "label", "size", "n", "low")
 
     def close(t: pa.Table) -> np.ndarray:
-        block, label, size, ids, n = (t.column(c).to_numpy() for c in ("block", "label", "size", "id", "n"))
+        block, label, size, ids, w, n = (t.column(c).to_numpy() for c in ("block", "label", "size", "id", "w", "n"))
         low = t.column("low").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
         p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
         left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
@@ -251,17 +268,17 @@ def _mixed(shared: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
             x, y = x[fine], y[fine]
             # The member of the smaller component asks the larger one; of equals, the later one asks.
             asks = (size[x] < size[y]) | ((size[x] == size[y]) & (label[x] > label[y]))
-            pairs = np.stack([np.where(asks, ids[x], ids[y]), np.where(asks, label[y], label[x])])
+            pairs = np.stack([np.where(asks, ids[x], ids[y]), np.where(asks, w[x], w[y]), np.where(asks, label[y], label[x])])
             out.append(np.unique(pairs, axis=1))
-        return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), dtype=np.int64)
+        return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tc.grouped(batches, ["key", "p", "q"]):
-            a, b = close(t)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            found = close(t)
+            if found.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["id", "w", "b"])
 
-    found = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long")
+    found = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "id long, w long, b long")
     out = scratch.keep(found.distinct(), "asked")
     scratch.drop(named)
     return out
@@ -275,28 +292,37 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.keep(sign(base, shingle), "signed")
     nodes = signed.where("n > 0 and doc_id is not null")
-    classes = scratch.keep(nodes.groupBy("whole").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("low").alias("low")), "classes")
-    rows = classes.select("id", F.explode("keys").alias("key"))
-    hubs = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1").select("key", "hub")
+    classes = scratch.keep(nodes.groupBy("w", "x").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("low").alias("low")), "classes")
+    rows = classes.select("id", "w", F.explode("keys").alias("key"))
+    hubs = rows.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("id", "w")).alias("hub")).where("m > 1").select("key", "hub")
     shared = scratch.keep(rows.join(hubs, "key"), "shared")
-    sig = classes.select("id", "n", "low")
-    pairs = shared.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = pairs.join(sig.toDF("a", "na", "la"), "a").join(sig.toDF("b", "nb", "lb"), "b")
-    pairs = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_estimate("la", "lb") >= LEAST)).select("a", "b")
-    links = confirmed(scratch.keep(pairs, "pairs"), base, scratch, shingle, percent)
+    sets = full_sets(shared, base, scratch, shingle)
+    sig = classes.select("id", "w", "n", "low")
+    pairs = shared.select(F.col("id").alias("a"), F.col("w").alias("aw"), F.col("hub.id").alias("b"), F.col("hub.w").alias("bw")).where("a != b").distinct()
+    pairs = pairs.join(sig.toDF("a", "aw", "na", "la"), ["a", "aw"]).join(sig.toDF("b", "bw", "nb", "lb"), ["b", "bw"])
+    pairs = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_estimate("la", "lb") >= LEAST)).select("a", "aw", "b", "bw")
+    owner = classes.select("w", "x", F.col("id").alias("node"))
+    # An id with several texts joins the classes of all of them.
+    several = signed.groupBy("doc_id").agg(F.min(F.coalesce("w", F.lit(0))).alias("u"), F.max(F.coalesce("w", F.lit(0))).alias("v")).where("u != v and doc_id is not null").select("doc_id")
+    own = nodes.join(several, "doc_id", "left_semi").select("doc_id", "w", "x").join(owner, ["w", "x"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+    links = confirmed(scratch.keep(pairs, "pairs"), sets, scratch, percent).unionByName(own)
     label = components(links, scratch)
-    more = _mixed(shared.select("key", "id").join(sig, "id"), label, scratch)
+    more = _mixed(shared.select("key", "id", "w").join(sig, ["id", "w"]), label, scratch)
     if not more.isEmpty():
-        links = joining(more, label, base, scratch, shingle, percent)
+        links = joining(more, label, sets, scratch, percent)
         label = components(links.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
-    owner = classes.select("whole", F.col("id").alias("node")).join(label, "node", "left").select("whole", F.coalesce("component", "node").alias("component_id"))
-    # Rows of one id may belong to several classes; the id's least component holds for all of them.
-    out = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("whole")).alias("whole")).join(owner, "whole", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    owner = owner.join(label, "node", "left").select("w", "x", F.coalesce("component", "node").alias("component_id"))
+    slim = signed.select("doc_id", "n", "w", "x")
+    of_sets = slim.where("n > 0 and doc_id is not null").join(owner, ["w", "x"]).select("doc_id", "n", "component_id")
+    others = slim.where("n = 0 or doc_id is null").join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return of_sets.unionByName(others).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents of each group but its least id, with their columns; rows without id stay."""
+    """docs without the documents of each group but its least id, with their columns.
+
+    All rows of that id stay, repeated or not, for rows of one id are one document; rows without id stay.
+    """
     gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
