@@ -85,6 +85,27 @@ def test_typed_layouts_by_fingerprint(spark):
         chat.canonical_turns(spark.range(1).select(F.col("id").alias("conv_id")))
 
 
+@pytest.mark.parametrize("extra", ["prompt", "input", "output", "system", "response", "instruction", "completion", "prompt,response", "system,prompt,response", "instruction,input,output", "messages", "formatted,loss_mask,ts,t"])
+def test_further_columns_do_not_matter(spark, extra):
+    names = extra.split(",")
+    df = spark.createDataFrame([(*r, *["x"] * len(names)) for r in ROWS], "conv_id long, turn long, role string, text string, " + ", ".join(f"{c} string" for c in names))
+    got = chat.chat_digest(chat.format_chat(chat.canonical_turns(df))).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == brute(ROWS)
+
+
+def test_further_fields_of_json_records_do_not_matter(spark):
+    records = [
+        (1, {"messages": [{"role": "user", "content": "a"}], "prompt": "p"}, "messages"),
+        (2, {"prompt": "p", "response": "r", "output": "o"}, "prompt_response"),
+        (3, {"instruction": "do", "output": "done", "system": "s"}, "instruction"),
+        (4, {"instruction": "do", "input": "it", "output": "done", "prompt": "p", "completion": "c"}, "instruction_input"),
+    ]
+    got = chat.canonical_json_turns(spark.createDataFrame([(i, json.dumps(r)) for i, r, _ in records], "conv_id long, record string"))
+    assert {(r.conv_id, r.layout) for r in got.collect()} == {(i, layout) for i, _, layout in records}
+    for i, r, layout in records:
+        assert chat.recognised([p for p in chat.KNOWN if p.split("[")[0] in r]) == layout, i
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.chat_digest(chat.format_chat(df)).collect() == []

@@ -1,8 +1,9 @@
 """Chat formatting with DataFrame functions only: layouts told apart by schema fingerprints, one template for all.
 
 A layout is recognised by a fingerprint, the hash of the nested field paths it has among those that any mapping
-reads; other columns do not matter. The mapping of that fingerprint, a declaration of where roles and texts are,
-turns each record into canonical turns. Records in JSON are fingerprinted row by row, typed tables by their schema.
+reads. Where further columns bear such names, the fingerprint is that of the largest layout all of whose paths are there,
+the first declared of several as large; so other columns never matter. The mapping of that fingerprint, a declaration of
+where roles and texts are, turns each record into canonical turns. Records in JSON are fingerprinted row by row, typed tables by their schema.
 
 The template writes <s> and for each turn [role] , the text and </s>. Inside roles and texts every character that
 can begin or end a mark is written as a backslash and a letter, so no control string of this or a like template can
@@ -43,6 +44,14 @@ def fingerprint(paths: list[str] | tuple[str, ...]) -> str:
 
 
 MAPPINGS = {fingerprint(paths): name for name, paths in LAYOUTS.items()}
+#: Layouts from the least to the one that goes before all others.
+RANKED = sorted(LAYOUTS, key=lambda name: (len(LAYOUTS[name]), -list(LAYOUTS).index(name)))
+
+
+def recognised(paths: list[str]) -> str | None:
+    """The layout of a record with these paths."""
+    held = [name for name in RANKED if set(LAYOUTS[name]) <= set(paths)]
+    return MAPPINGS.get(fingerprint(paths)) or (MAPPINGS[fingerprint(LAYOUTS[held[-1]])] if held else None)
 
 
 def field_paths(schema: T.DataType, at: str = "") -> list[str]:
@@ -87,9 +96,7 @@ def _turns(layout: str, c) -> Column:
 def canonical_turns(records: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) of a typed table, by the mapping that its schema's fingerprint selects."""
     paths = field_paths(records.schema)
-    layout = MAPPINGS.get(fingerprint(paths))
-    if layout is None and id_col in records.columns:
-        layout = MAPPINGS.get(fingerprint([p for p in paths if p != "conv_id"]))
+    layout = recognised(paths)
     if layout is None:
         raise ValueError(f"no mapping for the paths {paths}")
     if layout == "rows":
@@ -111,8 +118,12 @@ def canonical_json_turns(records: DataFrame, *, id_col: str = "conv_id", json_co
 
     readable = [p for p in KNOWN if p not in LAYOUTS["rows"]]
     paths = F.filter(F.array(*[F.when(has(p), F.lit(p)) for p in readable]), lambda p: p.isNotNull())
-    marked = seen.withColumn("fingerprint", F.sha2(F.array_join(paths, "\n"), 256))
     named = {h: name for h, name in MAPPINGS.items() if name != "rows"}
+    own, largest = F.sha2(F.array_join("paths", "\n"), 256), F.lit(None).cast("string")
+    for name in RANKED:
+        held = F.size(F.array_except(F.array(*map(F.lit, LAYOUTS[name])), "paths")) == 0
+        largest = F.when(held, F.lit(fingerprint(LAYOUTS[name]))).otherwise(largest)
+    marked = seen.withColumn("paths", paths).withColumn("fingerprint", F.when(own.isin(list(named)), own).otherwise(largest))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
     for h, name in named.items():
         layout = F.when(F.col("fingerprint") == h, F.lit(name)).otherwise(layout)
