@@ -94,3 +94,26 @@ def test_mixed_documents(spark):
         assert w == text[r.doc_id][: len(w)] and r.n_chars == len(r.text)
         got[r.doc_id] += len(w)
     assert got == Counter({i: n for i, n in taken.items() if n})
+
+
+def test_alike_rows_and_clashing_columns(spark):
+    docs = [(1, f"a{i} b c d e", "x", i) for i in range(3)] + [(None, "p q", "x", 8), (None, "r s", "x", 9), (2, "u v w", "y", 1)]
+    kind = "doc_id long, text string, source string, _size int, _taken int, _part int, n int, slot int, t int"
+    df = spark.createDataFrame([(*d, 1, 2, 3, 4, 5) for d in docs], kind)
+    want = sum(r.taken for r in mixing.Mix(df, block=2).taken().collect())
+    rows = mixing.mixed_documents(df, block=2).collect()
+    assert sum(len(WORD.findall(r.text)) for r in rows) == want == 22 and {(r._taken, r.n, r.slot, r.t) for r in rows} == {(1, 3, 4, 5)}
+    whole = {d[1]: d[3] for d in docs}
+    assert all(whole.get(r.text, r._size) == r._size for r in rows)
+
+
+def test_the_mixture_is_in_the_order_of_the_schedule(spark):
+    docs = [(i, f"w{i} " * 30, "abcd"[i % 4]) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    first = {r.doc_id: r.first_slot for r in mixing.Mix(df, block=10).taken().collect()}
+    got = [r.doc_id for r in mixing.mixed_documents(df, block=10).collect()]
+    once = list(dict.fromkeys(got))
+    assert [first[i] for i in once] == sorted(first[i] for i in once)
+    # Sources alternate in proportion to their share from the start.
+    head = Counter("abcd"[i % 4] for i in got[:30])
+    assert set(head) == set("abcd") and head["a"] > head["c"]

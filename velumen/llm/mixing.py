@@ -4,12 +4,13 @@ Targets share the corpus by weight; a source stops at a cap of so many times its
 others by weight, which is a water level over the sources. Each source gets slots of equal tokens, the last one cut to
 its target. Van der Corput points (slot numbers with their bits reversed) fall on the cumulated slot counts, so that
 every stretch of the schedule holds each source in proportion. Slots are ranked within their source and join, rank by
-rank and round after round, the equal-token blocks of that source's shuffled documents.
+rank and round after round, the equal-token blocks of that source's shuffled documents. The mixture is written in the
+order of the slots, and every document tells where in the schedule its words stand.
 
 Nothing is gathered but two totals: shuffles and ranks use prefix sums over buckets of rows, whose number follows the
 input, and the table of sources is sent around only where Spark finds it small. Only that table, one row per source,
 is ever ordered in one task. Defined results: null or empty text has size 0 and is never taken; a null id is carried; repeated
-rows are documents of their own; an empty table gives no rows; reruns agree.
+rows are documents of their own, side by side on the line; an empty table gives no rows; reruns agree.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ BUCKET = 4096
 def sized(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(doc_id, source, size, key): size in words, key the place in the shuffle."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    # Rows without id are told apart by their texts, which spreads them over the shuffle.
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    key = F.md5(F.concat(F.lit(SEED + ":"), name))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"))
 
 
@@ -49,7 +52,7 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: fl
     # The first source, in order of its full level, that the water no longer fills sets the level of all after it.
     found = ranked.withColumn("level", level).withColumn("open", F.col("level") <= F.col("full_at")).withColumn("place", F.row_number().over(upto))
     final = F.min_by(F.when(F.col("open"), F.col("level")), F.when(F.col("open"), F.col("place"))).over(all_)
-    return found.withColumn("target", F.least("most", F.coalesce(F.col("weight") * final, F.col("most")))).select("source", "source_size", "documents", "target")
+    return found.withColumn("target", F.round(F.least("most", F.coalesce(F.col("weight") * final, F.col("most"))), 6)).select("source", "source_size", "documents", "target")
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -65,8 +68,9 @@ class Mix:
         self.spark: SparkSession = docs.sparkSession
         self.block = block
         # Ids, sources and sizes are read several times, texts once.
-        self.sizes = Scratch(self.spark, "mixing").keep(sized(docs, **columns))
-        self.sources = targets(self.sizes, weights=weights, share=share, cap=cap).withColumn("take", F.round("target").cast("long"))
+        scratch = Scratch(self.spark, "mixing")
+        self.sizes = scratch.keep(sized(docs, **columns))
+        self.sources = scratch.keep(targets(self.sizes, weights=weights, share=share, cap=cap).withColumn("take", F.round("target").cast("long")), "sources")
 
     def totals(self) -> tuple[int, int]:
         """Documents and slots."""
@@ -74,11 +78,11 @@ class Mix:
         return int(r[0] or 0), int(r[1] or 0)
 
     def lines(self, documents: int) -> DataFrame:
-        """Every document with its place `at` on its source's shuffled line of words."""
+        """Every document with words, with its place `at` on its source's shuffled line of words."""
         digits = 1
         while 16**digits * BUCKET < documents:
             digits += 1
-        placed = self.sizes.withColumn("bucket", F.substring("key", 1, digits))
+        placed = self.sizes.where("size > 0").withColumn("bucket", F.substring("key", 1, digits))
         sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
         start = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         sums = sums.select("source", "bucket", start.alias("start"))
@@ -107,8 +111,10 @@ class Mix:
         return local.join(counts, _same(F.col("d.source"), F.col("c.source")) & (F.col("d.chunk") == F.col("c.chunk"))).select("d.slot", "d.source", "d.source_size", "d.take", (F.col("c.first") + F.col("d.local")).alias("rank"))
 
     def pieces(self) -> DataFrame:
-        """The mixture in order of slot: (slot, source, round, doc_id, size, key, start, words), start in words."""
-        documents, n_slots = self.totals()
+        """The mixture's parts: (slot, source, round, doc_id, size, key, at, start, words), places in words."""
+        return self._pieces(*self.totals())
+
+    def _pieces(self, documents: int, n_slots: int) -> DataFrame:
         # The stretch of the source's endless line that a slot reads, cut where its rounds end.
         s = self.slots(n_slots).select("slot", "source", "source_size", (F.col("rank") * self.block).alias("low"), F.least((F.col("rank") + 1) * self.block, F.col("take")).alias("high"))
         s = s.withColumn("round", F.explode(F.sequence(F.expr("low div source_size"), F.expr("(high - 1) div source_size"))))
@@ -116,41 +122,47 @@ class Mix:
         high = F.least(F.col("high") - F.col("round") * F.col("source_size"), F.col("source_size"))
         s = s.select("slot", "source", "round", low.alias("low"), high.alias("high"))
         s = s.withColumn("block", F.explode(F.sequence(F.expr(f"low div {self.block}"), F.expr(f"(high - 1) div {self.block}")))).alias("s")
-        d = self.lines(documents).where("size > 0")
+        d = self.lines(documents)
         d = d.withColumn("block", F.explode(F.sequence(F.expr(f"at div {self.block}"), F.expr(f"(at + size - 1) div {self.block}")))).alias("l")
         low = F.greatest(F.col("s.low"), F.col("l.at"), F.col("l.block") * self.block)
         high = F.least(F.col("s.high"), F.col("l.at") + F.col("l.size"), (F.col("l.block") + 1) * self.block)
         return d.join(s, _same(F.col("l.source"), F.col("s.source")) & (F.col("l.block") == F.col("s.block"))).where(high > low).select(
-            "s.slot", "s.source", "s.round", "l.doc_id", "l.size", "l.key", (low - F.col("l.at")).alias("start"), (high - low).alias("words")
+            "s.slot", "s.source", "s.round", "l.doc_id", "l.size", "l.key", "l.at", (low - F.col("l.at")).alias("start"), (high - low).alias("words")
         )
 
     def taken(self) -> DataFrame:
-        """Per document: doc_id, size, source_size, target, taken."""
-        d = self.sizes.alias("d")
-        rows = d.join(self.sources.alias("s"), _same(F.col("d.source"), F.col("s.source"))).select("d.doc_id", "d.size", "s.source", "s.source_size", "s.target")
-        got = self.pieces().groupBy("doc_id", "source", "size").agg(F.sum("words").alias("words")).alias("g")
-        # Rows that are alike in id, source and size are told apart by number, and share what they give evenly.
-        alike = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"), F.first("source_size").alias("source_size"), F.first("target").alias("target")).alias("r")
-        both = alike.join(got, _same(F.col("r.doc_id"), F.col("g.doc_id")) & _same(F.col("r.source"), F.col("g.source")) & (F.col("r.size") == F.col("g.size")), "left")
-        both = both.select("r.doc_id", "r.source", "r.size", "r.source_size", "r.target", "r.copies", F.coalesce("g.words", F.lit(0)).alias("words"))
-        both = both.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        each = F.expr("words div copies") + F.when(F.col("n") <= F.col("words") % F.col("copies"), 1).otherwise(0)
-        return both.select("doc_id", "size", "source_size", "target", each.cast("long").alias("taken"), "source")
+        """Per document: doc_id, size, source_size, target, taken, source, first_slot, slot_words.
+
+        first_slot: where in the schedule the document first stands (null: nowhere); slot_words: the sum of slot times
+        words over all its parts.
+        """
+        documents, n_slots = self.totals()
+        got = self._pieces(documents, n_slots).groupBy("doc_id", "source", "size", "at").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.sum(F.col("slot") * F.col("words")).alias("slot_words")).alias("g")
+        d = self.lines(documents).alias("d")
+        same = _same(F.col("d.doc_id"), F.col("g.doc_id")) & _same(F.col("d.source"), F.col("g.source")) & (F.col("d.size") == F.col("g.size")) & (F.col("d.at") == F.col("g.at"))
+        n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+        some = d.join(got, same, "left").select("d.doc_id", "d.size", "d.source", n("taken"), "first_slot", n("slot_words"))
+        none = self.sizes.where("size = 0").select("doc_id", "size", "source", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.lit(0).cast("long").alias("slot_words"))
+        rows = some.unionByName(none).alias("d")
+        return rows.join(self.sources.alias("s"), _same(F.col("d.source"), F.col("s.source"))).select("d.doc_id", "d.size", "s.source_size", "s.target", "d.taken", "d.source", "d.first_slot", "d.slot_words")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mixture, with the columns of docs: whole copies, and at most one first part per source and round.
+    """The documents of the mixture, with the columns of docs, in the order of the schedule.
 
-    A document that the mixture takes more than once stands so many times; what is left of it is its first words.
+    A document stands once for every round that takes it, at its first slot there; the last one of a source may be cut
+    to its first words. Rows alike in id, source and size stand side by side on the line, in the order of their texts.
     """
-    taken = Mix(docs, **options).taken().where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("copies"))
-    keyed = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).alias("d")
-    both = keyed.join(taken.alias("t"), _same(F.col("d.doc_id"), F.col("t.doc_id")) & _same(F.col("d.source"), F.col("t.source")) & (F.col("d._size") == F.col("t.size")))
-    # Alike rows give alike amounts, to a word.
-    each = both.select("d.*", F.expr("t.taken div t.copies").alias("_taken")).where("_taken > 0")
-    each = each.withColumn("_part", F.explode(F.sequence(F.lit(1), F.expr("cast(ceil(_taken / _size) as int)"))))
-    words = F.expr("cast(least(_taken - (_part - 1) * _size, _size) as int)")
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), words), " ")
-    text = F.when(words == F.col("_size"), F.col("text")).otherwise(head)
-    out = [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return each.select(*out)
+    mix = Mix(docs, **options)
+    alike = ["doc_id", "source", "size"]
+    got = mix.pieces().groupBy(*alike, "at", "round").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    got = got.withColumn("n", F.dense_rank().over(W.partitionBy(*alike).orderBy("at"))).alias("t")
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    own = next(k for k, c in names.items() if c == "text")
+    rows = docs.select(*[F.col(c).alias(k) for k, c in names.items()], F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).where("size > 0")
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy(*alike).orderBy(F.xxhash64(own)))).alias("d")
+    each = rows.join(got, _same(F.col("d.doc_id"), F.col("t.doc_id")) & _same(F.col("d.source"), F.col("t.source")) & (F.col("d.size") == F.col("t.size")) & (F.col("d.n") == F.col("t.n")))
+    head = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(f"({WORD})"), 1), F.lit(1), F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") == F.col("t.size"), F.col(own)).otherwise(head)
+    each = each.select(*[text.alias(k) if k == own else F.col(k) for k in names], "t.slot", "t.at", "t.round").orderBy("slot", "round", "at")
+    return each.select(*[F.length(own).cast("long").alias(c) if c == "n_chars" else F.col(k).alias(c) for k, c in names.items()])

@@ -82,33 +82,52 @@ FROM marked GROUP BY conv_id
 """
 
 _OP6 = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+    md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS key
   FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
   SELECT *, CAST(list_extract([5.0, 2.0, 1.0], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)) AS DOUBLE) AS weight,
     CAST(source_size * 3 AS DOUBLE) AS most FROM per
-), levels AS (
-  SELECT *, most / weight AS full_at, row_number() OVER o AS place,
-    (sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-      / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-  FROM weighed WINDOW o AS (ORDER BY most / weight, source NULLS LAST)
+), shared(step, source, source_size, weight, most, target, over) AS (
+  SELECT 0, source, source_size, weight, most, sum(source_size) OVER () * weight / sum(weight) OVER (), false FROM weighed
+  UNION ALL
+  SELECT step + 1, source, source_size, weight, most,
+    CASE WHEN over OR target > most THEN most ELSE
+      (sum(source_size) OVER () - sum(CASE WHEN over OR target > most THEN most ELSE 0 END) OVER ()) * weight
+        / nullif(sum(CASE WHEN over OR target > most THEN 0 ELSE weight END) OVER (), 0) END,
+    over OR target > most
+  FROM (SELECT *, bool_or(target > most AND NOT over) OVER () AS again FROM shared) WHERE again
 ), aims AS (
-  SELECT source, source_size,
-    least(most, coalesce(weight * (SELECT arg_min(level, place) FROM levels WHERE level <= full_at), most)) AS target
-  FROM levels
+  SELECT source, source_size, round(target, 6) AS target, CAST(round(target) AS BIGINT) AS take
+  FROM shared WHERE step = (SELECT max(step) FROM shared)
 ), line AS (
-  SELECT s.*, a.source_size, a.target, CAST(round(a.target) AS BIGINT) AS take,
+  SELECT s.*, a.source_size, a.target, a.take,
     sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS place_at
   FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
+), counted AS (
+  SELECT source, take, source_size, CAST(ceil(take / 2048) AS BIGINT) AS n, CAST(sum(CAST(ceil(take / 2048) AS BIGINT)) OVER (ORDER BY source NULLS LAST) AS BIGINT) AS high FROM aims
+), bits AS (
+  SELECT max(high) AS slots, greatest(1, CAST(ceil(log2(greatest(max(high), 2))) AS INT)) AS b FROM counted
+), points AS (
+  SELECT slot, CAST(list_sum(list_transform(range(b), lambda k: ((slot >> k) & 1) << (b - 1 - k))) AS BIGINT) AS x
+  FROM bits, LATERAL unnest(range(1 << b)) AS u(slot)
+), drawn AS (
+  SELECT slot, source, source_size, take, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM points, bits, counted WHERE x < slots AND x >= high - n AND x < high
+), parts AS (
+  SELECT l.doc_id, l.source, l.size, l.place_at, slot,
+    least(least((rank + 1) * 2048, d.take), r * l.source_size + place_at + size) - greatest(rank * 2048, r * l.source_size + place_at) AS words
+  FROM line l JOIN drawn d ON l.source IS NOT DISTINCT FROM d.source, range(3) AS rounds(r)
+  WHERE size > 0 AND least(least((rank + 1) * 2048, d.take), r * l.source_size + place_at + size) > greatest(rank * 2048, r * l.source_size + place_at)
+), got AS (
+  SELECT doc_id, source, size, place_at, sum(words) AS taken, min(slot) AS first_slot, sum(slot * words) AS slot_words FROM parts GROUP BY ALL
 )
-SELECT doc_id, size, source_size, target, source,
-  CAST(CASE WHEN size = 0 THEN 0 ELSE take // source_size * size
-    + greatest(0, least(size, take % source_size - place_at)) END AS BIGINT) AS taken
-FROM line
+SELECT l.doc_id, l.size, l.source_size, l.target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken, l.source,
+  CAST(first_slot AS BIGINT) AS first_slot, CAST(coalesce(slot_words, 0) AS BIGINT) AS slot_words
+FROM line l LEFT JOIN got g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.source IS NOT DISTINCT FROM g.source AND l.size = g.size AND l.place_at = g.place_at
 """
 
 _OP10 = """
@@ -116,7 +135,69 @@ SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_byt
 FROM documents
 """
 
+_OP3 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), windows AS (
+  SELECT rid, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM docs, LATERAL unnest(range(1, len(words) - 33)) AS u(i)
+), again AS (
+  SELECT rid, i FROM windows JOIN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1) USING (h)
+), gone AS (
+  SELECT DISTINCT rid, i + k AS place FROM again, range(35) AS r(k)
+), each AS (
+  SELECT rid, place, words[place] AS word FROM docs, LATERAL unnest(range(1, len(words) + 1)) AS u(place)
+), kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n FROM each ANTI JOIN gone USING (rid, place) GROUP BY rid
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)
+"""
+
+_OP4 = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT rid, doc_id, array_to_string(words[i:i + 4], ' ') AS s
+  FROM docs, LATERAL unnest(range(1, greatest(len(words) - 3, CASE WHEN len(words) > 0 THEN 2 ELSE 1 END))) AS u(i)
+), sizes AS (
+  SELECT rid, count(*) AS n FROM shingles GROUP BY rid
+), common AS (
+  SELECT a.rid AS x, b.rid AS y, any_value(a.doc_id) AS a, any_value(b.doc_id) AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.rid <> b.rid GROUP BY a.rid, b.rid
+), links AS (
+  SELECT DISTINCT a, b FROM common JOIN sizes p ON p.rid = x JOIN sizes q ON q.rid = y WHERE 100 * common.n >= 75 * (p.n + q.n - common.n) AND a <> b
+), reach(a, b) AS (
+  SELECT DISTINCT doc_id, doc_id FROM docs UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, coalesce(doc_id = component_id, true) AS kept
+FROM docs LEFT JOIN sizes USING (rid) LEFT JOIN least ON least.a = doc_id
+"""
+
+_OP7 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), usable AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.rid <> b.rid AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.95
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+), reach(a, b) AS (
+  SELECT DISTINCT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM v LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a = vec_id
+"""
+
 ORACLES = {
+    "op3_recompression_dedup": _OP3,
+    "op4_bbit_minhash": _OP4,
     "op5_chat_fingerprint": _OP5,
     "op6_low_discrepancy_mix": _OP6,
     "op10_tiered_compaction": _OP10,
