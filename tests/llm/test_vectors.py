@@ -38,17 +38,61 @@ def run(spark, rows, **kw):
     return vectors.near_duplicates(df, **kw).collect()
 
 
-@pytest.mark.parametrize("shard", [1500, 40])
-def test_recall_and_precision(spark, monkeypatch, shard):
-    monkeypatch.setattr(vectors, "SHARD", shard)
+def whole(rows):
+    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rows}
+
+
+@pytest.mark.parametrize(("region", "shard", "dealt"), [(8192, 1024, 16384), (8192, 30, 64), (120, 20, 64), (60, 1024, 100)])
+def test_recall_and_precision(spark, monkeypatch, region, shard, dealt):
+    for name, value in (("REGION", region), ("SHARD", shard), ("DEALT", dealt)):
+        monkeypatch.setattr(vectors, name, value)
     rows = corpus(4)
-    want, got = brute(rows), {r.vec_id: (r.n_links, r.component_id, r.kept) for r in run(spark, rows)}
+    want, got = brute(rows), whole(run(spark, rows))
     assert set(got) == set(want)
     assert all(got[i][0] <= want[i][0] for i in want)
     assert sum(g[0] for g in got.values()) >= 0.97 * sum(w[0] for w in want.values())
     assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
 
 
+def pairs_of(n, cosine, dim=64, seed=8):
+    """Two rows of vectors, each with one partner of exactly that cosine, and nothing else near."""
+    rng = np.random.default_rng(seed)
+    a, z = (rng.normal(size=(n, dim)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (a * z).sum(axis=1, keepdims=True) * a
+    return np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)])
+
+
+@pytest.mark.parametrize("cosine", [0.9505, 0.97])
+def test_many_small_groups_over_regions(spark, monkeypatch, cosine):
+    monkeypatch.setattr(vectors, "REGION", 400)
+    monkeypatch.setattr(vectors, "SHARD", 60)
+    rows = list(enumerate(pairs_of(1500, cosine).tolist()))
+    # A least recall of 0 takes the first attempt as it is.
+    out = run(spark, rows, least_recall=0.0)
+    assert sum(r.n_links for r in out) >= 0.99 * 3000 and all(r.n_links <= 1 for r in out)
+    # Links and components agree, and audited vectors tell their recall.
+    assert all(r.component_id == (r.vec_id % 1500 if r.n_links else r.vec_id) for r in out)
+    seen = [r for r in out if r.audit_recall is not None]
+    assert len(seen) >= 50 and all(r.audit_recall == r.n_links for r in seen)
+
+
+def test_a_tight_group_beyond_any_pivot(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "REGION", 50)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=12) + rng.normal(size=(160, 12)) * 0.02, rng.normal(size=(80, 12))])
+    rows = list(enumerate(x.tolist()))
+    assert whole(run(spark, rows)) == brute(rows)
+
+
+def test_rows_of_one_id_are_one_vertex(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, None), (8, c), (2, c), (9, None)]
+    out = run(spark, rows)
+    assert {(r.vec_id, r.component_id) for r in out} == {(3, 3), (5, 3), (7, 3), (8, 2), (2, 2), (9, 9)}
+    assert sorted((r.vec_id, r.n_links) for r in out) == [(2, 1), (3, 1), (5, 1), (5, 1), (7, 1), (8, 0), (8, 1), (9, 0)]
+
+
 def test_defined_cases(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [nan, 1.0]), (7, [float("inf"), 1.0]), (8, []), (9, [1.0, 0.0, 0.0]), (10, [1.0, 0.0]), (11, [0.0, 1.0])]
@@ -58,44 +102,52 @@ def test_defined_cases(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
-def test_one_tight_group_over_many_blocks():
+def test_one_tight_group_in_a_region():
     rng = np.random.default_rng(3)
     x = rng.normal(size=12) + rng.normal(size=(400, 12)) * 0.02
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    adj = vectors.pruned(x, 1)
-    found = vectors.in_range(x, vectors.padded(adj), 0.95, 32, step=3000)
+    found = vectors.in_range(x, vectors.flat_graph(x, 1, 0.1), 0.95, 8, step=3000)
     assert found.sum() >= 0.99 * 400 * 399 and (vectors._local_roots(found, np.arange(400) * 3) == 0).all()
 
 
-def test_pairs_that_share_no_shard(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "SHARD", 20)
-    rng = np.random.default_rng(8)
-    a, z = (rng.normal(size=(400, 64)) for _ in range(2))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    z -= (a * z).sum(axis=1, keepdims=True) * a
-    b = 0.952 * a + np.sqrt(1 - 0.952**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    rows = list(enumerate(np.concatenate([a, b]).tolist()))
-    # A least recall of 0 takes the first attempt as it is.
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in run(spark, rows, least_recall=0.0)}
-    assert got == brute(rows)
+def test_edges_cross_shards():
+    x = pairs_of(300, 0.96, dim=32)
+    off, to, starts = vectors.flat_graph(x, 5, 0.1, 40)
+    parts = vectors.shards(x.astype(np.float32), np.random.default_rng(5), 0.1, 40)
+    homes = [set(i for i, rows in enumerate(parts) if v in rows) for v in range(len(x))]
+    beyond = sum(1 for v in range(len(x)) if len(set().union(*(homes[u] for u in to[off[v] : off[v + 1]])) - homes[v]) > 0)
+    assert len(parts) > 5 and beyond > 300 and len(starts) >= len(parts)
 
 
 def test_all_pairs_are_compared_after_the_last_attempt(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "SHARD", 40)
+    monkeypatch.setattr(vectors, "REGION", 60)
     monkeypatch.setattr(vectors, "in_range", lambda x, *_: np.zeros((len(x), len(x)), dtype=bool))
     rows = corpus(4, n=150)
-    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in run(spark, rows)} == brute(rows)
+    assert whole(run(spark, rows)) == brute(rows)
 
 
 def test_audit_sees_rare_links_and_small_groups(spark):
+    from velumen.llm.scratch import Scratch
+
+    scratch = Scratch(spark, "test")
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1000, 32))
     x[1] = x[0] + 0.01
-    classes = lambda v: spark.createDataFrame([(i, r, 32, 1) for i, r in enumerate(v.tolist())], "id long, v array<double>, dim int, size long")
+    classes = lambda v: spark.createDataFrame([(i, r.tobytes(), 32, 1) for i, r in enumerate(v)], "id long, v binary, dim int, size long")
     none = spark.createDataFrame([], "id long, links long")
-    assert vectors.recall(classes(x), none, 0.95, 8) == 0.0
+    assert vectors.recall(classes(x), none, scratch, 0.95, 8)[0] == 0.0
     # One group of 300, all found, and 30 pairs, none found.
     x[:300] = x[0] + rng.normal(size=(300, 32)) * 0.01
     x[300:330] = x[330:360] + 0.01
     large = spark.createDataFrame([(i, 299) for i in range(300)], "id long, links long")
-    assert vectors.recall(classes(x), large, 0.95, 1000) == 0.0
+    assert vectors.recall(classes(x), large, scratch, 0.95, 1000)[0] == 0.0
+
+
+def test_double_precision_and_integers(spark):
+    eps = 1e-10
+    near, far = 0.95 + eps, 0.95 - eps
+    rows = [(1, [1.0, 0.0]), (2, [near, float(np.sqrt(1 - near**2))]), (3, [far, -float(np.sqrt(1 - far**2))])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {(r.vec_id, r.n_links) for r in vectors.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 0)}
+    df = spark.createDataFrame([(1, [1, 0]), (2, [2, 0]), (3, [0, 1])], "vec_id long, embedding array<int>")
+    assert {(r.vec_id, r.n_links) for r in vectors.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 0)}

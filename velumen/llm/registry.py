@@ -36,7 +36,7 @@ def op6_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).drop("audit_recall")
 
 
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,5 +200,6 @@ ORACLES = {
     "op4_bbit_minhash": _OP4,
     "op5_chat_fingerprint": _OP5,
     "op6_low_discrepancy_mix": _OP6,
+    "op7_robust_pruned_graph": _OP7,
     "op10_tiered_compaction": _OP10,
 }

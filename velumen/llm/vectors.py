@@ -1,21 +1,27 @@
-"""Embedding near-duplicates by robust-pruned graphs on overlapping shards.
+"""Embedding near-duplicates by robust-pruned flat graphs.
 
-Equal vectors are one class, which goes on once with its size. Classes are dealt to shards around dispersed pivots,
-each to its two nearest; a shard that is still too large is dealt again, and one that pivots cannot part (a great many
-nearly equal vectors) is cut into blocks of which every two make a shard. In each shard near and far candidates of
-every vector are pruned robustly (a candidate goes when a kept neighbour is much nearer to it). The adjacency lists a
-vector has from its shards are united, and every vector is searched for in its shards: a greedy search with a beam
-starts from the shard's medoids, and from every hit within range the range is expanded over the graph until nothing
-new turns up. Hits are verified in double precision. A pair that shares several shards counts in the first of them, so
-links are counted without listing pairs; a shard gives a spanning edge per vector for the components.
+Equal vectors are one class, which goes on once with its size. Classes are dealt to regions around dispersed pivots, each
+to all pivots that are not much farther than its nearest, so that two linked vectors share a region but by rare chance. A
+region that is still too large is dealt again, as often as it takes; one that pivots cannot part (a great many nearly
+equal vectors) is cut into blocks of which every two make a region.
+
+A region is dealt once more, to small overlapping cluster shards. In each shard near and far candidates of every vector
+are pruned robustly (a candidate goes when a kept neighbour is much nearer to it), and the adjacency lists of all shards
+are united into one flat graph over the region, whose edges cross the shards. Every vector is searched for in that graph:
+a greedy search with a beam starts from the shards' medoids and from the vector's own vertex, and from every hit within
+range the range is expanded over the graph until nothing new turns up. No task compares all vectors of a region. Hits are
+verified in double precision. A pair that shares several regions belongs to the first of them and to no other, for counts
+and components alike, so links are counted without listing pairs and agree with the components.
 
 Recall is audited by brute force against all rows for samples of about `audit` vectors and more, until enough linked ones
-of small groups were seen; each counts alike, small and large groups apart. A recall under `least_recall` widens beam and overlap and
-searches again; after the third search all pairs are compared.
+of small groups were seen; each counts alike, small and large groups apart, and audited vectors carry their own recall in
+the output. A recall under `least_recall` widens beam and overlap and searches again; after the second search all pairs
+are compared, block against block.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components have no links, nor has a
-row without id; vectors of different lengths are not compared; rows of one id are one vertex; repeated rows are equal
-vectors; an empty table gives no rows; other columns are ignored.
+row without id; vectors of different lengths are not compared; rows of one id are one vertex, whatever their vectors, so
+they share a component, while links are counted for each row's own vector; repeated rows are equal vectors; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,33 +31,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 from velumen.llm import textcore as tc
 from velumen.llm.graph import _roots, components
-from velumen.llm.scratch import Scratch
+from velumen.llm.scratch import Scratch, partitions
 
 COSINE = 0.95
-#: A shard is dealt again above this size, and cut into pairs of blocks above twice this size.
-SHARD = 1500
-PIVOTS = 256
-NEAR, FAR_, DEGREE, SLACK = 48, 24, 20, 1.2
+#: Vectors of a region at most, about as many of a shard, and of a task that deals them out.
+REGION, SHARD, DEALT = 8192, 1024, 16_384
+#: Pivots of one dealing at most, and dealings of one vector.
+PIVOTS, LEVELS = 2048, 6
+NEAR, FAR_, DEGREE, SLACK = 32, 12, 18, 1.2
 #: Linked classes of small groups that an audit must see, classes that one pass of it looks at, links of a class in a large group.
 LINKED, AUDITED, LARGE = 50, 8192, 10
+#: Classes that an audit looks at in all, at most.
+MOST_AUDITED = 65_536
 _log = logging.getLogger(__name__)
 
 
-def unit(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of a list column as unit vectors in double precision."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
-    scale = np.abs(x).max(axis=1, keepdims=True)
-    x = x / scale
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def stacked(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors of a column of packed vectors of one length, four or eight bytes a component."""
+    raw = b"".join(x.as_buffer().to_pybytes() for x in column)
+    return unit(np.frombuffer(raw, f"<f{len(raw) // (dim * len(column))}").reshape(-1, dim)) if len(column) else np.zeros((0, dim))
+
+
+def prepared(vectors: DataFrame) -> DataFrame:
+    """(vec_id, k, x, dim, v): 128 bits of each usable vector's components, its length and its packed form; else nulls."""
+    kind = vectors.schema["v"].dataType
+    plain = vectors if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else vectors.withColumn("v", F.col("v").cast("array<double>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, n = batch.column(1), batch.num_rows
+            off = np.asarray(lists.offsets)
+            flat = lists.values.to_numpy(zero_copy_only=False) + 0.0  # null is NaN, and no zero is negative
+            size = np.where(np.asarray(lists.is_valid()) & np.asarray(batch.column(0).is_valid()), np.diff(off), 0)
+            keys, dims, packed = np.zeros((2, n), dtype=np.uint64), np.zeros(n, dtype=np.int32), [None] * n
+            for dim in np.unique(size[size > 0]):
+                rows = np.flatnonzero(size == dim)
+                m = flat[off[:-1][rows][:, None] + np.arange(dim)]
+                some = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
+                for r, line in zip(rows[some], np.ascontiguousarray(m[some]), strict=True):
+                    raw = line.tobytes()
+                    h = xxhash.xxh3_128_intdigest(raw)
+                    keys[0, r], keys[1, r], dims[r], packed[r] = h >> 64, h & 0xFFFFFFFFFFFFFFFF, dim, raw
+            none = dims == 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(k.view(np.int64), mask=none) for k in keys), pa.array(dims, mask=none), pa.array(packed, pa.binary())], names=["vec_id", "k", "x", "dim", "v"])
+
+    return plain.select("vec_id", "v").mapInArrow(run, "vec_id long, k long, x long, dim int, v binary")
+
+
+def margin(dim: int, cosine: float, wide: float) -> float:
+    """By how much a pivot's cosine may stay below the nearest one's: so many standard deviations of what the difference
+    between two linked vectors, in a random direction, adds to the difference between two pivots' cosines."""
+    return wide * float(np.sqrt(2 * (1 - cosine**2) / max(dim - 1, 1)))
+
+
 def dispersed(x: np.ndarray, most: int, apart: float = 0.9) -> np.ndarray:
     """Rows no two of which are closer than `apart`, in the given order."""
     kept: list[int] = []
@@ -63,91 +109,122 @@ def dispersed(x: np.ndarray, most: int, apart: float = 0.9) -> np.ndarray:
     return x[kept]
 
 
-def deal(classes: DataFrame, scratch: Scratch, overlap: int) -> DataFrame:
-    """(shard, id, v, dim, size) with every class in `overlap` or more shards of bounded size."""
-    now = classes.select(F.xxhash64(F.lit("root"), "dim").alias("shard"), "id", "v", "dim", "size")
-    done: list[DataFrame] = []
-    for level in range(3):
-        sizes = {r.shard: (r.n, r.dim) for r in now.groupBy("shard").agg(F.count("*").alias("n"), F.first("dim").alias("dim")).where(F.col("n") > SHARD).limit(PIVOTS + 1).collect()} if level < 2 else {}
-        if not sizes or len(sizes) > PIVOTS:
-            break
-        # A bounded number of candidates per shard; ids decide, so reruns agree.
-        wanted = {s: min(PIVOTS, -(-2 * n // SHARD)) for s, (n, _) in sizes.items()}
-        share = F.lit(0.0)
-        for s, (n, _) in sizes.items():
-            share = F.when(F.col("shard") == s, F.lit(min(1.0, 4 * wanted[s] / n))).otherwise(share)
-        picked = now.where(F.col("shard").isin(list(sizes))).where(F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) < share * (1 << 30)).select("shard", "id", "v").toPandas().sort_values(["shard", "id"])
-        pivots = {}
-        for s, group in picked.groupby("shard"):
-            p = dispersed(unit(pa.array(list(group["v"])), sizes[s][1]), wanted[s])
-            if len(p) > 1:
-                pivots[int(s)] = p
-        if not pivots:
-            break
-        shared = classes.sparkSession.sparkContext.broadcast(pivots)
+_MEMBERS = "shard long, earlier array<long>, id long, v binary, dim int, size long, settled boolean"
 
-        def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                shard = batch.column(0).to_numpy()
-                for s in np.unique(shard):
-                    rows = batch.filter(pa.array(shard == s))
-                    p = shared.value[int(s)]
-                    x = unit(rows.column(2), p.shape[1])
-                    for i in range(0, len(x), 4096):
-                        near = np.argsort(-(x[i : i + 4096] @ p.T), axis=1)[:, :overlap]
-                        part = rows.slice(i, len(near))
-                        for k in range(near.shape[1]):
-                            new = tc.mix(np.full(len(near), int(s) & ((1 << 64) - 1), dtype=np.uint64) + near[:, k].astype(np.uint64) * tc.U(0x9E3779B97F4A7C15)).view(np.int64)
-                            yield pa.RecordBatch.from_arrays([pa.array(new), *part.columns[1:]], names=batch.schema.names)
-
-        split = F.col("shard").isin(list(pivots))
-        done.append(now.where(~split))
-        now = scratch.keep(now.where(split).mapInArrow(nearest, now.schema).distinct(), "dealt")
+
+def deal(classes: DataFrame, scratch: Scratch, cosine: float, wide: float) -> DataFrame:
+    """(shard, earlier, id, v, dim, size): every class in one or more regions of bounded size.
+
+    earlier: the alternatives that a class had before the ones which led here. Two classes that share one of them meet there.
+    """
+    now = classes.select(F.xxhash64(F.lit("root"), "dim").alias("shard"), F.array().cast("array<long>").alias("earlier"), "id", "v", "dim", "size", F.lit(False).alias("settled"))
+    tasks, done = partitions(scratch.spark), []
+    for level in range(LEVELS):
+        sizes = now.where("not settled").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > REGION)
+        big = scratch.keep(sizes.withColumn("wanted", F.least(F.lit(PIVOTS), F.ceil(3 * F.col("n") / REGION))).withColumn("salts", F.ceil(F.col("n") / DEALT)), "big")
+        if big.isEmpty():
+            break
+        at = now.where("not settled").join(big, "shard")
+        # About four candidates for each pivot, chosen by id, go to every task that deals out their region's vectors.
+        pick = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) < 4 * F.col("wanted") / F.col("n") * (1 << 30)
+        data = at.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).withColumn("pivot", F.lit(False))
+        chosen = at.where(pick).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).withColumn("pivot", F.lit(True))
+
+        def nearest(batches: Iterator[pa.RecordBatch], level=level) -> Iterator[pa.RecordBatch]:
+            for t in tc.grouped(batches, ["shard", "salt"]):
+                t = t.combine_chunks()
+                pivot, dim, shard = t.column("pivot").to_numpy(), t.column("dim")[0].as_py(), t.column("shard")[0].as_py()
+                some = t.filter(pa.array(pivot)).sort_by("id")
+                p = dispersed(stacked(some.column("v").combine_chunks(), dim), t.column("wanted")[0].as_py()) if some.num_rows else np.zeros((0, dim))
+                t = t.filter(pa.array(~pivot)).select(names)
+                if len(p) < 2:  # a group that pivots cannot part
+                    yield from t.set_column(6, "settled", pa.array([True] * t.num_rows)).to_batches()
+                    continue
+                s = stacked(t.column("v").combine_chunks(), dim) @ p.T
+                row, k = np.nonzero(s >= s.max(axis=1, keepdims=True) - margin(dim, cosine, wide))
+                new = tc.mix(np.uint64(shard & ((1 << 64) - 1)) + (k.astype(np.uint64) + tc.U(1)) * tc.U(0x9E3779B97F4A7C15)).view(np.int64)
+                first = np.searchsorted(row, row)  # alternatives of a row are in order
+                before, n = t.column("earlier").to_pylist(), np.arange(len(row))
+                earlier = [before[r] + [level << 32 | int(x) for x in k[f:i]] for r, f, i in zip(row, first, n, strict=True)]
+                out = t.take(pa.array(row)).set_column(0, "shard", pa.array(new)).set_column(1, "earlier", pa.array(earlier, pa.list_(pa.int64())))
+                yield from out.to_batches()
+
+        names = [c.split()[0] for c in _MEMBERS.split(", ")]
+        rows = data.unionByName(chosen).select(*names, "wanted", "salt", "pivot")
+        done.append(now.join(big.select("shard"), "shard", "left_anti"))
+        now = scratch.keep(rows.repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt").mapInArrow(nearest, _MEMBERS), "dealt")
+        done.append(now.where("settled"))
+        now = now.where("not settled")
     for part in done:
         now = now.unionByName(part)
-    now = scratch.keep(now, "members")
-    big = now.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * SHARD).withColumn("blocks", F.ceil(F.col("n") / SHARD)).drop("n")
+    now = now.drop("settled")
+    big = scratch.keep(now.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > REGION).select("shard", F.ceil(2 * F.col("n") / REGION).alias("blocks")), "big")
     if big.isEmpty():
         return now
-    marked = now.join(big, "shard", "left")
-    block = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks"))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != block)
-    cut = marked.where("blocks is not null").withColumn("other", F.explode(others)).withColumn("mine", block)
-    cut = cut.select(F.xxhash64("shard", F.least("mine", "other"), F.greatest("mine", "other")).alias("shard"), "id", "v", "dim", "size")
-    return scratch.keep(marked.where("blocks is null").drop("blocks").unionByName(cut), "members")
-
-
-def pruned(x: np.ndarray, seed: int) -> np.ndarray:
+    cut = now.join(big, "shard").withColumn("mine", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")))
+    code = lambda j: F.least("mine", j) * F.col("blocks") + F.greatest("mine", j) + (1 << 40)
+    codes = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("mine")), code)
+    cut = cut.withColumn("codes", codes).withColumn("here", F.explode("codes"))
+    earlier = F.concat("earlier", F.filter("codes", lambda c: c < F.col("here")))
+    cut = cut.select(F.xxhash64("shard", "here").alias("shard"), earlier.alias("earlier"), "id", "v", "dim", "size")
+    return now.join(big, "shard", "left_anti").unionByName(cut)
+
+
+def shards(x: np.ndarray, rng: np.random.Generator, apart: float, about: int) -> list[np.ndarray]:
+    """Overlapping cluster shards of a region's rows: each row around every pivot not much farther than its nearest."""
+    if len(x) <= 2 * about:
+        return [np.arange(len(x))]
+    p = dispersed(x[rng.permutation(len(x))[: 4 * about]], -(-2 * len(x) // about))
+    s = x @ p.T
+    member = s >= s.max(axis=1, keepdims=True) - apart
+    return [rows for k in range(len(p)) if len(rows := np.flatnonzero(member[:, k]))]
+
+
+def pruned(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Adjacency lists (-1: none) of a shard: robust pruning of the nearest and of some far candidates."""
     n = len(x)
     near = min(NEAR, n - 1)
-    if near < 1:
-        return np.full((n, 1), -1, dtype=np.int64)
-    s = x.astype(np.float32) @ x.astype(np.float32).T
-    np.fill_diagonal(s, -2)
-    close = np.argpartition(-s, near - 1, axis=1)[:, :near]
-    far = np.random.default_rng(seed).integers(0, n, (n, FAR_))
-    cand = np.concatenate([close, far], axis=1)
-    own = np.arange(n)[:, None]
-    d = 1 - s[own, cand]
-    d[cand == own] = np.inf
-    order = np.argsort(d, axis=1, kind="stable")
-    cand, d = np.take_along_axis(cand, order, axis=1), np.take_along_axis(d, order, axis=1)
-    d[:, 1:][cand[:, 1:] == cand[:, :-1]] = np.inf
     out = np.full((n, DEGREE), -1, dtype=np.int64)
-    rows = np.arange(n)
-    for k in range(DEGREE):
-        best = np.argmin(d, axis=1)
-        alive = np.isfinite(d[rows, best])
-        if not alive.any():
-            break
-        pick = cand[rows, best]
-        out[alive, k] = pick[alive]
-        d[SLACK * (1 - s[pick[:, None], cand]) <= d] = np.inf
-        d[rows, best] = np.inf
+    if near < 1:
+        return out
+    for a in range(0, n, 256):
+        m = min(256, n - a)
+        rows = np.arange(m)
+        s = x[a : a + m] @ x.T
+        s[rows, a + rows] = -2
+        cand = np.concatenate([np.argpartition(-s, near - 1, axis=1)[:, :near], rng.integers(0, n, (m, FAR_))], axis=1)
+        cand.sort(axis=1)
+        d = 1 - np.take_along_axis(s, cand, axis=1)
+        d[:, 1:][cand[:, 1:] == cand[:, :-1]] = np.inf
+        d[cand == a + rows[:, None]] = np.inf
+        v = x[cand]
+        between = 1 - v @ v.transpose(0, 2, 1)
+        for k in range(DEGREE):
+            best = np.argmin(d, axis=1)
+            alive = np.isfinite(d[rows, best])
+            if not alive.any():
+                break
+            out[a + rows[alive], k] = cand[rows[alive], best[alive]]
+            d[SLACK * between[rows, best] <= d] = np.inf
+            d[rows, best] = np.inf
     return out
 
 
+def flat_graph(x: np.ndarray, seed: int, apart: float, about: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets and neighbours of the united lists of all shards, both ways, and the shards' medoids."""
+    rng, slim, edges, starts = np.random.default_rng(seed), x.astype(np.float32), [], []
+    for rows in shards(slim, rng, apart, about):
+        part = slim[rows]
+        adj = pruned(part, rng)
+        i, k = np.nonzero(adj >= 0)
+        a, b = rows[i], rows[adj[i, k]]
+        edges += [a * len(x) + b, b * len(x) + a]
+        starts.append(rows[np.argmax(part @ part.mean(axis=0))])
+    key = np.unique(np.concatenate(edges))
+    a = key // len(x)
+    return np.searchsorted(a, np.arange(len(x) + 1)), key % len(x), np.unique(np.concatenate([starts, medoids(slim)]))
+
+
 def medoids(x: np.ndarray, most: int = 12) -> np.ndarray:
     """The most central vector, and after it those farthest from all before."""
     first = int(np.argmax(x @ x.mean(axis=0)))
@@ -158,39 +235,40 @@ def medoids(x: np.ndarray, most: int = 12) -> np.ndarray:
     return np.array(found)
 
 
-def padded(adj: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and neighbours of lists that are filled up with -1."""
-    return np.concatenate([[0], np.cumsum((adj >= 0).sum(axis=1))]), adj[adj >= 0]
-
-
-def in_range(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray], cosine: float, beam: int, step: int = 1 << 20) -> np.ndarray:
+def in_range(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray, np.ndarray], cosine: float, beam: int, step: int = 1 << 20) -> np.ndarray:
     """Symmetric matrix of the pairs that range search over the graph finds and double precision verifies.
 
-    graph: offsets and neighbours. No more than about `step` neighbours are looked at at once.
+    graph: offsets, neighbours, medoids. No more than about `step` neighbours are looked at at once.
     """
-    n, (off, to) = len(x), graph
+    n, (off, to, starts) = len(x), graph
     degree = np.diff(off)
     found = np.zeros((n, n), dtype=bool)
-    starts = medoids(x)
     slim = x.astype(np.float32)
 
-    def unseen(qi: np.ndarray, v: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Neighbours of v that query qi has not seen, now seen: query, neighbour, cosine."""
+    def unseen(a: int, qi: np.ndarray, v: np.ndarray, seen: np.ndarray, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Neighbours of v that query qi has not seen, now seen: query, neighbour, cosine. once: each query stands but once."""
         m = degree[v]
         nb = to[np.repeat(off[v] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
         key = np.repeat(qi, m) * n + nb
-        key = np.unique(key[~seen.ravel()[key]])
+        key = key[~seen.ravel()[key]]
+        key = key if once else np.unique(key)
         seen.ravel()[key] = True
-        return key // n, key % n, np.einsum("ij,ij->i", slim[a + key // n], slim[key % n])
+        q, nb = key // n, key % n
+        return q, nb, np.einsum("ij,ij->i", slim[a + q], slim[nb])
 
-    for a in range(0, n, 512):
-        size = min(512, n - a)
+    for a in range(0, n, 256):
+        size = min(256, n - a)
         rows = np.arange(size)
         seen = np.zeros((size, n), dtype=bool)
         seen[:, starts] = True
-        ids, sims = np.tile(starts, (size, 1)), slim[a : a + size] @ slim[starts].T
+        s = slim[a : a + size] @ slim[starts].T
+        hits = [(np.repeat(rows, len(starts)), np.tile(starts, size), s.ravel())]
+        # The beam begins with the nearest medoids and the query's own vertex.
+        top = np.argsort(-s, axis=1)[:, : max(2, beam // 2)]
+        ids, sims = np.concatenate([starts[top], a + rows[:, None]], axis=1), np.concatenate([np.take_along_axis(s, top, axis=1), np.ones((size, 1), np.float32)], axis=1)
         fresh = np.ones(ids.shape, dtype=bool)
-        hits = [(np.repeat(rows, len(starts)), ids.ravel(), sims.ravel())]
+        fresh[:, :-1] &= ids[:, :-1] != ids[:, -1:]
+        seen[rows, a + rows] = True
         while True:
             score = np.where(fresh, sims, -np.inf)
             at = np.argmax(score, axis=1)
@@ -198,7 +276,7 @@ def in_range(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray], cosine: float,
             if not len(go):
                 break
             fresh[go, at[go]] = False
-            qi, v, s = unseen(go, ids[go, at[go]], seen)
+            qi, v, s = unseen(a, go, ids[go, at[go]], seen, True)
             hits.append((qi, v, s))
             place = np.arange(len(qi)) - np.searchsorted(qi, qi)
             add = np.full((size, int(place.max(initial=-1)) + 1), -1, dtype=np.int64)
@@ -217,16 +295,24 @@ def in_range(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray], cosine: float,
             found[a + qi, v] = True
             edges = np.append(np.flatnonzero(np.diff(np.cumsum(degree[v]) // step)) + 1, len(v))
             for i, k in zip(np.concatenate([[0], edges[:-1]]), edges, strict=True):
-                q2, v2, s = unseen(qi[i:k], v[i:k], seen)
+                q2, v2, s = unseen(a, qi[i:k], v[i:k], seen, False)
                 near = s >= cosine - 0.02
                 if near.any():
                     front.append((q2[near], v2[near]))
-    found |= found.T
+    for a in range(0, n, 512):  # either direction finds a pair
+        for b in range(a, n, 512):
+            part = found[a : a + 512, b : b + 512] | found[b : b + 512, a : a + 512].T
+            found[a : a + 512, b : b + 512], found[b : b + 512, a : a + 512] = part, part.T
     np.fill_diagonal(found, False)
     for a in range(0, n, 512):
         i, j = np.nonzero(np.triu(found[a : a + 512], k=a + 1))
-        for c in range(0, len(i), 1 << 17):
-            u, w = a + i[c : c + (1 << 17)], j[c : c + (1 << 17)]
+        if len(i) > 16 * n:  # a dense strip is verified by one product
+            bad = found[a : a + 512] & (x[a : a + 512] @ x.T < cosine)
+            found[a : a + 512] &= ~bad
+            found[:, a : a + 512] &= ~bad.T
+            continue
+        for c in range(0, len(i), 1 << 16):
+            u, w = a + i[c : c + (1 << 16)], j[c : c + (1 << 16)]
             bad = np.einsum("ij,ij->i", x[u], x[w]) < cosine
             found[u[bad], w[bad]] = found[w[bad], u[bad]] = False
     return found
@@ -246,72 +332,46 @@ def _local_roots(found: np.ndarray, ids: np.ndarray) -> np.ndarray:
         root = low
 
 
-def search(members: DataFrame, scratch: Scratch, cosine: float, beam: int) -> DataFrame:
-    """(id, links, root): per shard, links counted there and the least id reachable there."""
-
-    def build(t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        t, ids = t.take(pa.array(order)), ids[order]
-        adj = pruned(unit(t.column("v"), t.column("dim")[0].as_py()), int(t.column("shard")[0].as_py()) & 0xFFFFFFFF)
-        # Edges go both ways, so that every vector can be reached.
-        i, k = np.nonzero(adj >= 0)
-        a, b = np.concatenate([i, adj[i, k]]), np.concatenate([adj[i, k], i])
-        key = np.unique(a * len(ids) + b)
-        a, b = key // len(ids), key % len(ids)
-        off = np.searchsorted(a, np.arange(len(ids) + 1))
-        return pa.table({"id": pa.array(ids), "adj": pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids[b]))})
-
-    lists = members.groupBy("shard").applyInArrow(build, "id long, adj array<long>")
-    united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("adj"))).alias("adj"))
-    places = members.groupBy("id").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
-    ready = scratch.keep(members.join(united, "id").join(places, "id"), "graph")
-
-    def look(t: pa.Table) -> pa.Table:
-        ids, size = t.column("id").to_numpy(), t.column("size").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        t, ids, size = t.take(pa.array(order)), ids[order], size[order]
-        n, here = len(ids), t.column("shard")[0].as_py()
-        lists = t.column("adj").combine_chunks()
-        off, to = np.asarray(lists.offsets), np.asarray(lists.flatten())
-        at = np.minimum(np.searchsorted(ids, to), n - 1)
-        row = np.repeat(np.arange(n), np.diff(off))
-        ok = (ids[at] == to) & (at != row)
-        row, at = row[ok], at[ok]
-        found = in_range(unit(t.column("v"), t.column("dim")[0].as_py()), (np.searchsorted(row, np.arange(n + 1)), at), cosine, beam)
-        root = _local_roots(found, ids)
-        # A pair that also shares an earlier shard counts there.
-        places, counts = [set(p) for p in t.column("shards").to_pylist()], np.zeros(n, dtype=np.int64)
-        earlier = [frozenset(s for s in p if s < here) for p in places]
-        for kind in set(earlier):
-            mine = np.array([e == kind for e in earlier])
-            rivals = np.array([not (e & kind) for e in earlier])
-            weight = np.where(rivals, size, 0)
-            for i in np.array_split(np.flatnonzero(mine), max(1, mine.sum() // 512)):
-                counts[i] = found[i] @ weight
+def search(members: DataFrame, scratch: Scratch, cosine: float, beam: int, wide: float) -> DataFrame:
+    """(id, links, root): per region, the links that belong there and the least id reachable by them."""
+
+    def explore(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        ids, size, dim = t.column("id").to_numpy(), t.column("size").to_numpy(), t.column("dim")[0].as_py()
+        x = stacked(t.column("v").combine_chunks(), dim)
+        found = in_range(x, flat_graph(x, int(t.column("shard")[0].as_py()) & 0xFFFFFFFF, margin(dim, cosine, wide), SHARD), cosine, beam) if len(x) > 1 else np.zeros((1, 1), dtype=bool)
+        # A pair that shares an earlier alternative belongs there.
+        lists = t.column("earlier").combine_chunks()
+        row, codes = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())
+        each, code = np.unique(codes, return_inverse=True)
+        inside = np.zeros((len(ids), len(each)), dtype=np.float32)
+        inside[row, code] = 1
+        links = np.zeros(len(ids), dtype=np.int64)
+        for a in range(0, len(ids), 512):
+            part = found[a : a + 512]
+            if len(each):
+                part &= (inside[a : a + 512] @ inside.T) == 0
+            links[a : a + 512] = part @ size
         some = found.any(axis=1)
-        return pa.table({"id": ids[some], "links": counts[some], "root": root[some]})
+        return pa.table({"id": ids[some], "links": links[some], "root": _local_roots(found, ids)[some]})
 
-    found = scratch.keep(ready.groupBy("shard").applyInArrow(look, "id long, links long, root long"), "found")
-    return found.unionByName(across(ready, scratch, cosine))
+    return scratch.keep(members.groupBy("shard").applyInArrow(explore, "id long, links long, root long"), "found")
 
 
 def exact(members: DataFrame, scratch: Scratch, cosine: float) -> DataFrame:
-    """(id, links, root) of all pairs, without the graph."""
-    places = members.groupBy("id").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
-    return across(members.join(places, "id"), scratch, cosine, every=True)
+    """(id, links, root) of all pairs, without the graph. A class goes in by the region that holds it first."""
+    return across(members.where(F.size("earlier") == 0), scratch, cosine)
 
 
-def _block(rows: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, unit vectors, sizes, and shards with their rows, of a block's structs."""
-    ids, v, size, shards = rows.flatten()
-    row = np.repeat(np.arange(len(ids)), np.asarray(shards.value_lengths()))
-    return ids.to_numpy(), unit(v, dim), size.to_numpy(), np.asarray(shards.flatten()), row
+def _block(rows: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, unit vectors and sizes of a block's structs."""
+    ids, v, size = rows.flatten()
+    return ids.to_numpy(), stacked(v, dim), size.to_numpy()
 
 
-def blocks(ready: DataFrame, scratch: Scratch) -> DataFrame:
-    """(k, dim, rows, centre, radius): every class once, in the first of its shards, with the cap that holds the block."""
-    homes = ready.where(F.col("shard") == F.col("shards")[0]).groupBy(F.col("shard").alias("k"), "dim").agg(F.collect_list(F.struct("id", "v", "size", "shards")).alias("rows"))
+def blocks(homes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k, dim, rows, centre, radius): blocks of classes, with the cap that holds each."""
+    packed = homes.withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(8))).groupBy(F.xxhash64("shard", "part").alias("k"), "dim").agg(F.collect_list(F.struct("id", "v", "size")).alias("rows"))
 
     def capped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,49 +384,32 @@ def blocks(ready: DataFrame, scratch: Scratch) -> DataFrame:
                 radii.append(float(np.arccos(np.clip((x @ c).min(), -1, 1))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64())], names=["k", "dim", "rows", "centre", "radius"])
 
-    schema = StructType([*homes.schema.fields, StructField("centre", ArrayType(DoubleType())), StructField("radius", DoubleType())])
-    return scratch.keep(homes.mapInArrow(capped, schema), "blocks")
+    schema = StructType([*packed.schema.fields, StructField("centre", ArrayType(DoubleType())), StructField("radius", DoubleType())])
+    return scratch.keep(packed.mapInArrow(capped, schema), "blocks")
 
 
-def across(ready: DataFrame, scratch: Scratch, cosine: float, every: bool = False) -> DataFrame:
-    """(id, links, root) of all pairs that share no shard, or of every pair, by block against block. ready: id, v, dim, size, shard, shards."""
-    packed = blocks(ready, scratch)
+def across(homes: DataFrame, scratch: Scratch, cosine: float) -> DataFrame:
+    """(id, links, root) of all pairs, by block against block; blocks too far apart do not meet."""
+    packed = blocks(homes, scratch)
     a, b = (packed.select(*[F.col(c).alias(f"{side}_{c}") for c in packed.columns]) for side in "ab")
     angle = float(np.arccos(cosine)) + 1e-6
     dot = F.aggregate(F.zip_with("a_centre", "b_centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("a_radius") - F.col("b_radius")
     # Not an equality of dim, which would send all blocks to one task.
-    wanted = (F.col("a_k") <= F.col("b_k") if every else F.col("a_k") < F.col("b_k")) & (F.abs(F.col("a_dim") - F.col("b_dim")) < 1) & (apart <= angle)
-    met = a.hint("shuffle_replicate_nl").join(b, wanted).select("a_dim", "a_rows", "b_rows", "a_centre", "a_radius", "b_centre", "b_radius", (F.col("a_k") == F.col("b_k")).alias("same"))
+    wanted = (F.col("a_k") <= F.col("b_k")) & (F.abs(F.col("a_dim") - F.col("b_dim")) < 1) & (apart <= angle)
+    met = a.hint("shuffle_replicate_nl").join(b, wanted).select("a_dim", "a_rows", "b_rows", (F.col("a_k") == F.col("b_k")).alias("same"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                dim, rows_a, rows_b, centre_a, radius_a, centre_b, radius_b, same = (c[r] for c in batch.columns)
-                ids_a, x_a, size_a, shards_a, row_a = _block(rows_a.values, dim.as_py())
-                ids_b, x_b, size_b, shards_b, row_b = _block(rows_b.values, dim.as_py())
-                at_a = np.flatnonzero(np.arccos(np.clip(x_a @ np.array(centre_b.as_py()), -1, 1)) <= radius_b.as_py() + angle)
-                at_b = np.flatnonzero(np.arccos(np.clip(x_b @ np.array(centre_a.as_py()), -1, 1)) <= radius_a.as_py() + angle)
-                slim_a, slim_b = x_a.astype(np.float32), x_b[at_b].astype(np.float32)
-                both = np.intersect1d(shards_a, shards_b) if not every else ()
-                for c in range(0, len(at_a), 512):
-                    i, j = np.nonzero(slim_a[at_a[c : c + 512]] @ slim_b.T >= cosine - 1e-5)
-                    i, j = at_a[c + i], at_b[j]
+                dim, rows_a, rows_b, same = (c[r] for c in batch.columns)
+                ids_a, x_a, size_a = _block(rows_a.values, dim.as_py())
+                ids_b, x_b, size_b = _block(rows_b.values, dim.as_py())
+                for c in range(0, len(x_a), 512):
+                    i, j = np.nonzero(x_a[c : c + 512] @ x_b.T >= cosine)
+                    i += c
                     if same.as_py():
                         i, j = i[i < j], j[i < j]
-                    parts = [np.arange(p, min(p + (1 << 16), len(i))) for p in range(0, len(i), 1 << 16)]
-                    ok = np.concatenate([np.einsum("ij,ij->i", x_a[i[p]], x_b[j[p]]) >= cosine for p in parts] or [np.zeros(0, dtype=bool)])
-                    i, j = i[ok], j[ok]
-                    if len(i) and len(both):
-                        # Which rows of the strip and of the other block share a shard.
-                        rows = np.unique(i)
-                        in_a, in_b = np.zeros((len(x_a), len(both)), dtype=np.float32), np.zeros((len(x_b), len(both)), dtype=np.float32)
-                        for inside, shards, row in ((in_a, shards_a, row_a), (in_b, shards_b, row_b)):
-                            at = np.minimum(np.searchsorted(both, shards), len(both) - 1)
-                            hit = both[at] == shards
-                            inside[row[hit], at[hit]] = 1
-                        shared = (in_a[rows] @ in_b.T > 0)[np.searchsorted(rows, i), j]
-                        i, j = i[~shared], j[~shared]
                     if len(i):
                         nodes, root = _roots(ids_a[i], ids_b[j])
                         links = np.bincount(np.searchsorted(nodes, np.concatenate([ids_a[i], ids_b[j]])), np.concatenate([size_b[j], size_a[i]]))
@@ -375,23 +418,25 @@ def across(ready: DataFrame, scratch: Scratch, cosine: float, every: bool = Fals
     return scratch.keep(met.mapInArrow(meet, "id long, links long, root long"), "across")
 
 
-def recall(classes: DataFrame, counts: DataFrame, cosine: float, audit: int) -> float:
-    """Recall of linked classes by brute force against all; each counts alike, and the worse of small and large groups decides.
+def recall(classes: DataFrame, counts: DataFrame, scratch: Scratch, cosine: float, audit: int) -> tuple[float, list[DataFrame]]:
+    """Recall of linked classes by brute force against all, and tables (id, share) of the audited ones that have links.
 
-    Samples of about `audit` classes and more are drawn until LINKED linked ones in small groups were seen, or all classes.
+    Each counts alike, and the worse of small and large groups decides. Samples of about `audit` classes and more are drawn
+    until LINKED linked ones in small groups were seen, or MOST_AUDITED classes.
     """
     n, at, width = classes.count(), 0, 0.0
     seen: dict[bool, list[float]] = {False: [0, 0.0], True: [0, 0.0]}
-    step = min(1.0, audit / max(n, 1))
+    step, tables = min(1.0, audit / max(n, 1)), []
     place = F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 30))
-    while at < 1 << 30 and seen[False][0] < LINKED:
+    end = round(min(1.0, MOST_AUDITED / max(n, 1)) * (1 << 30))
+    while at < end and seen[False][0] < LINKED:
         width = min(max(step, 4 * width), max(step, AUDITED / max(n, 1)))
-        to = min(1 << 30, at + max(1, round(width * (1 << 30))))
+        to = min(end, at + max(1, round(width * (1 << 30))))
         sample = classes.where((place >= at) & (place < to)).select("id", "v", "dim").toPandas()
         at = to
         if not len(sample):
             continue
-        queries = {int(d): (g["id"].to_numpy(), unit(pa.array(list(g["v"])), int(d))) for d, g in sample.groupby("dim")}
+        queries = {int(d): (g["id"].to_numpy(), stacked(pa.array(list(g["v"]), pa.binary()), int(d))) for d, g in sample.groupby("dim")}
         shared = classes.sparkSession.sparkContext.broadcast(queries)
 
         def brute(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -402,43 +447,55 @@ def recall(classes: DataFrame, counts: DataFrame, cosine: float, audit: int) ->
                         continue
                     ids, q = shared.value[int(d)]
                     rows = batch.filter(pa.array(dim == d))
-                    x, own, size = unit(rows.column(1), int(d)), rows.column(0).to_numpy(), rows.column(3).to_numpy()
+                    x, own, size = stacked(rows.column(1), int(d)), rows.column(0).to_numpy(), rows.column(3).to_numpy()
                     for c in range(0, len(ids), 512):
                         hit = (q[c : c + 512] @ x.T >= cosine) & (ids[c : c + 512, None] != own)
                         some = hit.any(axis=1)
                         yield pa.RecordBatch.from_arrays([pa.array(ids[c : c + 512][some]), pa.array(hit[some] @ size)], names=["id", "n"])
 
         truth = classes.select("id", "v", "dim", "size").mapInArrow(brute, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-        each = truth.join(counts, "id", "left").select((F.col("n") >= LARGE).alias("large"), (F.least("n", F.coalesce("links", F.lit(0))) / F.col("n")).alias("share"))
+        share = F.least("n", F.coalesce("links", F.lit(0))) / F.col("n")
+        each = scratch.keep(truth.join(counts, "id", "left").select("id", (F.col("n") >= LARGE).alias("large"), share.alias("share")), "audit")
+        tables.append(each.select("id", "share"))
         for r in each.groupBy("large").agg(F.count("*").alias("k"), F.sum("share").alias("s")).collect():
             seen[r.large][0] += r.k
             seen[r.large][1] += r.s
         shared.destroy()
-    return min([s / k for k, s in seen.values() if k], default=1.0)
+    return min([s / k for k, s in seen.values() if k], default=1.0), tables
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, beam: int = 32, overlap: int = 2, audit: int = 512, least_recall: float = 0.95) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, beam: int = 8, wide: float = 1.6, audit: int = 512, least_recall: float = 0.95) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept, audit_recall (null where it was not audited or has no links)."""
     scratch = Scratch(vectors.sparkSession, "vectors")
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.col("vec_id").isNotNull() & F.coalesce((F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    base = base.withColumn("v", F.when(usable, F.col("v")))
-    classes = scratch.keep(base.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")).select("id", "v", F.size("v").alias("dim"), "size"), "classes")
-    for attempt in range(3):
-        members = deal(classes, scratch, overlap + attempt)
-        found = search(members, scratch, cosine, beam << attempt)
+    base = scratch.keep(prepared(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))), "base")
+    usable = base.where("dim is not null")
+    # An id with several vectors has a vertex for each, which are joined.
+    classes = scratch.keep(usable.groupBy("k", "x").agg(F.min("vec_id").alias("least"), F.first("v").alias("v"), F.first("dim").alias("dim"), F.count("*").alias("size")).select("k", "x", "least", F.xxhash64("k", "x").alias("id"), "v", "dim", "size"), "classes")
+    for attempt in range(2):
+        members = scratch.keep(deal(classes.drop("k", "x", "least"), scratch, cosine, wide * (1 + attempt / 2)), "members")
+        found = search(members, scratch, cosine, beam << 2 * attempt, wide * (1 + attempt / 2))
         counts = scratch.keep(found.groupBy("id").agg(F.sum("links").alias("links")), "counts")
-        share = recall(classes, counts, cosine, audit)
+        share, audited = recall(classes, counts, scratch, cosine, audit)
         if share >= least_recall:
             break
-        _log.warning("recall %.3f; %s", share, "beam and overlap are widened" if attempt < 2 else "all pairs are compared")
+        _log.warning("recall %.3f; %s", share, "beam and overlap are widened" if attempt < 1 else "all pairs are compared")
     else:
-        found = scratch.keep(exact(members, scratch, cosine), "found")
+        found = exact(members, scratch, cosine)
         counts = scratch.keep(found.groupBy("id").agg(F.sum("links").alias("links")), "counts")
-    label = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
-    per = classes.join(counts, "id", "left").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
-    per = per.select(F.col("v").alias("cv"), "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
-    out = base.join(per, base["v"] == per["cv"], "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+        share, audited = recall(classes, counts, scratch, cosine, audit)
+    least = classes.select("id", "least")
+    links = found.where("id != root").join(least.toDF("id", "a"), "id").join(least.toDF("root", "b"), "root").select("a", "b")
+    several = base.groupBy("vec_id").agg(F.min(F.coalesce("k", F.lit(0))).alias("u"), F.max(F.coalesce("k", F.lit(0))).alias("v")).where("u != v and vec_id is not null").select("vec_id")
+    own = usable.join(several, "vec_id", "left_semi").join(classes.select("k", "x", "least"), ["k", "x"]).select(F.col("vec_id").alias("a"), F.col("least").alias("b")).distinct()
+    label = components(links.unionByName(own).where("a != b"), scratch)
+    shares = audited[0] if audited else None
+    for t in audited[1:]:
+        shares = shares.unionByName(t)
+    per = classes.select("k", "x", "id", "least", "size").join(counts, "id", "left").join(label.select(F.col("node").alias("least"), "component"), "least", "left")
+    per = per.join(shares, "id", "left") if shares is not None else per.withColumn("share", F.lit(None).cast("double"))
+    per = per.select("k", "x", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id"), F.col("share").alias("audit_recall"))
+    some = usable.select("vec_id", "k", "x").join(per, ["k", "x"]).select("vec_id", "n_links", "component_id", "audit_recall")
+    rest = base.where("dim is null").select("vec_id").join(label.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left")
+    rest = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.lit(None).cast("double").alias("audit_recall"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
+    return some.unionByName(rest).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", kept.alias("kept"), "audit_recall")
