@@ -11,7 +11,7 @@ One shuffle deals windows out by their anchor, in runs. Where an anchor occurs o
 shared, fingerprints of the whole windows verify which of them repeat. Windows in which no symbol is decided (within long
 runs of one word) stand by their own fingerprint. A common phrase does not gather its windows in one place, as the second
 name differs with what stands beside it; windows equal within one block are found at once and sent a single time, so that
-no passage, however common, fills a task. Two windows are equal if 64 bits of their words, 32 bits of their anchor's name
+no passage, however common, fills a task. Two windows are equal if 56 bits of their words, 32 bits of their anchor's name
 and the bucket that more of its bits choose are equal; no step of these hashes is linear.
 
 Defined results: null text has no words; documents shorter than the window lose nothing; equal rows count as separate
@@ -36,6 +36,8 @@ WINDOW = 35
 ROUNDS = 4
 #: Windows of one run at most; buckets in all, where tasks are few.
 MOST, BUCKETS = 63, 16_384
+#: Bytes of a window's fingerprint that are sent.
+HASH_BYTES = 7
 #: Rounds that begin with merging runs.
 RUNS = (0, 2)
 
@@ -143,13 +145,13 @@ def _runs(*same: np.ndarray) -> np.ndarray:
     return np.repeat(starts, pieces) + MOST * (np.arange(pieces.sum()) - np.repeat(before, pieces))
 
 
-_DEALT = "bucket int, name array<int>, uid array<long>, chk array<int>, start array<int>, size array<tinyint>, whole binary"
-_KINDS = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int8())
-_SPANS = "uid long, chk int, start int, n int"
+_DEALT = "bucket int, name array<int>, uid array<long>, chk array<smallint>, start array<int>, size array<tinyint>, whole binary"
+_KINDS = (pa.int32(), pa.int64(), pa.int16(), pa.int32(), pa.int8())
+_SPANS = "uid long, chk smallint, start int, n int"
 
 
 def _spans(uid: np.ndarray, chk: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    columns = (uid.astype(np.int64), *(x.astype(np.int32) for x in (chk, start, n)))
+    columns = uid.astype(np.int64), chk.astype(np.int16), start.astype(np.int32), n.astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "chk", "start", "n"])
 
 
@@ -161,8 +163,9 @@ def _rows(bucket: np.ndarray, columns: list[np.ndarray], whole: np.ndarray | Non
     if whole is None:
         blobs = pa.nulls(len(cuts) - 1, pa.binary())
     else:
-        ends = np.concatenate([[0], np.cumsum(size)])[cuts].astype(np.int32) * 8
-        blobs = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(whole, dtype="<u8"))])
+        ends = np.concatenate([[0], np.cumsum(size)])[cuts].astype(np.int32) * HASH_BYTES
+        raw = np.ascontiguousarray(whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
+        blobs = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
     return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), *lists, blobs], names=[c.split()[0] for c in _DEALT.split(", ")])
 
 
@@ -246,7 +249,9 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUND
         pick = np.flatnonzero(pick)
         if not len(pick):
             return None
-        hashes = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in t.column(6)])
+        hashes = np.zeros((int(size.sum()), 8), dtype=np.uint8)
+        hashes[:, :HASH_BYTES] = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column(6)]).reshape(-1, HASH_BYTES)
+        hashes = hashes.view("<u8").ravel()
         upto, s = np.cumsum(size), size[pick]
         end = np.cumsum(s)
         run = np.repeat(np.arange(len(pick)), s)
@@ -276,8 +281,8 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = WIN
     names = {f"c{i}": c for i, c in enumerate(docs.columns)}
     text = next(k for k, c in names.items() if c == text_col)
     own = [F.col(c).cast("string") for c in docs.columns if c in ("doc_id", text_col)]
-    # Rows are told apart by 96 bits of id and text; rows alike in both get the same result.
-    keyed = docs.select(*[F.col(c).alias(k) for k, c in names.items()], F.xxhash64(*own).alias("uid"), F.hash(*own).alias("chk"))
+    # Rows are told apart by 79 bits of id and text; rows alike in both get the same result.
+    keyed = docs.select(*[F.col(c).alias(k) for k, c in names.items()], F.xxhash64(*own).alias("uid"), F.pmod(F.hash(*own), F.lit(1 << 15)).cast("smallint").alias("chk"))
     spans = repeated_spans(keyed.select("uid", "chk", F.encode(F.col(text), "UTF-8").alias("text")), window=window, rounds=rounds)
     lists = spans.groupBy("uid", "chk").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     both = keyed.join(lists, ["uid", "chk"], "left")
