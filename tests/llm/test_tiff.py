@@ -114,3 +114,25 @@ def test_text_digest(spark):
         media = tiff.stored(padded)
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
     assert got[3][1:] == got[6][1:] and got[0][1:] == got[1][1:] and got[5].feature.startswith("pages=5;")
+
+
+def test_every_codec_is_in_use_alike_and_the_whole_table_reads_back(spark, sf):
+    from velumen.llm.registry import QUERIES
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["op1_tiff_pages"](spark, sf).collect()
+    assert len(got) == len(texts)
+    codecs = {}
+    for r in got:
+        raw = texts[r.doc_id]
+        padded = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
+        codec = r.feature.split("codec=")[1].split("+")[0]
+        codecs[codec] = codecs.get(codec, 0) + 1
+    assert set(codecs) == {"lzw", "packbits", "deflate"} and min(codecs.values()) > len(got) / 5
+
+
+def test_kept_columns_go_along_with_pages(spark):
+    media = tiff.encode(bytes(range(256)) * 1024, page_rows=512, width=64)
+    got = tiff.tiff_pages(spark.createDataFrame([(1, media, "a"), (2, None, "b")], "doc_id long, media binary, pixels2 string"), keep=("pixels2",)).collect()
+    assert [(r.page, r.pixels2) for r in got] == [(i, "a") for i in range(8)] and b"".join(r.pixels for r in got) == bytes(range(256)) * 1024

@@ -6,7 +6,8 @@ writer stores bytes as 8-bit grey pages.
 
 Defined results: null media gives no page rows; media that cannot be read gives one row with page -1 and the error,
 and a page that cannot be decoded gives its row with null pixels and the error; a directory that points back ends
-the walk; an empty table gives no rows; repeated rows repeat; other columns are ignored.
+the walk; a page of more than 1 GiB gives its row with an error; an empty table gives no rows; repeated rows repeat;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -351,61 +352,108 @@ def encode(samples: bytes, *, width: int = 64, scheme: int = DEFLATE, predictor:
 PAGE_SCHEMA = "doc_id long, page int, width int, height int, samples int, bits int, compression string, predictor int, tiled boolean, pixels binary, error string"
 
 
-def tiff_pages(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per page of each TIFF file."""
+def tiff_pages(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per page of each TIFF file, in the order of the files and their pages. keep: columns that go along."""
+    carried = "".join(f", {c} {media.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in PAGE_SCHEMA.split(", ")]
         kinds = [pa.int64(), *[pa.int32()] * 5, pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
         for batch in batches:
             ids, blobs = batch.column(0), batch.column(1)
+            rows, at, size = [], [], 0
             for i in range(batch.num_rows):
                 data = blobs[i].as_py()
-                rows = [] if data is None else [(ids[i].as_py(), p.number, p.width, p.height, p.samples, p.bits, NAMES.get(p.compression, str(p.compression)), p.predictor, p.tiled, p.pixels, p.error) for p in pages(data)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                for p in pages(data) if data is not None else ():
+                    rows.append((ids[i].as_py(), p.number, p.width, p.height, p.samples, p.bits, NAMES.get(p.compression, str(p.compression)), p.predictor, p.tiled, p.pixels, p.error))
+                    at.append(i)
+                    size += len(p.pixels or b"")
+                    if size > BATCH:
+                        yield table_of(rows, at, batch, names, kinds)
+                        rows, at, size = [], [], 0
+            if rows:
+                yield table_of(rows, at, batch, names, kinds)
 
-    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, PAGE_SCHEMA)
+    def table_of(rows, at, batch, names, kinds) -> pa.RecordBatch:
+        columns = [pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, *(batch.column(2 + k).take(pa.array(at)) for k in range(len(keep)))], names=[*names, *keep])
 
+    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media"), *keep).mapInArrow(run, PAGE_SCHEMA + carried)
 
+
+#: Bytes of pixels in one batch of pages.
+BATCH = 4 << 20
 DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def stored(payload: bytes) -> bytes:
-    """The payload as TIFF. Its checksum picks scheme, predictor and layout, so that every kind of page is in use."""
+    """The payload as TIFF. Its checksum picks scheme, predictor and layout, so that every kind of page is in use alike."""
     pick = zlib.crc32(payload)
-    scheme = {0: LZW, 1: PACKBITS}.get(pick % 16, DEFLATE)
+    scheme = (LZW, PACKBITS, DEFLATE)[pick % 3]
     return encode(payload, scheme=scheme, predictor=1 if scheme == PACKBITS or pick >> 8 & 1 else 2, tiled=bool(pick >> 9 & 1), order="<" if pick >> 10 & 1 else ">")
 
 
-def digest(text: bytes) -> tuple:
-    """Store one text as TIFF, walk the stored pages, and describe what comes back."""
-    media = stored(text + b"\0" * (-len(text) % 64 or (0 if text else 64)))
-    found, schemes, size = [], "", ""
-    for p in pages(media):
-        if p.error:
-            raise TiffError(p.error)
-        found.append(p.pixels)
-        schemes, size = f"{NAMES[p.compression]}+{p.predictor}", size or f"{p.width}x{p.height}"
-    payload = b"".join(found)
-    counts = np.bincount(np.frombuffer(payload, dtype=np.uint8), minlength=256)
-    mean = int(counts @ np.arange(256)) * 1000 // len(payload)
-    feature = f"pages={len(found)};size={size};codec={schemes};mean_milli={mean};levels={int((counts > 0).sum())};mode={int(counts.argmax())}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
-
-
-def text_media_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: its text stored as TIFF pages, read back by the page walk, and described."""
+def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts as TIFF media: doc_id, media, n_bytes (of the text), media_bytes, media_sha256. Texts are padded with zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in DIGEST_SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py() or b""
-                rows.append((batch.column(0)[i].as_py(), len(text), *digest(text)))
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                media = stored(text + b"\0" * (-len(text) % 64 or (0 if text else 64)))
+                rows.append((media, len(text), len(media), hashlib.sha256(media).hexdigest()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "media", "n_bytes", "media_bytes", "media_sha256"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text")).mapInArrow(run, "doc_id long, media binary, n_bytes long, media_bytes long, media_sha256 string")
+
+
+class Folded:
+    """What the pages of one file amount to, page after page."""
+
+    def __init__(self, first: dict):
+        self.first, self.n, self.size = first, 0, 0
+        self.sha, self.tail, self.counts = hashlib.sha256(), b"", np.zeros(256, dtype=np.int64)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text")).mapInArrow(run, DIGEST_SCHEMA)
+    def add(self, page: dict) -> None:
+        if page["error"]:
+            raise TiffError(page["error"])
+        pixels = page["pixels"]
+        self.sha.update(pixels)
+        self.tail = (self.tail + pixels[-64:])[-64:]
+        self.counts += np.bincount(np.frombuffer(pixels, dtype=np.uint8), minlength=256)
+        self.n, self.size = self.n + 1, self.size + len(pixels)
+
+    def row(self) -> tuple:
+        p, counts = self.first, self.counts
+        mean = int(counts @ np.arange(256)) * 1000 // self.size
+        feature = f"pages={self.n};size={p['width']}x{p['height']};codec={p['compression']}+{p['predictor']};mean_milli={mean};levels={int((counts > 0).sum())};mode={int(counts.argmax())}"
+        return p["doc_id"], p["n_bytes"], self.size, self.sha.hexdigest(), zlib.crc32(self.tail), p["media_bytes"], p["media_sha256"], feature
+
+
+def text_media_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: its text stored as TIFF pages, read back page by page, and described.
+
+    Pages come in the order of their files and no task gives any away, so they are folded where they are read.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, now, rows = [c.split()[0] for c in DIGEST_SCHEMA.split(", ")], None, []
+        for batch in batches:
+            for page in batch.to_pylist():
+                if page["page"] <= 0:  # the first page of a file, or its error
+                    rows += [now.row()] if now else []
+                    now = Folded(page)
+                now.add(page)
+            if len(rows) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows = []
+        rows += [now.row()] if now else []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    pages_ = tiff_pages(text_media(docs, id_col=id_col, text_col=text_col), keep=("n_bytes", "media_bytes", "media_sha256"))
+    return pages_.mapInArrow(fold, DIGEST_SCHEMA)
