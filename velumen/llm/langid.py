@@ -2,7 +2,7 @@
 
 Texts are vectors of hashed byte trigrams of their lower-cased letters, weighted log(1 + count) * idf and normalised.
 Document frequencies come from all training rows. Each language's centroids are found by spherical k-means on a
-sample of about `per_lang` training rows (a documented bound; the rest of the operator covers all rows). A text takes
+sample of `per_lang` different training texts at most (a documented bound; the rest of the operator covers all rows). A text takes
 the language of the centroid of largest cosine; beyond the distance that all but `reject_share` of that centroid's own
 sample lie within, it is marked rejected.
 
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velumen.llm import textcore as tc
@@ -119,14 +120,14 @@ class Model:
 def fit(train: DataFrame, *, per_lang: int = 400, clusters: int = 4, reject_share: float = 0.005) -> Model | None:
     """train: text and lang, one row per training document with non-null lang."""
     df, n = document_frequencies(train)
-    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         return None
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    keep = F.lit(False)
-    for lang, m in sizes.items():
-        share = min(1.0, per_lang / m)
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000 + 1)))
+    # Of each language, the texts of least hash among about twice as many as are wanted; repeated texts count once.
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    shares = train.groupBy("lang").agg((F.least(F.lit(1.0), 2 * per_lang / F.count("*")) * (1 << 30)).alias("most"))
+    near = train.withColumn("place", place).join(shares, "lang").where("place <= most").dropDuplicates(["lang", "place"])
+    least = near.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("place"))).where(F.col("rank") <= per_lang)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,11 +137,10 @@ def fit(train: DataFrame, *, per_lang: int = 400, clusters: int = 4, reject_shar
                 got = [pa.array([r.astype("<u2").tobytes() for r in rows]), pa.array([c[i, r].astype("<f4").tobytes() for i, r in enumerate(rows)])]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, end - at), *got], names=["lang", "g", "c"])
 
-    sample = train.where(keep).select(F.encode("text", "UTF-8").alias("text"), "lang").mapInArrow(sparse, "lang string, g binary, c binary")
+    sample = least.select(F.encode("text", "UTF-8").alias("text"), "lang").mapInArrow(sparse, "lang string, g binary, c binary")
     by: dict[str, list] = {}
-    for r in sample.toLocalIterator():
-        if len(by.setdefault(r.lang, [])) < 2 * per_lang:
-            by[r.lang].append((np.frombuffer(r.g, "<u2"), np.frombuffer(r.c, "<f4")))
+    for r in sample.collect():  # per_lang rows of a language at most
+        by.setdefault(r.lang, []).append((np.frombuffer(r.g, "<u2"), np.frombuffer(r.c, "<f4")))
     langs, cs, owner, reach = sorted(by), [], [], []
     for k, lang in enumerate(langs):
         x = np.zeros((len(by[lang]), SIZE), dtype=np.float32)
