@@ -1,6 +1,11 @@
+import math
+import re
+import zlib
+
 import numpy as np
 import pytest
 
+from velumen.llm import textcore as tc
 from velumen.llm import toxicity
 
 
@@ -85,3 +90,72 @@ def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.classify(d, none).collect()] == [0.0, 0.0]
     assert toxicity.classify(d.where("doc_id < 0"), none).collect() == []
+
+
+def slow_score(text, m):
+    """Probability of one text, token by token."""
+    lower = "".join(ch.lower() if "A" <= ch <= "Z" else ch for ch in text or "")
+    s = []
+    for token in re.findall(r"[a-z\u0080-\U0010ffff]+", lower):
+        units = [(token, False)] + [(token[:k], True) for k in toxicity.PREFIXES if len(token) > k]
+        values = []
+        for unit, cut in units:
+            raw = np.frombuffer(unit.encode(), np.uint8)
+            h = tc.word_hashes(raw, np.array([0]), np.array([len(raw)]))
+            values.append(float(m.scores[int((tc.mix(h) if cut else h)[0]) >> 64 - toxicity.BITS]))
+        s.append(round((max(values, key=abs) - m.drift) * 65536) / 65536)
+    found = brute_segments(np.array(s))
+    best, chance = max([0.0, *(x[2] for x in found)]), m.log_k + math.log(max(len(s), 1))
+    excess = m.rate * best - chance if best > 0 else min(0.0, -chance)
+    told = [m.rate * x[2] - chance for x in found if m.rate * x[2] - chance > -math.log(m.alpha)]
+    total = max(excess, 0.0, sum(told))
+    x = [1.0, min(max(excess, -20), 20), math.log1p(min(total, 1e6)), math.log1p(len(s)) / 4]
+    return 1 / (1 + math.exp(-min(max(sum(a * b for a, b in zip(x, m.curve, strict=True)), -30), 30))), len(told)
+
+
+def test_against_a_slow_version(spark):
+    docs, labels = corpus(3, 900)
+    odd = [(5000, None), (5001, "VILEWORD, scumbagishly! éclairsé badstemness 12"), (5002, "ééééééééé " * 6 + "vileword")]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    m = toxicity.fit(d, lab)
+    probe = [(i, t and " ".join(t.split()[:45])) for i, t in docs[:80] + odd]
+    got = {r.doc_id: r for r in toxicity.measure(spark.createDataFrame(probe, "doc_id long, text string"), m).collect()}
+    some = 0
+    for i, t in probe:
+        score, n = slow_score(t, m)
+        assert got[i].score == pytest.approx(score, abs=1e-6) and got[i].n_passages == n
+        some += n
+    assert some > 5
+
+
+def test_counts_and_log_odds_against_a_slow_version(spark):
+    docs, labels = corpus(4, 60)
+    label = dict(labels)
+    df = spark.createDataFrame([(t, label.get(i)) for i, t in docs], "text string, label int").repartition(3)
+    got, want = toxicity.token_counts(df), np.zeros((3, toxicity.SIZE), dtype=np.int64)
+    for i, t in docs:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        units = toxicity.tokens(raw, np.array([0, len(raw)]))[0].ravel()
+        for u in units[units < toxicity.SIZE]:
+            want[2, u] += 1
+            if i in label:
+                want[0 if label[i] else 1, u] += 1
+    assert np.array_equal(got, want)
+
+
+def test_beginnings_are_cut_between_letters():
+    raw = np.frombuffer("éàüöñçxyz abcdefgh".encode(), np.uint8)
+    units = toxicity.tokens(raw, np.array([0, len(raw)]))[0]
+    for i, k in enumerate(toxicity.PREFIXES):
+        cut = np.frombuffer("éàüöñçxyz"[:k].encode(), np.uint8)
+        h = tc.mix(tc.word_hashes(cut, np.array([0]), np.array([len(cut)])))
+        assert units[i + 1, 0] == int(h[0]) >> 64 - toxicity.BITS
+
+
+def test_whole_table(spark, sf):
+    from velumen.llm.registry import QUERIES
+
+    ids = sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    got = QUERIES["op8_toxic_segments"](spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == ids and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)

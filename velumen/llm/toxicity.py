@@ -2,8 +2,9 @@
 
 Tokens are lower-cased runs of letters, hashed. A token's log-odds of toxic against clean labelled text are smoothed
 by a Dirichlet prior whose shape is the token's share of all documents, and shrunk by their standard error; a token
-takes the score of its most telling unit, itself or one of its beginnings. A drift, the same for all tokens, makes the expected exponential score of clean text one, as extreme-value theory of segment
-scores asks. One linear scan finds the best segment of a text; where it is significant, the linear-time search for
+takes the score of its most telling unit, itself or one of its beginnings. A drift, the same for all tokens, makes the
+expected exponential score of clean text one; that is the equation whose solution is the rate of the extreme-value law of
+segment scores, which is therefore one. One linear scan finds the best segment of a text; where it is significant, the linear-time search for
 all maximal segments (Ruzzo and Tompa) lists every significant passage. A text's evidence is its passages' scores
 above what a text of its length reaches by chance (Karlin and Altschul), made a probability by a logistic fit.
 
@@ -37,7 +38,7 @@ SLICES = 64
 ROWS = 512
 
 
-#: Units of a token besides the whole: its first so many bytes, where it is longer. Inflected and compound forms share them.
+#: Units of a token besides the whole: its first so many letters, where it is longer. Inflected and compound forms share them.
 PREFIXES = (5, 6, 7)
 
 
@@ -47,9 +48,11 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     starts, ends, rows = tc.spans(low, off, tc.NO_LETTER)
     units = np.full((1 + len(PREFIXES), len(starts)), SIZE, dtype=np.int64)
     units[0] = tc.word_hashes(low, starts, ends) >> tc.U(64 - BITS)
+    begins = np.flatnonzero((low & 0xC0) != 0x80)  # of letters
+    first, after = np.searchsorted(begins, starts), np.searchsorted(begins, ends)
     for i, k in enumerate(PREFIXES):
-        long = np.flatnonzero(ends - starts > k)
-        units[i + 1, long] = tc.mix(tc.word_hashes(low, starts[long], starts[long] + k)) >> tc.U(64 - BITS)
+        long = np.flatnonzero(after - first > k)
+        units[i + 1, long] = tc.mix(tc.word_hashes(low, starts[long], begins[first[long] + k])) >> tc.U(64 - BITS)
     return units, starts, ends, rows
 
 
@@ -193,7 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, fold: tuple[int, int] = (4, 2), s
     """Three quarters of the training labels count tokens; of the rest, about `sample` rows fit the constants and the curve."""
     texts, known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), known_labels(labels, fold)
     # Texts meet labels by a shuffle at every size; labels grow with the corpus, so they are not sent around.
-    counts = token_counts(texts.join(known.where(~F.col("calibrates")).hint("merge"), "doc_id", "left"))
+    # Rows without id meet no label, and stay where they are.
+    labelled = texts.where("doc_id is not null").join(known.where(~F.col("calibrates")).hint("merge"), "doc_id", "left")
+    counts = token_counts(labelled.select("text", "label").unionByName(texts.where("doc_id is null").select("text", F.lit(None).cast("int").alias("label"))))
     n, ones, calibrating = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), F.count_if("calibrates")).first()
     model = Model(np.zeros(SIZE + 1), 0.0, 1.0, np.zeros(0), ones / n if n else 0.0, alpha)
     if not counts[0].sum() or not counts[1].sum() or not calibrating:
