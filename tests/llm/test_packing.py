@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from velumen.llm.packing import memo, pack
+from velumen.llm.packing import Memo, memo, pack
 
 DOCS = "doc_id long, text string, sequence_id string"
 
@@ -77,3 +77,13 @@ def test_words_alone_equal_the_whole_text(sf, tokenizer):
     words = memo(None)
     text = "Don't STOP!!!'s #$% x_y [a]b{c} é.è, Ñandú?! ''' 's's   z"
     assert np.frombuffer(words.ids(text.encode()), "<u4").tolist() == brute(tokenizer, text)[:-1]
+
+
+def test_tokenizers_that_keep_white_space_are_refused(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    odd = Tokenizer(models.WordLevel({"a": 0, " ": 1, "?": 2}, unk_token="?"))
+    odd.pre_tokenizer = pre_tokenizers.Split(" ", "isolated")
+    odd.save(f"{tmp_path}/odd.json")
+    with pytest.raises(ValueError):
+        Memo(f"{tmp_path}/odd.json")

@@ -7,7 +7,8 @@ when nothing fits, the longest waiting piece is cut to fill the room. A sequence
 input stops short is cut back to a power of two, which needs no padding, and the rest is packed on.
 
 Defined results: null text is empty text and gives the end id alone; a null id is carried; repeated rows are packed
-as often as they occur; an empty table gives no rows; other columns are ignored. Memory holds the pool, one Arrow
+as often as they occur; an empty table gives no rows; other columns are ignored; a tokenizer whose words depend on the
+white space around them is an error. Memory holds the pool, one Arrow
 batch and the memo, each of bounded size.
 """
 
@@ -45,6 +46,10 @@ class Memo(dict):
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = False
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        ids = lambda text: self.whole.encode(text, add_special_tokens=False).ids
+        for probe in ("a b", " Word,\tand\n\nmore  words. ", "é ü\r\n中 文 x9"):
+            if ids(probe) != [i for word in probe.split() for i in ids(word)]:
+                raise ValueError(f"{path}: words are not independent of the white space around them")
         self.parts: dict[str, bytes] = {}
         self.most = (words, parts)
         self.cased = self.whole.encode("A", add_special_tokens=False).ids != self.whole.encode("a", add_special_tokens=False).ids
