@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from velumen.llm import textcore as tc
 from velumen.llm.graph import components
-from velumen.llm.scratch import Scratch
+from velumen.llm.scratch import Scratch, partitions
 
 SHINGLE = 5
 PERCENT = 75
@@ -228,7 +228,7 @@ def joining(asked: DataFrame, label: DataFrame, sets: DataFrame, scratch: Scratc
             if hits:
                 yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64()), pa.array([t.column("b")[0].as_py()] * len(hits), pa.int64())], names=["a", "b"])
 
-    out = scratch.keep(rows.repartition("b", "p", "q").sortWithinPartitions("b", "p", "q").select("b", "p", "q", "id", "asks", "s").mapInArrow(run, "a long, b long"), "links")
+    out = scratch.keep(rows.repartition(partitions(scratch.spark), "b", "p", "q").sortWithinPartitions("b", "p", "q").select("b", "p", "q", "id", "asks", "s").mapInArrow(run, "a long, b long"), "links")
     scratch.drop(members, asking)
     return out
 
@@ -278,7 +278,7 @@ def _mixed(shared: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
             if found.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["id", "w", "b"])
 
-    found = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "id long, w long, b long")
+    found = rows.repartition(partitions(scratch.spark), "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "id long, w long, b long")
     out = scratch.keep(found.distinct(), "asked")
     scratch.drop(named)
     return out
