@@ -212,3 +212,85 @@ def test_similar_without_limit_keeps_the_null_tail(spark, tmp_path):
     assert seen.count() > 100_000
     got = catalogue.QUERIES["similar_null_tail"](spark, str(tmp_path))
     assert (got.count(), got.where("distance is null").count()) == (seen.count(), seen.where("embedding is null").count())
+
+
+def test_lines_are_those_of_the_encoder(spark):
+    texts = [" a\x0bb\x0cc\x1cd\x1de\x1ef\x85g h i\r\nj\rk\n\nl ", "　\xa0x  \n y \n", "\x1f \t", "", None, "one\x1ftwo", "https://a/b \n c"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(encoder.lines(F.col("t"))).collect()]
+    want = [[x.strip() for x in (t or "").strip().splitlines()] for t in texts]
+    assert got == want
+
+
+def test_service_tells_what_it_does(spark, tmp_path):
+    from velumen.operators import service
+
+    df = images(spark, [(1, [1.0, 0.0], True, False), (2, [1.0, 0.1], True, False), (3, [0.0, 1.0], True, False)]).withColumn("blurhash", F.lit(None).cast("string"))
+    users = spark.createDataFrame([(7, "ann", auth.hash_password("pw"))], "id long, username string, password_hash string")
+    sessions = spark.createDataFrame([], "session_id string, user_id long, expires_at timestamp")
+    s, now = service.Service(df, users, sessions), F.lit("2024-01-01").cast("timestamp")
+    assert len(s.similar(1)) == 3 and s.similar(99) == [] and s.search("", None) == [] and len(s.random()) == 3
+    assert s.login("ann", "no", now) == {"status": 401} and s.login("bob", "x", now) == {"status": 401}
+    got = s.login("ann", "pw", now)
+    assert got["status"] == 303 and got["max_age"] == 28_800 and s.sessions.count() == 1
+    s.set_deleted(got["cookie"], now, 2, True)
+    assert [r.id for r in s.similar(1)] == [1, 3]
+    with pytest.raises(service.NotAuthorized):
+        s.set_searchable(None, now, 3, False)
+    for bad in (None, "", "!!", base64.b64encode(b'{"sessionId": "x", "username": "ann"}').decode()):
+        assert s.authenticated(bad, now) == {"isAuthenticated": False}
+    s.logout(next(p["sessionId"] for k, p in s.told if k == "adminUserLoginSuccess"))
+    assert s.authenticated(got["cookie"], now) == {"isAuthenticated": False}
+    kinds = [k for k, _ in s.told]
+    assert kinds == ["getImageByIdAndSimilar", "getRandom", "adminUserLoginFailure", "adminUserLoginFailure", "adminUserLoginSuccess", "adminUserAuthSuccess", "imageDeleted", "getImageByIdAndSimilar", "adminUserLogout"]
+    with pytest.raises(ValueError):
+        s.tell("imageDownloaded", x=1)
+    at, log = str(tmp_path / "log"), spark.createDataFrame([], "id long, event_type string, payload string, created_at timestamp")
+    s.flush(at, log, now)
+    told = spark.read.parquet(at)
+    assert sorted(r.id for r in told.collect()) == list(range(1, 10)) and s.told == []
+    assert told.where("event_type = 'getRandom'").select(F.get_json_object("payload", "$.results").cast("double")).first()[0] == 3
+
+
+def test_event_ids_are_given_out_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(events, "BUCKET", 2)
+    log = spark.createDataFrame([(41, "x", "{}", None)], "id long, event_type string, payload string, created_at timestamp")
+    new = spark.createDataFrame([(f"t{i % 3}", None if i == 5 else f'{{"i":{i % 30}}}') for i in range(100)], "event_type string, payload string").repartition(4)
+    got = events.append(log, new, F.current_timestamp()).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(42, 142)) and [r.event_type for r in got] == sorted(r.event_type for r in got)
+
+
+def test_writes_obey_constraints(spark, tmp_path):
+    at, users = str(tmp_path / "session"), spark.createDataFrame([(1, "ann", "h")], "id int, username string, password_hash string")
+    row = lambda key, user: spark.sql(f"SELECT '{key}' AS session_id, {user} AS user_id, timestamp'2024-01-01' AS expires_at")
+    schema.write(row("a", 1), at, "session", {"web_user": users})
+    for key, user in (("a", 1), ("b", 2), ("c", "CAST(NULL AS INT)")):
+        with pytest.raises(schema.ConstraintError):
+            schema.write(row(key, user), at, "session", {"web_user": users})
+    schema.write(row("b", 1), at, "session", {"web_user": users})
+    assert sorted(r.session_id for r in spark.read.parquet(at).collect()) == ["a", "b"]
+
+
+def test_a_failed_clone_leaves_the_target(spark, tmp_path):
+    for db in ("clone_a", "clone_b"):
+        spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+        spark.sql(f"CREATE DATABASE {db}")
+    spark.range(3).write.saveAsTable("clone_a.good")
+    spark.range(5).write.saveAsTable("clone_b.old")
+    lost = tmp_path / "lost"
+    spark.range(1).write.parquet(str(lost))
+    spark.sql(f"CREATE TABLE clone_a.zlost USING parquet LOCATION '{lost}'")
+    for f in lost.iterdir():
+        f.write_bytes(b"broken")
+    with pytest.raises(Exception):  # noqa: B017
+        catalog.copy_tables(spark, "clone_a", "clone_b", [])
+    assert spark.table("clone_b.old").count() == 5
+    spark.sql("DROP TABLE clone_a.zlost")
+    catalog.copy_tables(spark, "clone_a", "clone_b", [])
+    assert spark.table("clone_b.good").count() == 3 and not spark.catalog.tableExists("clone_b.old")
+    # A view that reads a later one, and a materialised view without data.
+    made = catalog.copy_views(spark, {"v1": "SELECT * FROM clone_a.v2", "v2": "SELECT id FROM clone_a.good WITH NO DATA;"}, "clone_a", "clone_b")
+    assert made == ["v2", "v1"] and spark.table("clone_b.v1").count() == 3
+    assert catalog.copy_materialized(spark, {"mv": "SELECT id, id * 2 AS twice FROM clone_a.good"}, "clone_a", "clone_b") == ["mv"]
+    assert spark.table("clone_b.mv").columns == ["id", "twice"] and spark.table("clone_b.mv").count() == 0
+    for db in ("clone_a", "clone_b"):
+        spark.sql(f"DROP DATABASE {db} CASCADE")

@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ADDRESS = r"^https?://"
+#: Characters at which a text has a new line, and those that are stripped from its ends, as character classes.
+NEW_LINE = r"\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
+BLANK = r"\t \x1f\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}" + NEW_LINE
 
 
 class Encoder(ABC):
@@ -40,7 +43,7 @@ class Encoder(ABC):
 
     def embed(self, text: str) -> list[list[float]]:
         """One vector per line of the stripped input; blank input gives an error, as there is nothing to answer."""
-        lines = text.strip().splitlines()
+        lines = [line.strip() for line in text.strip().splitlines()]
         if not lines:
             raise ValueError("at least one input line is needed")
         return self.embed_batch(lines)
@@ -67,10 +70,14 @@ class HashEncoder(Encoder):
         return self._hash([[f"image:{a}:{k}" for k in range(16)] for a in addresses])
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, f"^[{BLANK}]+", ""), f"[{BLANK}]+$", "")
+
+
 def lines(text: Column) -> Column:
-    """The lines of a stripped input; none for blank input."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")
-    return F.when(F.length(bare) > 0, F.split(bare, r"\r\n|\r|\n")).otherwise(F.array().cast("array<string>"))
+    """The stripped lines of a stripped input; none for blank input."""
+    bare = _stripped(text)
+    return F.when(F.length(bare) > 0, F.transform(F.split(bare, f"\r\n|[{NEW_LINE}]"), _stripped)).otherwise(F.array().cast("array<string>"))
 
 
 def dispatch(inputs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velumen.functions import shape, vector
+from velumen.functions import blurhash, shape, vector
 
 GALLERY, SIMILAR, THRESHOLD = 54, 96, 0.765
 
@@ -66,19 +66,44 @@ def with_target_first(images: DataFrame, id_, **options) -> DataFrame:
     return first.unionByName(ranked)
 
 
+#: Columns of the record of an image, beside its distance.
+RECORD = ("id", "source", "extension", "blurhash", "from_old_database", "searchable")
+
+
+def similar_records(images: DataFrame, id_, *, column: str = "embedding", limit: int = SIMILAR, digits: int | None = None) -> DataFrame:
+    """(rank, the record's columns, distance): the target's record at rank 0, even if deleted, and those of its nearest."""
+    near = similar(images, id_, column=column, limit=limit, digits=digits).withColumnRenamed("id", "_id")
+    found = images.join(near, images["id"] == near["_id"]).select(*RECORD, "distance")
+    # A bounded list: ranks are those of a top-k.
+    listed = found.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("distance").isNull().alias("last"), "distance", *RECORD))).alias("l"))
+    ranked = listed.select(F.posexplode("l")).select((F.col("pos") + 1).alias("rank"), *[F.col(f"col.{c}").alias(c) for c in (*RECORD, "distance")])
+    return by_id(images, id_).select(F.lit(0).alias("rank"), *RECORD, F.lit(None).cast("double").alias("distance")).unionByName(ranked)
+
+
+def shaped_records(records: DataFrame, prefix: str = shape.DEFAULT_PREFIX) -> DataFrame:
+    """Records with the whole response record as `shaped`: addresses, preview, primary colour and the optional fields."""
+    # Equal previews are decoded once; there are no more of them than records.
+    seen = records.select("blurhash").where("blurhash is not null").distinct()
+    looks = seen.select(F.col("blurhash").alias("_h"), blurhash.data_url_column(F.col("blurhash")).alias("_u"), blurhash.primary_colour_column(F.col("blurhash")).alias("_c"))
+    joined = records.join(looks, records["blurhash"] == looks["_h"], "left")
+    optional = {c: F.col(c) for c in ("searchable", "distance", "from_old_database") if c in records.columns}
+    record = shape.shaped(F.col("id"), F.col("source"), F.col("extension"), prefix, blurhashUrl=F.coalesce("_u", F.lit("")), primaryColor=F.col("_c"), **optional)
+    return joined.select(*records.columns, record.alias("shaped"))
+
+
 def within(images: DataFrame, query: list[float] | Column, *, threshold: float = THRESHOLD, column: str = "embedding", digits: int | None = None) -> DataFrame:
-    """(id, distance) of all visible images no farther than the threshold, nearest first."""
+    """Records with distance of all visible images no farther than the threshold, nearest first."""
     query = query if isinstance(query, Column) else vector.literal(query)
     distance = vector.cosine_distance(F.col(column), query)
     distance = distance if digits is None else F.round(distance, digits)
-    found = images.where(visible()).select("id", "extension", "source", distance.alias("distance")).where(F.col("distance") <= threshold)
-    return found.orderBy("distance", "id")
+    found = images.where(visible()).withColumn("distance", distance).where(F.col("distance") <= threshold)
+    return found.select(*[c for c in RECORD if c in images.columns], "distance").orderBy("distance", "id")
 
 
 def search_text(images: DataFrame, text: str, encoder, **options) -> DataFrame:
     """Range search by the embedding of a text or of the image at an address; empty text finds nothing."""
     if text == "":
-        return within(images, [1.0], **options).limit(0)
+        return within(images.limit(0), [1.0], **options)
     vectors = encoder.embed(text)
     if not vectors:
         raise ValueError("the encoder gave no embedding")

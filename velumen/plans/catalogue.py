@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velumen.functions import blurhash, encoder, shape, vector
-from velumen.operators import auth, events, pairs, reindex, search, stats
+from velumen.operators import auth, events, pairs, reindex, search, service, stats
 from velumen.sources import catalog, schema
 from velumen.streaming import events as streaming
 
@@ -63,11 +66,11 @@ def image_by_id(spark, sf_dir):
     return search.by_id(schema.images(spark, sf_dir), 10).select("id", "source", "extension", "searchable", "deleted")
 
 
-def _similar_sql(target: int, limit: int) -> str:
-    d = _DISTANCE.format(a="i.embedding", b="t.embedding")
+def _similar_sql(target: int, limit: int | None, column: str = "embedding") -> str:
+    d = _DISTANCE.format(a="i.embedding", b="t.embedding").replace("i.embedding", column.replace("embedding", "i.embedding")).replace("t.embedding", column.replace("embedding", "t.embedding"))
     return f"""WITH {_IMAGES}, target AS (SELECT embedding FROM image WHERE id = {target} AND deleted IS FALSE)
 SELECT i.id, round({d}, 6) AS distance FROM image i CROSS JOIN target t
-WHERE {_VISIBLE} AND i.id <> {target} ORDER BY distance NULLS LAST, i.id LIMIT {limit}"""
+WHERE {_VISIBLE} AND i.id <> {target} ORDER BY distance NULLS LAST, i.id {"" if limit is None else f"LIMIT {limit}"}"""
 
 
 @query(_similar_sql(1, 96))
@@ -80,7 +83,7 @@ def similar_to_unsearchable(spark, sf_dir):
     return search.similar(schema.images(spark, sf_dir), 10, digits=6)
 
 
-@query(_similar_sql(1, 100_000))
+@query(_similar_sql(1, None))
 def similar_null_tail(spark, sf_dir):
     return search.similar(schema.images(spark, sf_dir), 1, digits=6, limit=None)
 
@@ -99,21 +102,72 @@ def similar_deleted_target(spark, sf_dir):
     return search.with_target_first(schema.images(spark, sf_dir), 7, digits=6)
 
 
+_RECORD = "id, source, extension, blurhash, from_old_database, searchable"
+_RECORDS = f"""WITH {_IMAGES}, near AS ({_similar_sql(1, 96)})
+SELECT 0 AS rank, {_RECORD}, CAST(NULL AS DOUBLE) AS distance FROM image WHERE id = 1
+UNION ALL SELECT CAST(row_number() OVER (ORDER BY distance NULLS LAST, id) AS INT), {_RECORD}, distance FROM image JOIN near USING (id)"""
+
+
+@query(_RECORDS)
+def similar_records(spark, sf_dir):
+    return search.similar_records(schema.images(spark, sf_dir), 1, digits=6)
+
+
+#: What each preview hash of the fixture decodes to, worked out pixel by pixel from the format's definition: checksum of
+#: the data address, and hue, saturation and lightness of the mean of its fullest cell of 32 levels a channel.
+LOOKS = {
+    "LEHV6nWB2yk8pyo0adR*.7kCMdnj": ("5f6cb7e2d65a0010c30dbff201f4ae67", 218.416, 0.807, 56.067),
+    "LGF5]+Yk^6#M@-5c,1J5@[or[Q6.": ("c084e0592594d524c2868effbf01a848", 312.881, 1.429, 44.971),
+    "L6PZfSi_.AyE_3t7t7R**0o#DgR4": ("0e079df731496edc0b8561573b51c7ca", 30.269, 11.499, 83.869),
+    "LKO2?U%2Tw=w]~RBVZRi};RPxuwH": ("6dbc6189b978d14a1db4c556a001bd47", 16.577, 26.712, 72.918),
+}
+_LOOKS = "looks(hash, url_md5, h, s, l) AS (VALUES " + ", ".join(f"('{k}', '{m}', CAST({h} AS DOUBLE), CAST({s} AS DOUBLE), CAST({l} AS DOUBLE))" for k, (m, h, s, l) in LOOKS.items()) + ")"
+
+
+@query(
+    f"""WITH {_LOOKS}, records AS ({_RECORDS})
+SELECT rank, id, '{shape.DEFAULT_PREFIX}/original/' || id || '.' || extension AS url, coalesce(url_md5, md5('')) AS blurhash_md5,
+  CASE WHEN starts_with(source, 'https://reddit.com/') THEN 'https://redd.it/' || substr(source, 20) ELSE coalesce(source, '') END AS source,
+  '{shape.DEFAULT_PREFIX}/jpeg/640/' || id || '.jpg' AS jpeg_640, '{shape.DEFAULT_PREFIX}/webp/1280/' || id || '.webp' AS webp_1280,
+  h, s, l, searchable, distance, from_old_database
+FROM records LEFT JOIN looks ON blurhash = hash"""
+)
+def similar_shaped(spark, sf_dir):
+    found = search.shaped_records(search.similar_records(schema.images(spark, sf_dir), 1, digits=6)).select("rank", "shaped.*")
+    colour = [F.round(f"primaryColor.{c}", 3).alias(c) for c in "hsl"]
+    return found.select("rank", "id", "url", F.md5("blurhashUrl").alias("blurhash_md5"), "source", F.col("jpeg.640").alias("jpeg_640"), F.col("webp.1280").alias("webp_1280"), *colour, "searchable", "distance", "from_old_database")
+
+
+_SQUARES = "list_transform(embedding, lambda x: x * x)"
+
+
+@query(_similar_sql(1, 96, _SQUARES))
+def similar_by_model(spark, sf_dir):
+    return search.similar(schema.images_by_model(spark, sf_dir), 1, column=schema.model_column("mobileclip_s2"), digits=6)
+
+
+@query(f"""WITH {_IMAGES} SELECT id, embedding IS NULL AS missing FROM image WHERE embedding IS NULL""")
+def backlog_by_model(spark, sf_dir):
+    column = schema.model_column("no such model")
+    return reindex.backlog(schema.images_by_model(spark, sf_dir), column, seed=1, limit=None).select("id", F.col(column).isNull().alias("missing"))
+
+
 def _query_vector(spark, sf_dir) -> list[float]:
     return [float(x) for x in _table(spark, sf_dir, "embeddings").where("vec_id = 1").first().embedding]
 
 
-_NEAR = f"""WITH {_IMAGES}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 1),
-far AS (SELECT id, extension, source, round({_DISTANCE.format(a='embedding', b='v')}, 6) AS distance FROM image CROSS JOIN q WHERE {_VISIBLE})
-SELECT id, extension, source, distance FROM far WHERE distance <= {{t}}"""
+def _near(most: float) -> str:
+    return f"""WITH {_IMAGES}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 1),
+far AS (SELECT {_RECORD}, round({_DISTANCE.format(a='embedding', b='v')}, 6) AS distance FROM image CROSS JOIN q WHERE {_VISIBLE})
+SELECT {_RECORD}, distance FROM far WHERE distance <= {most}"""
 
 
-@query(_NEAR.format(t=0.765))
+@query(_near(0.765))
 def search_by_vector_threshold(spark, sf_dir):
     return search.within(schema.images(spark, sf_dir), _query_vector(spark, sf_dir), digits=6)
 
 
-@query(_NEAR.format(t=0.8))
+@query(_near(0.8))
 def search_wider_threshold(spark, sf_dir):
     return search.within(schema.images(spark, sf_dir), _query_vector(spark, sf_dir), threshold=0.8, digits=6)
 
@@ -123,7 +177,7 @@ def search_by_text(spark, sf_dir):
     return search.search_text(schema.images(spark, sf_dir), "the golden compass", encoder.HashEncoder(64), threshold=2.0)
 
 
-@query(f"""SELECT id, '{{"versions":{{"png":{{"original":"{shape.DEFAULT_PREFIX}/original/' || id || '.' || extension || '"}}}}}}' AS json FROM ({_NEAR.format(t=0.765)}) WHERE extension IS NOT NULL""")
+@query(f"""SELECT id, '{{"versions":{{"png":{{"original":"{shape.DEFAULT_PREFIX}/original/' || id || '.' || extension || '"}}}}}}' AS json FROM ({_near(0.765)}) WHERE extension IS NOT NULL""")
 def cover_bytext_json(spark, sf_dir):
     found = search.within(schema.images(spark, sf_dir), _query_vector(spark, sf_dir), digits=6)
     return search.api_json(found.where("extension is not null"))
@@ -146,6 +200,23 @@ def near_duplicates(spark, sf_dir):
     return top.select(F.col("image1.id").alias("id1"), F.col("image1.source").alias("source1"), F.col("image2.id").alias("id2"), F.col("image2.extension").alias("extension2"), F.round("distance", 6).alias("distance"))
 
 
+@query(ORACLES["near_duplicates"])
+def review_of_stored_pairs(spark, sf_dir):
+    images = schema.images(spark, sf_dir)
+    at = f"{_shared_folder(spark)}/velumen/pairs-{uuid.uuid4().hex}"
+    pairs.refresh_image_neighbor(images, at)
+    top = pairs.review(pairs.read_image_neighbor(spark, at), images)
+    return top.select(F.col("image1.id").alias("id1"), F.col("image1.source").alias("source1"), F.col("image2.id").alias("id2"), F.col("image2.extension").alias("extension2"), F.round("distance", 6).alias("distance"))
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """Where tables that a query writes for itself go; a local folder only in local sessions that name none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or "file://" + tempfile.mkdtemp(prefix="velumen-")).rstrip("/")
+
+
 # Statistics -----------------------------------------------------------------------------------------------------
 
 
@@ -201,9 +272,9 @@ def login_lookup(spark, sf_dir):
 
 
 @query(f"""SELECT 'new-' || CAST(c_custkey AS VARCHAR) AS session_id, c_custkey AS user_id, TIMESTAMP '{schema.NOW_SESSIONS}' + INTERVAL 1 DAY AS expires_at
-FROM customer WHERE c_custkey <= 20""")
+FROM customer""")
 def session_insert_expiry(spark, sf_dir):
-    logins = schema.users(spark, sf_dir).where("id <= 20").select(F.concat(F.lit("new-"), F.col("id").cast("string")).alias("session_id"), F.col("id").alias("user_id"))
+    logins = schema.users(spark, sf_dir).select(F.concat(F.lit("new-"), F.col("id").cast("string")).alias("session_id"), F.col("id").alias("user_id"))
     return auth.new_sessions(logins, _session_now())
 
 
@@ -214,9 +285,13 @@ def session_delete(spark, sf_dir):
     return auth.end_session(schema.sessions(spark, sf_dir), ended).select("session_id", "user_id")
 
 
-@query("SELECT o_orderkey AS session_id, o_custkey AS user_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@query("SELECT o_orderkey AS session_id, o_custkey AS user_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0")
 def session_cascade(spark, sf_dir):
-    return schema.cascade_sessions(schema.sessions(spark, sf_dir), schema.users(spark, sf_dir).where("id % 2 = 0")).select("session_id", "user_id")
+    """Users whose account is overdrawn are deleted, and their sessions with them."""
+    customer = _table(spark, sf_dir, "customer")
+    gone = customer.where("c_acctbal < 0").select("c_custkey")
+    users = schema.users(spark, sf_dir).join(gone, F.col("id") == F.col("c_custkey"), "left_anti")
+    return schema.cascade_sessions(schema.sessions(spark, sf_dir), users).select("session_id", "user_id")
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey AS VARCHAR) END AS session_id,
@@ -248,13 +323,56 @@ def reindex_in_one_pass(spark, sf_dir):
 
 
 @query(f"""WITH top AS (SELECT coalesce(max(event_id), 0) AS m FROM events), new AS (
-  SELECT 'imageDownloaded' AS event_type, '{{"id":"' || CAST(vec_id AS VARCHAR) || '"}}' AS payload FROM embeddings WHERE vec_id < 25)
-SELECT m + row_number() OVER (ORDER BY event_type, payload) AS id, event_type, payload, TIMESTAMP '{schema.NOW_EVENTS}' AS created_at FROM new, top""")
+  SELECT 'imageDownloaded' AS event_type, '{{"id":"' || CAST(vec_id AS VARCHAR) || '"}}' AS payload FROM embeddings)
+SELECT m + row_number() OVER (ORDER BY event_type, md5(payload), payload) AS id, event_type, payload, TIMESTAMP '{schema.NOW_EVENTS}' AS created_at FROM new, top""")
 def event_append(spark, sf_dir):
-    new = _table(spark, sf_dir, "embeddings").where("vec_id < 25").select(F.lit("imageDownloaded").alias("event_type"), events.payload("imageDownloaded", id=F.col("vec_id").cast("string")).alias("payload"))
+    new = _table(spark, sf_dir, "embeddings").select(F.lit("imageDownloaded").alias("event_type"), events.payload("imageDownloaded", id=F.col("vec_id").cast("string")).alias("payload"))
     return events.append(schema.events(spark, sf_dir), new, _event_now())
 
 
+class _TwoWords(encoder.HashEncoder):
+    """Embeds every text as the fixture's query vector."""
+
+    def __init__(self, vector: list[float]):
+        super().__init__(len(vector))
+        self.vector = vector
+
+    def embed_batch(self, inputs: list[str]) -> list[list[float]]:
+        return [self.vector for _ in inputs]
+
+
+@query(f"""WITH {_IMAGES}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 1),
+near AS (SELECT count(*) AS n FROM image CROSS JOIN q WHERE {_VISIBLE} AND {_DISTANCE.format(a='embedding', b='v')} <= 0.765),
+seen AS (SELECT count(*) AS n FROM image WHERE {_VISIBLE})
+SELECT * FROM (VALUES (1, 'getRandom', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), (SELECT least(54, n) FROM seen)),
+ (2, 'getImageByIdAndSimilar', '1', NULL, (SELECT least(96, n - 1) FROM seen)),
+ (3, 'vectorSearchByString', NULL, NULL, (SELECT n FROM near)),
+ (4, 'adminUserLoginFailure', NULL, 'nobody', NULL), (5, 'adminUserLoginFailure', NULL, 'Customer#000000007', NULL),
+ (6, 'adminUserLoginSuccess', NULL, 'Customer#000000007', NULL), (7, 'adminUserAuthSuccess', NULL, 'Customer#000000007', NULL),
+ (8, 'imageDeleted', '1', 'Customer#000000007', NULL), (9, 'adminUserAuthSuccess', NULL, 'Customer#000000007', NULL),
+ (10, 'setImageNotSearchable', '2', 'Customer#000000007', NULL), (11, 'adminUserLogout', NULL, NULL, NULL), (12, 'imageDownloaded', '3', NULL, NULL)
+) AS t(position, event_type, id, username, results)""")
+def events_of_actions(spark, sf_dir):
+    """What the actions of one visitor and one administrator append to the log."""
+    users = schema.users(spark, sf_dir).withColumn("password_hash", F.lit("plain"))
+    sessions = schema.sessions(spark, sf_dir).withColumn("session_id", F.col("session_id").cast("string"))
+    s, now = service.Service(schema.images(spark, sf_dir), users, sessions), _session_now()
+    s.random(seed=1)
+    s.similar(1)
+    s.search("any", _TwoWords(_query_vector(spark, sf_dir)))
+    s.search("", None)
+    s.login("nobody", "x", now)
+    right = lambda stored, password: password == "right"
+    s.login("Customer#000000007", "wrong", now, verify=right)
+    got = s.login("Customer#000000007", "right", now, verify=right)
+    s.set_deleted(got["cookie"], now, 1, True)
+    s.set_searchable(got["cookie"], now, 2, False)
+    s.logout(s.told[-1][1]["sessionId"])
+    s.downloaded(3)
+    rows = [(i + 1, kind, None if p.get("id") is None else str(p["id"]), p.get("username"), p.get("results")) for i, (kind, p) in enumerate(s.told)]
+    return spark.createDataFrame(rows, "position int, event_type string, id string, username string, results long")
+
+
 @query("SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def event_payload_json(spark, sf_dir):
     return schema.events(spark, sf_dir).select("id", F.get_json_object("payload", "$.k").cast("long").alias("k"))
@@ -344,8 +462,12 @@ def vector_parse_normalize(spark, sf_dir):
 
 # Encoder --------------------------------------------------------------------------------------------------------
 
-_LINES = r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS x FROM documents),
-l AS (SELECT doc_id, string_split(x, chr(10)) AS parts FROM t WHERE x <> '')
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^[{encoder.BLANK}]+', ''), '[{encoder.BLANK}]+$', '')"
+
+
+_LINES = f"""WITH t AS (SELECT doc_id, {_strip('text')} AS x FROM documents),
+l AS (SELECT doc_id, list_transform(string_split_regex(x, '\\r\\n|[{encoder.NEW_LINE}]'), lambda p: {_strip('p')}) AS parts FROM t WHERE x <> '')
 SELECT doc_id, CAST(i - 1 AS INT) AS line, md5(parts[i]) AS input_md5, CASE WHEN regexp_matches(parts[i], '^https?://') THEN 'image' ELSE 'text' END AS kind
 FROM l, LATERAL unnest(range(1, len(parts) + 1)) AS u(i)"""
 
@@ -362,21 +484,17 @@ def embed_text(spark, sf_dir):
     return encoder.embed_column(inputs, encoder.HashEncoder(64)).select("item_id", "embedding")
 
 
-#: Valid hashes to decode, by number.
-_HASHES = ("LEHV6nWB2yk8pyo0adR*.7kCMdnj", "LGF5]+Yk^6#M@-5c,1J5@[or[Q6.", "L6PZfSi_.AyE_3t7t7R**0o#DgR4", "LKO2?U%2Tw=w]~RBVZRi};RPxuwH")
-
-
 def _hashed(spark, sf_dir):
-    pick = F.element_at(F.array(*map(F.lit, _HASHES)), (F.col("id") % len(_HASHES) + 1).cast("int"))
-    return schema.images(spark, sf_dir).select("id", pick.alias("hash"))
+    return schema.images(spark, sf_dir).select("id", F.col("blurhash").alias("hash"))
 
 
-@query()
+@query(f"WITH {_IMAGES}, {_LOOKS} SELECT id, url_md5 FROM image LEFT JOIN looks ON blurhash = hash")
 def blurhash_png(spark, sf_dir):
-    return _hashed(spark, sf_dir).select("id", blurhash.data_url_column(F.col("hash")).alias("url"))
+    return _hashed(spark, sf_dir).select("id", F.md5(blurhash.data_url_column(F.col("hash"))).alias("url_md5"))
 
 
-@query()
+@query(f"""WITH {_IMAGES}, {_LOOKS} SELECT id, h, s, l, 'hsla(' || round(h, 1) || ', ' || round(s, 1) || '%, ' || round(l * 0.6, 1) || '%, 1)' AS shadow
+FROM image LEFT JOIN looks ON blurhash = hash""")
 def primary_color(spark, sf_dir):
     c = _hashed(spark, sf_dir).select("id", blurhash.primary_colour_column(F.col("hash")).alias("c"))
     return c.select("id", F.round("c.h", 3).alias("h"), F.round("c.s", 3).alias("s"), F.round("c.l", 3).alias("l"), shape.shadow(F.col("c.h"), F.col("c.s"), F.col("c.l")).alias("shadow"))
@@ -440,9 +558,31 @@ def multiway_join(spark, sf_dir):
     return joined.groupBy("r_name", "n_name").agg(F.count("c_custkey").alias("customers")).orderBy("r_name", "n_name")
 
 
-@query("""SELECT 'unique(o_orderkey)' AS rule, CAST(0 AS BIGINT) AS n WHERE false
-UNION ALL SELECT 'references(o_custkey, customer.c_custkey)', count(*) FROM orders WHERE o_custkey % 3 = 0""")
+@query("""SELECT 'unique(c_mktsegment)' AS rule, count(*) AS n FROM (SELECT c_mktsegment FROM customer GROUP BY c_mktsegment HAVING count(*) > 1) HAVING count(*) > 0
+UNION ALL SELECT 'references(c_custkey, supplier.s_suppkey)', count(*) FROM customer ANTI JOIN supplier ON c_custkey = s_suppkey HAVING count(*) > 0
+UNION ALL SELECT 'references(c_nationkey, nation.n_nationkey)', count(*) FROM customer ANTI JOIN nation ON c_nationkey = n_nationkey HAVING count(*) > 0""")
 def constraint_violations(spark, sf_dir):
-    rules = schema.Constraints(key=("o_orderkey",), references={"o_custkey": ("customer", "c_custkey")})
-    parents = _table(spark, sf_dir, "customer").where("c_custkey % 3 != 0")
-    return schema.violations(_table(spark, sf_dir, "orders"), rules, {"customer": parents})
+    rules = schema.Constraints(key=("c_custkey",), unique=(("c_mktsegment",),), not_null=("c_name",), references={"c_custkey": ("supplier", "s_suppkey"), "c_nationkey": ("nation", "n_nationkey")})
+    return schema.violations(_table(spark, sf_dir, "customer"), rules, {t: _table(spark, sf_dir, t) for t in ("supplier", "nation")})
+
+
+@query("""SELECT r_name, p_type, n_name, count(*) AS line_items, count(DISTINCT c_custkey) AS customers
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey WHERE o_orderstatus = 'F' GROUP BY ALL""")
+def six_way_join(spark, sf_dir):
+    line, o, c, n, r, p = (_table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "region", "part"))
+    joined = line.join(o.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    joined = joined.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    return joined.groupBy("r_name", "p_type", "n_name").agg(F.count("*").alias("line_items"), F.countDistinct("c_custkey").alias("customers"))
+
+
+@query("""SELECT * FROM (VALUES
+ ('image', 'key', 'id', NULL), ('image', 'not null', 'deleted', NULL), ('image', 'default', 'searchable', 'true'),
+ ('image', 'default', 'from_old_database', 'false'), ('image', 'default', 'deleted', 'false'),
+ ('web_user', 'key', 'id', NULL), ('web_user', 'unique', 'username', NULL), ('web_user', 'not null', 'username', NULL), ('web_user', 'not null', 'password_hash', NULL),
+ ('session', 'key', 'session_id', NULL), ('session', 'not null', 'user_id', NULL), ('session', 'not null', 'expires_at', NULL), ('session', 'references', 'user_id', 'web_user.id'),
+ ('analytics_event', 'key', 'id', NULL), ('analytics_event', 'not null', 'event_type', NULL), ('analytics_event', 'not null', 'created_at', NULL),
+ ('image_neighbor', 'unique', 'id1,id2', NULL), ('image_neighbor', 'not null', 'id1', NULL), ('image_neighbor', 'not null', 'id2', NULL)
+) AS t(relation, kind, columns, target)""")
+def catalog_constraints(spark, sf_dir):
+    return schema.described(spark)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velumen.functions.shape import quote_ident, strip_view_tail
+from velumen.functions.shape import quote_ident, quote_literal, strip_view_tail
 
 
 def tables(spark: SparkSession, database: str) -> DataFrame:
@@ -30,18 +33,26 @@ def load_order(names: list[str], edges: list[tuple[str, str]]) -> list[str]:
 
 
 def copy_tables(spark: SparkSession, source: str, target: str, edges: list[tuple[str, str]]) -> list[str]:
-    """Copy all tables of a database into a new one, in load order; a failed copy leaves no target."""
+    """Copy all tables of a database, in load order, into another, which is replaced as a whole.
+
+    All data are written aside first; a copy that fails leaves the target as it was. Then only names change: the target's
+    tables are made anew on the written data.
+    """
     names = [r.name for r in tables(spark, source).where("kind = 'table'").collect()]
     order = load_order(names, edges)
     src, dst = quote_ident(source), quote_ident(target)
-    spark.sql(f"DROP DATABASE IF EXISTS {dst} CASCADE")
-    spark.sql(f"CREATE DATABASE {dst}")
+    aside = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{target}-{uuid.uuid4().hex}"
     try:
         for t in order:
-            spark.table(f"{src}.{quote_ident(t)}").write.format("parquet").saveAsTable(f"{dst}.{quote_ident(t)}")
+            spark.table(f"{src}.{quote_ident(t)}").write.parquet(f"{aside}/{t}")
     except Exception:
-        spark.sql(f"DROP DATABASE IF EXISTS {dst} CASCADE")
+        path = spark._jvm.org.apache.hadoop.fs.Path(aside)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         raise
+    spark.sql(f"DROP DATABASE IF EXISTS {dst} CASCADE")
+    spark.sql(f"CREATE DATABASE {dst}")
+    for t in order:
+        spark.sql(f"CREATE TABLE {dst}.{quote_ident(t)} USING parquet LOCATION {quote_literal(f'{aside}/{t}')}")
     return order
 
 
@@ -52,11 +63,32 @@ def columns(spark: SparkSession, database: str) -> DataFrame:
 
 
 def copy_views(spark: SparkSession, definitions: dict[str, str], source: str, target: str) -> list[str]:
-    """Create views from their definitions, moved from one database to another and without a closing WITH [NO] DATA."""
+    """Create views from their definitions, moved from one database to another and without a closing WITH [NO] DATA.
+
+    A view that reads another one is made after it. Returns the names in the order made.
+    """
+    moved = spark.createDataFrame(sorted(definitions.items()), "name string, sql string").select("name", strip_view_tail(requalified(F.col("sql"), source, target)).alias("sql"))
+    left, made = {r.name: r.sql for r in moved.collect()}, []  # definitions are metadata
+    while left:
+        failed = {}
+        for name, sql in sorted(left.items()):
+            try:
+                spark.sql(f"CREATE OR REPLACE VIEW {quote_ident(target)}.{quote_ident(name)} AS {sql}")
+                made.append(name)
+            except AnalysisException as e:
+                failed[name] = e
+        if len(failed) == len(left):
+            raise next(iter(failed.values()))
+        left = {name: left[name] for name in failed}
+    return made
+
+
+def copy_materialized(spark: SparkSession, definitions: dict[str, str], source: str, target: str) -> list[str]:
+    """Materialised views as empty tables of their columns, to be filled by a refresh."""
     moved = spark.createDataFrame(sorted(definitions.items()), "name string, sql string").select("name", strip_view_tail(requalified(F.col("sql"), source, target)).alias("sql"))
     made = []
     for r in moved.collect():  # definitions are metadata
-        spark.sql(f"CREATE OR REPLACE VIEW {quote_ident(target)}.{quote_ident(r.name)} AS {r.sql}")
+        spark.sql(r.sql).limit(0).write.format("parquet").mode("overwrite").saveAsTable(f"{quote_ident(target)}.{quote_ident(r.name)}")
         made.append(r.name)
     return made
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,9 @@ def model_column(model: str | None) -> str:
     return MODELS.get(model or DEFAULT_MODEL, MODELS[DEFAULT_MODEL])[0]
 
 
+RELATIONS = {"image": IMAGE, "web_user": WEB_USER, "session": SESSION, "analytics_event": ANALYTICS_EVENT, "image_neighbor": IMAGE_NEIGHBOR}
+
+
 @dataclass(frozen=True)
 class Constraints:
     """What a written table must satisfy."""
@@ -92,6 +96,40 @@ def violations(df: DataFrame, rules: Constraints, tables: dict[str, DataFrame] |
     return out.where("n > 0")
 
 
+class ConstraintError(ValueError):
+    pass
+
+
+def write(df: DataFrame, path: str, table: str, tables: dict[str, DataFrame] | None = None, *, mode: str = "append") -> None:
+    """Write rows of a relation in its schema, with defaults filled in, after its constraints were checked.
+
+    With what is there already, keys must stay unique; nothing is written where a rule is broken.
+    """
+    relation, rules = RELATIONS[table], CONSTRAINTS[table]
+    rows = with_defaults(df, relation, rules.defaults)
+    there = df.sparkSession.read.schema(relation).parquet(path) if mode == "append" and _exists(df.sparkSession, path) else None
+    broken = violations(rows if there is None else there.unionByName(rows), rules, tables).collect()  # one row a rule at most
+    if broken:
+        raise ConstraintError("; ".join(f"{r.rule}: {r.n}" for r in broken))
+    rows.write.mode(mode).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def described(spark: SparkSession) -> DataFrame:
+    """(relation, kind, columns, target): keys, unique and not-null rules, references and defaults of all relations."""
+    rows = []
+    for name, c in CONSTRAINTS.items():
+        rows += [(name, "key", ",".join(c.key), None)] if c.key else []
+        rows += [(name, "unique", ",".join(u), None) for u in c.unique] + [(name, "not null", x, None) for x in c.not_null]
+        rows += [(name, "references", x, ".".join(t)) for x, t in c.references.items()]
+        rows += [(name, "default", x, json.dumps(v)) for x, v in c.defaults.items()]
+    return spark.createDataFrame(rows, "relation string, kind string, columns string, target string")
+
+
 def cascade_sessions(sessions: DataFrame, users: DataFrame) -> DataFrame:
     """Sessions of users that still exist."""
     return sessions.join(users, sessions["user_id"] == users["id"], "left_semi")
@@ -102,24 +140,38 @@ def cascade_sessions(sessions: DataFrame, users: DataFrame) -> DataFrame:
 NOW_EVENTS = "2024-01-31 00:00:00"
 NOW_SESSIONS = "1998-01-01 00:00:00"
 
-#: Fixture definitions; {T} is a list of doubles and {STR} text in the engine at hand.
-_IMAGE_SQL = """
-SELECT vec_id AS id,
-  CASE WHEN vec_id % 97 = 0 THEN NULL ELSE CAST(embedding AS {T}) END AS embedding,
-  CASE WHEN vec_id % 37 = 0 THEN NULL WHEN vec_id % 10 = 0 THEN false ELSE true END AS searchable,
-  vec_id % 7 = 0 AS deleted,
-  CASE WHEN vec_id % 53 = 0 THEN NULL WHEN label < 5 THEN 'jpg' WHEN label < 8 THEN 'png' ELSE 'webp' END AS extension,
-  CASE WHEN vec_id % 3 = 0 THEN concat('https://reddit.com/', CAST(vec_id AS {STR}))
-       WHEN vec_id % 3 = 1 THEN concat('https://example.org/', CAST(vec_id AS {STR})) END AS source,
-  vec_id % 2 = 0 AS from_old_database
-FROM {SRC}
-"""
-IMAGE_DUCK = _IMAGE_SQL.format(T="double[]", STR="varchar", SRC="embeddings")
+#: Valid preview hashes of the fixture, by number.
+HASHES = ("LEHV6nWB2yk8pyo0adR*.7kCMdnj", "LGF5]+Yk^6#M@-5c,1J5@[or[Q6.", "L6PZfSi_.AyE_3t7t7R**0o#DgR4", "LKO2?U%2Tw=w]~RBVZRi};RPxuwH")
+
+#: Columns of the fixture's image relation; <T> is a list of doubles and <STR> text in the engine at hand.
+_IMAGE = {
+    "id": "vec_id",
+    "embedding": "CASE WHEN vec_id % 97 = 0 THEN NULL ELSE CAST(embedding AS <T>) END",
+    "searchable": "CASE WHEN vec_id % 37 = 0 THEN NULL WHEN vec_id % 10 = 0 THEN false ELSE true END",
+    "deleted": "vec_id % 7 = 0",
+    "extension": "CASE WHEN vec_id % 53 = 0 THEN NULL WHEN label < 5 THEN 'jpg' WHEN label < 8 THEN 'png' ELSE 'webp' END",
+    "source": """CASE WHEN vec_id % 3 = 0 THEN concat('https://reddit.com/', CAST(vec_id AS <STR>))
+       WHEN vec_id % 3 = 1 THEN concat('https://example.org/', CAST(vec_id AS <STR>)) END""",
+    "from_old_database": "vec_id % 2 = 0",
+    "blurhash": "CASE WHEN vec_id % 41 = 0 THEN NULL " + " ".join(f"WHEN vec_id % {len(HASHES)} = {i} THEN '{h}'" for i, h in enumerate(HASHES)) + " END",
+}
+
+
+def _columns(kind: str, text: str) -> list[str]:
+    return [e.replace("<T>", kind).replace("<STR>", text) + f" AS {name}" for name, e in _IMAGE.items()]
+
+
+IMAGE_DUCK = f"SELECT {', '.join(_columns('double[]', 'varchar'))} FROM embeddings"
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return spark.sql(_IMAGE_SQL.format(T="array<double>", STR="string", SRC="{src}"), src=source)
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr(*_columns("array<double>", "string"))
+
+
+def images_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """images() with a vector column for two models: the first has the fixture's vectors, the third their squares."""
+    one, three = model_column("mobileclip_s0"), model_column("mobileclip_s2")
+    return images(spark, sf_dir).withColumn(one, F.col("embedding")).withColumn(three, F.transform("embedding", lambda x: x * x))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
