@@ -9,7 +9,8 @@ all maximal segments (Ruzzo and Tompa) lists every significant passage. A text's
 above what a text of its length reaches by chance (Karlin and Altschul), made a probability by a logistic fit.
 
 Counts cover all documents and all labelled training rows. Only the fit of the extreme-value constants and of the
-logistic curve uses a sample, of about `sample` training rows (a documented bound).
+logistic curve uses a sample, of about `sample` training rows (a documented bound), each scored by counts that it took no
+part in.
 
 Defined results: null and empty text have no passages and get the score of no evidence; documents without label teach
 nothing but their words' shares; with labels of one kind only, or none, all scores are the share of label 1; a null id
@@ -22,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ SIZE = 1 << BITS
 SLICES = 64
 #: Rows of a block whose segments are searched at once.
 ROWS = 512
+#: Parts of the training labels; each is scored by the counts of the others to fit the curve.
+PARTS = 4
 
 
 #: Units of a token besides the whole: its first so many letters, where it is longer. Inflected and compound forms share them.
@@ -56,18 +60,25 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return units, starts, ends, rows
 
 
-def token_counts(docs: DataFrame) -> np.ndarray:
-    """Counts by bucket in toxic, clean and all documents. docs: text, label (1, 0 or null: not taught from)."""
+def token_counts(docs: DataFrame, parts: int = 1) -> np.ndarray:
+    """Counts by bucket: of toxic and of clean documents, part by part, and of all documents.
+
+    docs: text, label (1, 0 or null: not taught from), and for several parts the part of each labelled document.
+    """
+    width = 2 * parts + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, SIZE), dtype=np.int64)
+        sums = np.zeros((width, SIZE), dtype=np.int64)
         for batch in batches:
-            label = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+            label, part = (batch.column(i).fill_null(-1).to_numpy(zero_copy_only=False) for i in (1, 2))
+            kind = np.where((label < 0) | (part < 0), -1, 2 * part + 1 - label)
             for at, end, data, off in tc.blocks(batch.column(0)):
                 units, _, _, rows = tokens(data, off)
-                own = np.repeat(label[at:end], np.diff(rows))
-                for k, part in ((0, units[:, own == 1]), (1, units[:, own == 0]), (2, units)):
-                    sums[k] += np.bincount(part.ravel(), minlength=SIZE + 1)[:SIZE]
+                own = np.repeat(kind[at:end], np.diff(rows))
+                for k in np.unique(kind[at:end]):
+                    if k >= 0:
+                        sums[k] += np.bincount(units[:, own == k].ravel(), minlength=SIZE + 1)[:SIZE]
+                sums[-1] += np.bincount(units.ravel(), minlength=SIZE + 1)[:SIZE]
         blobs = [zlib.compress(np.ascontiguousarray(s).tobytes(), 1) for s in np.split(sums, SLICES, axis=1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "counts"])
 
@@ -75,16 +86,17 @@ def token_counts(docs: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.int64).reshape(3, -1)
+                got = np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.int64).reshape(width, -1)
                 sums[k] = sums[k] + got if k in sums else got
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
     kind = "slice int, counts binary"
-    parts = docs.select(F.encode("text", "UTF-8").alias("text"), F.col("label").cast("int").alias("label")).mapInArrow(count, kind)
-    out = np.zeros((3, SLICES, SIZE // SLICES), dtype=np.int64)
-    for k, blob in parts.repartitionById(SLICES, F.col("slice")).mapInArrow(add, kind).collect():  # 64 rows of fixed size
-        out[:, k] += np.frombuffer(blob, dtype=np.int64).reshape(3, -1)
-    return out.reshape(3, SIZE)
+    part = F.col("part") if "part" in docs.columns else F.lit(0)
+    sliced = docs.select(F.encode("text", "UTF-8").alias("text"), F.col("label").cast("int").alias("label"), part.cast("int").alias("part")).mapInArrow(count, kind)
+    out = np.zeros((width, SLICES, SIZE // SLICES), dtype=np.int64)
+    for k, blob in sliced.repartitionById(SLICES, F.col("slice")).mapInArrow(add, kind).collect():  # 64 rows of bounded size
+        out[:, k] += np.frombuffer(zlib.decompress(blob), dtype=np.int64).reshape(width, -1)
+    return out.reshape(width, SIZE)
 
 
 def log_odds(counts: np.ndarray, prior: float, errors: float) -> np.ndarray:
@@ -186,33 +198,43 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def known_labels(labels: DataFrame, fold: tuple[int, int]) -> DataFrame:
-    """One row per labelled document outside the held-out fold: doc_id, label, and whether it calibrates instead of counting."""
+    """One row per labelled document outside the held-out fold: doc_id, label, and one of PARTS parts."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % fold[0] != fold[1]))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
-    return known.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0)
+    return known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(PARTS)).cast("int"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, fold: tuple[int, int] = (4, 2), sample: int = 8000, prior: float = 20_000.0, errors: float = 2.5, alpha: float = 0.05) -> Model:
-    """Three quarters of the training labels count tokens; of the rest, about `sample` rows fit the constants and the curve."""
+    """All training labels count tokens. About `sample` of them fit the constants and the curve, each scored by the counts of the other parts."""
     texts, known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), known_labels(labels, fold)
     # Texts meet labels by a shuffle at every size; labels grow with the corpus, so they are not sent around.
     # Rows without id meet no label, and stay where they are.
-    labelled = texts.where("doc_id is not null").join(known.where(~F.col("calibrates")).hint("merge"), "doc_id", "left")
-    counts = token_counts(labelled.select("text", "label").unionByName(texts.where("doc_id is null").select("text", F.lit(None).cast("int").alias("label"))))
-    n, ones, calibrating = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), F.count_if("calibrates")).first()
+    labelled = texts.where("doc_id is not null").join(known.hint("merge"), "doc_id", "left").select("text", "label", "part")
+    none = F.lit(None).cast("int")
+    counts = token_counts(labelled.unionByName(texts.where("doc_id is null").select("text", none.alias("label"), none.alias("part"))), PARTS)
+    n, ones = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     model = Model(np.zeros(SIZE + 1), 0.0, 1.0, np.zeros(0), ones / n if n else 0.0, alpha)
-    if not counts[0].sum() or not counts[1].sum() or not calibrating:
+    taught = np.stack([counts[0:-1:2].sum(axis=0), counts[1:-1:2].sum(axis=0), counts[-1]])
+    if not taught[0].sum() or not taught[1].sum():
         return model
-    scored = Model(log_odds(counts, prior, errors), 0.0, 1.0, np.zeros(0), model.share, alpha)
+    scored = Model(log_odds(taught, prior, errors), 0.0, 1.0, np.zeros(0), model.share, alpha)
+    others = [Model(log_odds(taught - np.stack([counts[2 * k], counts[2 * k + 1], 0 * counts[-1]]), prior, errors), 0.0, 1.0, np.zeros(0), model.share, alpha) for k in range(PARTS)]
     # The sample's ids and labels, whose number is bounded, are sent to the texts; ids decide, so reruns agree.
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(min(1.0, sample / calibrating) * 1_000_000 + 1)
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(min(1.0, sample / n) * 1_000_000 + 1)
     kept = Scratch(docs.sparkSession, "toxicity")
-    part = kept.keep(texts.join(F.broadcast(known.where(F.col("calibrates") & chosen)), "doc_id"))
-    lift, m = measure(part.where("label = 0"), scored, ("label",)).agg(F.sum("lift"), F.sum("tokens")).first()
+    seen = kept.keep(texts.join(F.broadcast(known.where(chosen)), "doc_id"))
+
+    def unseen() -> DataFrame:
+        """What the scan finds in each text by counts that it took no part in."""
+        return reduce(DataFrame.unionByName, [measure(seen.where(F.col("part") == k), m, ("label",)) for k, m in enumerate(others)])
+
+    lift, m = unseen().where("label = 0").agg(F.sum("lift"), F.sum("tokens")).first()
     scored.drift = max(1e-3, float(np.log(lift / m))) if m else 1e-3
-    seen = measure(part, scored, ("label",)).toPandas().sort_values(["label", "tokens", "best", "total"])
-    kept.drop(part)
-    y, length, best = seen["label"].to_numpy(), seen["tokens"].to_numpy(), seen["best"].to_numpy()
+    for o in others:
+        o.drift = scored.drift
+    found = unseen().toPandas().sort_values(["label", "tokens", "best", "total"])
+    kept.drop(seen)
+    y, length, best = found["label"].to_numpy(), found["tokens"].to_numpy(), found["best"].to_numpy()
     if not 0 < y.sum() < len(y):
         return model
     clean = (y == 0) & (length >= 20)
@@ -221,8 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, fold: tuple[int, int] = (4, 2), s
         scored.log_k = float(np.mean(best[clean] - np.log(length[clean])) - 0.5772156649)
     excess = excess_score(best, length, scored.log_k, scored.rate)
     # Sums over passages were taken against log K = 0; each passage's part of them moves with it.
-    count = seen["n_passages"].to_numpy()
-    total = np.maximum(np.maximum(excess, 0), np.where(count > 0, seen["total"].to_numpy() - scored.log_k * count, 0.0))
+    count = found["n_passages"].to_numpy()
+    total = np.maximum(np.maximum(excess, 0), np.where(count > 0, found["total"].to_numpy() - scored.log_k * count, 0.0))
     scored.curve = logistic(features(excess, total, length), y)
     return scored
 
@@ -236,10 +258,11 @@ def excess_score(best: np.ndarray, length: np.ndarray, log_k: float, rate: float
 MEASURE = "tokens long, lift double, best double, excess double, total double, n_passages int, score double"
 
 
-def measure(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs' kept columns with what the scan finds."""
+def measure(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_as: str | None = None) -> DataFrame:
+    """docs' kept columns with what the scan finds. text_as: a name under which the text is given back, after the others."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    back = f", {text_as} string" if text_as else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -250,9 +273,10 @@ def measure(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 excess, total, lists = m.evidence(s, rows)
                 lift = np.diff(np.concatenate([[0.0], np.cumsum(np.exp(s))])[rows])
                 out = [pa.array(length), pa.array(lift), pa.array(best_segments(s, rows)), pa.array(excess), pa.array(total), pa.array([len(x) for x in lists], pa.int32()), pa.array(m.probability(excess, total, length))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(1 + i).slice(at, end - at) for i in range(len(keep))), *out], names=[*keep, *(c.split()[0] for c in MEASURE.split(", "))])
+                out += [batch.column(0).slice(at, end - at).cast(pa.string())] if text_as else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(1 + i).slice(at, end - at) for i in range(len(keep))), *out], names=[*keep, *(c.split()[0] for c in MEASURE.split(", ")), *([text_as] if text_as else [])])
 
-    return docs.select(F.encode("text", "UTF-8").alias("text"), *keep).mapInArrow(run, f"{kinds}, {MEASURE}")
+    return docs.select(F.encode("text", "UTF-8").alias("text"), *keep).mapInArrow(run, ", ".join(x for x in (kinds, MEASURE) if x) + back)
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
@@ -292,5 +316,6 @@ def clean_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are not predicted toxic, with their columns."""
     model = fit(docs, labels, **options)
     names = {f"k{i}": c for i, c in enumerate(docs.columns)}
-    scored = measure(docs.select("text", *[F.col(c).alias(k) for k, c in names.items()]), model, tuple(names))
+    text = next(k for k, c in names.items() if c == "text")
+    scored = measure(docs.select("text", *[F.col(c).alias(k) for k, c in names.items() if k != text]), model, tuple(k for k in names if k != text), text)
     return scored.where(F.col("score") < THRESHOLD).select(*[F.col(k).alias(c) for k, c in names.items()])
