@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -75,6 +76,14 @@ class Service:
         self.tell("vectorSearchByString", model=model, q=q, results=len(found), embedTime=(ready - began) * 1000, dbTime=self._since(ready), totalTime=self._since(began))
         return found
 
+    def cover_bytext(self, params: dict[str, str], encoder, **options) -> tuple[int, str]:
+        """Status and body of the search address: 400 without a query, else the hits' addresses as JSON."""
+        q = params.get("q")
+        if not q:
+            return 400, "No query provided"
+        hits = self.search(q, encoder, **options)
+        return 200, json.dumps([{"versions": {"png": {"original": f"{shape.DEFAULT_PREFIX}/original/{r.id}.{r.extension}"}}} for r in hits], separators=(",", ":"))
+
     def downloaded(self, id_) -> None:
         self.tell("imageDownloaded", id=id_)
 
