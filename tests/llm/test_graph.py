@@ -35,3 +35,11 @@ def test_components(spark, kind):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "g")).collect() == []
+
+
+def test_nulls_loops_and_repeated_edges(spark):
+    rows = [(1, 2), (2, 1), (1, 2), (3, 3), (None, 4), (4, None), (None, None), (-5, 2), (7, 8)]
+    edges = spark.createDataFrame(rows, "a long, b long").repartition(4)
+    got = {r.node: r.component for r in components(edges, Scratch(spark, "test")).collect()}
+    assert {k: v for k, v in got.items() if k != 3} == {1: -5, 2: -5, -5: -5, 7: 7, 8: 7} and got.get(3, 3) == 3
+    assert components(edges.where("a is null"), Scratch(spark, "test")).collect() == []

@@ -40,7 +40,7 @@ def contracted(edges: DataFrame) -> DataFrame:
             some = nodes != root
             yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(root[some])], names=["a", "b"])
 
-    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "a long, b long")
+    return edges.where("a is not null and b is not null").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "a long, b long")
 
 
 def _large(both: DataFrame, least: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component): the least node reachable, for every node with an edge. edges: a, b, whole numbers.
+    """(node, component): the least node reachable, for every node with an edge. edges: a, b, whole numbers; nulls link nothing.
 
     Tasks contract what they hold; then large and small star steps alternate until every node hangs on its least
     one. Each round is written to the shared folder, so a lost executor costs one round at most.
