@@ -172,9 +172,15 @@ def search_wider_threshold(spark, sf_dir):
     return search.within(schema.images(spark, sf_dir), _query_vector(spark, sf_dir), threshold=0.8, digits=6)
 
 
-@query()
+_WORDS = "the golden compass"
+_WORDS_VECTOR = ", ".join(map(repr, encoder.HashEncoder(64).embed(_WORDS)[0]))
+
+
+@query(f"""WITH {_IMAGES}, q AS (SELECT CAST([{_WORDS_VECTOR}] AS DOUBLE[]) AS v),
+far AS (SELECT {_RECORD}, round({_DISTANCE.format(a='embedding', b='v')}, 6) AS distance FROM image CROSS JOIN q WHERE {_VISIBLE})
+SELECT {_RECORD}, distance FROM far WHERE distance <= 2.0""")
 def search_by_text(spark, sf_dir):
-    return search.search_text(schema.images(spark, sf_dir), "the golden compass", encoder.HashEncoder(64), threshold=2.0)
+    return search.search_text(schema.images(spark, sf_dir), _WORDS, encoder.HashEncoder(64), threshold=2.0, digits=6)
 
 
 @query(f"""SELECT id, '{{"versions":{{"png":{{"original":"{shape.DEFAULT_PREFIX}/original/' || id || '.' || extension || '"}}}}}}' AS json FROM ({_near(0.765)}) WHERE extension IS NOT NULL""")
