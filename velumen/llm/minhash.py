@@ -314,9 +314,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     owner = owner.join(label, "node", "left").select("w", "x", F.coalesce("component", "node").alias("component_id"))
     slim = signed.select("doc_id", "n", "w", "x")
     of_sets = slim.where("n > 0 and doc_id is not null").join(owner, ["w", "x"]).select("doc_id", "n", "component_id")
-    others = slim.where("n = 0 or doc_id is null").join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    unnamed = slim.where("doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    others = slim.where("n = 0 and doc_id is not null").join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    return of_sets.unionByName(others).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    return of_sets.unionByName(others).unionByName(unnamed).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
