@@ -59,6 +59,16 @@ def test_all_pairs(spark, block):
     assert top == [(r.id1, r.id2) for r in sorted((r for r in got if r.distance is not None), key=lambda r: (r.distance, r.id1, r.id2))[:7]]
 
 
+def test_pairs_of_text_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"{i:08x}-0000-4000-8000-{i:012x}", rng.normal(size=4).tolist(), True, False, "jpg", None, False) for i in range(30)]
+    df = spark.createDataFrame(rows, IMAGE.replace("id long", "id string"))
+    got = pairs.image_neighbor(df, block=8).collect()
+    assert len(got) == 435 and all(r.id1 < r.id2 for r in got)
+    top = [(r.image1.id, r.image2.id) for r in pairs.near_duplicates(df, limit=9, block=8).collect()]
+    assert top == [(r.id1, r.id2) for r in sorted(got, key=lambda r: (r.distance, r.id1, r.id2))[:9]]
+
+
 def test_pair_table_must_be_refreshed(spark, tmp_path):
     at = str(tmp_path / "pairs")
     with pytest.raises(RuntimeError):
