@@ -45,7 +45,7 @@ COSINE = 0.95
 REGION, SHARD, DEALT = 8192, 1024, 16_384
 #: Pivots of one dealing at most, and dealings of one vector.
 PIVOTS, LEVELS = 2048, 6
-NEAR, FAR_, DEGREE, SLACK = 32, 12, 18, 1.2
+NEAR, FAR_, DEGREE, SLACK = 16, 8, 12, 1.2
 #: Linked classes of small groups that an audit must see, classes that one pass of it looks at, links of a class in a large group.
 LINKED, AUDITED, LARGE = 50, 8192, 10
 #: Classes that an audit looks at in all, at most.
@@ -121,7 +121,7 @@ def deal(classes: DataFrame, scratch: Scratch, cosine: float, wide: float) -> Da
     tasks, done = partitions(scratch.spark), []
     for level in range(LEVELS):
         sizes = now.where("not settled").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > REGION)
-        big = scratch.keep(sizes.withColumn("wanted", F.least(F.lit(PIVOTS), F.ceil(3 * F.col("n") / REGION))).withColumn("salts", F.ceil(F.col("n") / DEALT)), "big")
+        big = scratch.keep(sizes.withColumn("wanted", F.least(F.lit(PIVOTS), F.ceil(6 * F.col("n") / REGION))).withColumn("salts", F.ceil(F.col("n") / DEALT)), "big")
         if big.isEmpty():
             break
         at = now.where("not settled").join(big, "shard")
@@ -464,7 +464,7 @@ def recall(classes: DataFrame, counts: DataFrame, scratch: Scratch, cosine: floa
     return min([s / k for k, s in seen.values() if k], default=1.0), tables
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, beam: int = 8, wide: float = 1.6, audit: int = 512, least_recall: float = 0.95) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, beam: int = 6, wide: float = 1.2, audit: int = 512, least_recall: float = 0.95) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept, audit_recall (null where it was not audited or has no links)."""
     scratch = Scratch(vectors.sparkSession, "vectors")
     base = scratch.keep(prepared(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))), "base")
@@ -495,7 +495,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     per = per.join(shares, "id", "left") if shares is not None else per.withColumn("share", F.lit(None).cast("double"))
     per = per.select("k", "x", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id"), F.col("share").alias("audit_recall"))
     some = usable.select("vec_id", "k", "x").join(per, ["k", "x"]).select("vec_id", "n_links", "component_id", "audit_recall")
-    rest = base.where("dim is null").select("vec_id").join(label.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left")
+    rest = base.where("dim is null and vec_id is not null").select("vec_id").join(label.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left")
     rest = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.lit(None).cast("double").alias("audit_recall"))
+    unnamed = base.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("audit_recall"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
-    return some.unionByName(rest).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", kept.alias("kept"), "audit_recall")
+    return some.unionByName(rest).unionByName(unnamed).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", kept.alias("kept"), "audit_recall")
