@@ -125,8 +125,12 @@ def fit(train: DataFrame, *, per_lang: int = 400, clusters: int = 4, reject_shar
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     # Of each language, the texts of least hash among about twice as many as are wanted; repeated texts count once.
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    shares = train.groupBy("lang").agg((F.least(F.lit(1.0), 2 * per_lang / F.count("*")) * (1 << 30)).alias("most"))
-    near = train.withColumn("place", place).join(shares, "lang").where("place <= most").dropDuplicates(["lang", "place"])
+    # One number a language; the model holds centroids of every language, so they are few.
+    shares = {r.lang: min(1.0, 2 * per_lang / r.n) for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not shares:
+        return None
+    most = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("lang")) * (1 << 30)
+    near = train.withColumn("place", place).where(F.col("place") <= most).dropDuplicates(["lang", "place"])
     least = near.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("place"))).where(F.col("rank") <= per_lang)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
