@@ -136,3 +136,30 @@ def test_kept_columns_go_along_with_pages(spark):
     media = tiff.encode(bytes(range(256)) * 1024, page_rows=512, width=64)
     got = tiff.tiff_pages(spark.createDataFrame([(1, media, "a"), (2, None, "b")], "doc_id long, media binary, pixels2 string"), keep=("pixels2",)).collect()
     assert [(r.page, r.pixels2) for r in got] == [(i, "a") for i in range(8)] and b"".join(r.pixels for r in got) == bytes(range(256)) * 1024
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_lzw_over_several_tables_and_packbits_rows(seed):
+    rng = np.random.default_rng(seed)
+    data = rng.integers(0, (2, 4, 256, 30, 256, 1)[seed] or 1, (0, 1, 60_000, 200_000, 9_000, 70_000)[seed], dtype=np.uint8).tobytes()
+    packed = tiff.lzw_encode(data)
+    assert tiff.lzw_decode(packed, len(data)) == data and tiff.lzw_decode(packed, len(data) // 2)[: len(data) // 2] == data[: len(data) // 2]
+    block = rng.integers(0, (2, 3, 256, 5, 9, 2)[seed], (50, (64, 128, 2, 200, 17, 3)[seed]), dtype=np.uint8)
+    packed = tiff.packbits_rows(block)
+    assert packed == b"".join(tiff.packbits_encode(r.tobytes()) for r in block) and tiff.packbits_decode(packed, block.size) == block.tobytes()
+
+
+def test_clear_codes_anywhere():
+    """A stream that clears its table early and late, from its definition bit by bit."""
+    def stream(codes):
+        bits, nth = "", 0
+        for c in codes:
+            bits += format(c, f"0{9 + (nth >= 254) + (nth >= 766) + (nth >= 1790)}b")
+            nth = 0 if c == 256 else nth + 1
+        bits += "0" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+    assert tiff.lzw_decode(stream([256, 65, 66, 258, 256, 67, 258, 256, 256, 68, 257]), 99) == b"ABABCCCD"
+    assert tiff.lzw_decode(stream([65] * 300 + [256, 66, 257]), 999) == b"A" * 300 + b"B"
+    with pytest.raises(tiff.TiffError):
+        tiff.lzw_decode(stream([256, 65, 300]), 9)

@@ -61,6 +61,21 @@ def packbits_encode(row: bytes) -> bytes:
     return b"".join(out)
 
 
+def packbits_rows(block: np.ndarray) -> bytes:
+    """Rows one by one, as the format asks; those without a run of three bytes are one literal packet."""
+    width = block.shape[1]
+    if width > 128 or width < 3:
+        return b"".join(packbits_encode(r.tobytes()) for r in block)
+    same = block[:, 1:] == block[:, :-1]
+    plain = ~(same[:, 1:] & same[:, :-1]).any(axis=1)
+    ready = np.concatenate([np.full((len(block), 1), width - 1, dtype=np.uint8), block], axis=1)
+    cuts = np.flatnonzero(np.diff(plain)) + 1
+    out = []
+    for a, b in zip(np.concatenate([[0], cuts]), np.append(cuts, len(block)), strict=True):
+        out.append(ready[a:b].tobytes() if plain[a] else b"".join(packbits_encode(r.tobytes()) for r in block[a:b]))
+    return b"".join(out)
+
+
 def packbits_decode(data: bytes, size: int) -> bytes:
     out, have, at = [], 0, 0
     while have < size and at < len(data):
@@ -79,81 +94,96 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return b"".join(out)
 
 
+#: Bits of the nth code after a clear code: 9 to 12, one more from the code before the one that needs them; and their sums.
+WIDTHS = 9 + (np.arange(8192)[:, None] >= np.array([254, 766, 1790])).sum(axis=1)
+PLACES = np.concatenate([[0], np.cumsum(WIDTHS)])
+
+
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, highest bit first; widths grow one code early, as the format asks."""
-    codes, widths, width = [256], [9], 9
-    table: dict[tuple[int, int], int] = {}
-    free, now = 258, -1
+    codes, table, free, now = [256], {}, 258, -1
+    emit, known = codes.append, table.get
     for c in data:
         if now < 0:
             now = c
             continue
-        key = (now, c)
-        found = table.get(key)
+        key = now << 8 | c
+        found = known(key)
         if found is not None:
             now = found
             continue
-        codes.append(now)
-        widths.append(width)
+        emit(now)
         table[key] = free
         now = c
         if free == 4094:
-            codes.append(256)
-            widths.append(12)
-            table, free, width = {}, 258, 9
-            continue
-        if free in (511, 1023, 2047):
-            width += 1
-        free += 1
+            emit(256)
+            table.clear()
+            free = 258
+        else:
+            free += 1
     if now >= 0:
-        codes.append(now)
-        widths.append(width)
-        if free in (511, 1023, 2047):
-            width += 1
-    codes.append(257)
-    widths.append(width)
-    w = np.array(widths, dtype=np.int64)
+        emit(now)
+    emit(257)
+    all_ = np.array(codes, dtype=np.int64)
+    clear = np.flatnonzero(all_ == 256)
+    since = np.arange(len(all_)) - clear[np.maximum(np.searchsorted(clear, np.arange(len(all_)), side="left") - 1, 0)] - 1
+    w = WIDTHS[np.maximum(since, 0)]
     ends = np.cumsum(w)
     first = (ends - w) >> 3
-    wide = np.array(codes, dtype=np.int64) << (24 - w - ((ends - w) & 7))
-    out = np.zeros(int(ends[-1] + 7) // 8 + 3, dtype=np.uint8)
-    for k in range(3):
-        np.bitwise_or.at(out, first + k, ((wide >> (16 - 8 * k)) & 255).astype(np.uint8))
-    return out[: int(ends[-1] + 7) // 8].tobytes()
+    wide = all_ << (24 - w - ((ends - w) & 7))
+    size = int(ends[-1] + 7) // 8
+    # Codes share bytes but no bits, so their parts of a byte add up.
+    out = sum(np.bincount(first + k, (wide >> (16 - 8 * k)) & 255, minlength=size + 3) for k in range(3))
+    return out[:size].astype(np.uint8).tobytes()
+
+
+_PLAIN = [bytes([i]) for i in range(256)] + [b"", b""]
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    start = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, bit, last, have = list(start), 9, 0, b"", 0
+    """Codes are cut out many at a time, as their widths hang on their number since the last clear code alone."""
+    raw, end = np.frombuffer(data + b"\0\0\0", dtype=np.uint8).astype(np.int64), 8 * len(data)
     out: list[bytes] = []
-    end, data = 8 * len(data), data + b"\0\0\0"
-    while bit + width <= end and have < size:
-        i = bit >> 3
-        code = ((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) >> (24 - width - (bit & 7))) & ((1 << width) - 1)
-        bit += width
-        if code == 256:
-            table, width, last = list(start), 9, b""
-            continue
-        if code == 257:
+    table, last, bit, nth, have = list(_PLAIN), b"", 0, 0, 0
+    while have < size:
+        nth = min(nth, 4096)
+        start, w = bit + PLACES[nth : nth + 4096] - PLACES[nth], WIDTHS[nth : nth + 4096]
+        n = int(np.searchsorted(start + w, end, side="right"))
+        if not n:
             break
-        if not last:
-            if code >= len(table):
+        start, w = start[:n], w[:n]
+        i = start >> 3
+        codes = (raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) >> (24 - w - (start & 7)) & ((1 << w) - 1)
+        special = np.flatnonzero((codes == 256) | (codes == 257))
+        m = int(special[0]) if len(special) else n
+        known = codes[:m].tolist()
+        if known and not last:
+            if known[0] > 255:
                 raise TiffError("LZW code before its entry")
-            last = table[code]
-        else:
-            n = len(table)
-            if code < n:
+            last = table[known[0]]
+            out.append(last)
+            have += len(last)
+            del known[0]
+        add, emit, free = table.append, out.append, len(table)
+        for code in known:
+            if code < free:
                 piece = table[code]
-            elif code == n:
+                add(last + piece[:1])
+            elif code == free:
                 piece = last + last[:1]
+                add(piece)
             else:
                 raise TiffError("LZW code before its entry")
-            table.append(last + piece[:1])
+            free += 1
             last = piece
-            if n in (510, 1022, 2046):
-                width += 1
-        out.append(last)
-        have += len(last)
+            emit(piece)
+        have += sum(map(len, out[len(out) - len(known) :])) if known else 0
+        if m == n:
+            bit, nth = int(start[-1] + w[-1]), nth + n
+        elif codes[m] == 257:
+            break
+        else:
+            table, last, bit, nth = list(_PLAIN), b"", int(start[m] + w[m]), 0
     return b"".join(out)
 
 
@@ -301,7 +331,7 @@ def pages(data: bytes) -> Iterator[Page]:
 
 def compress(scheme: int, block: np.ndarray) -> bytes:
     if scheme == PACKBITS:
-        return b"".join(packbits_encode(r.tobytes()) for r in block)
+        return packbits_rows(block)
     raw = block.tobytes()
     return raw if scheme == RAW else lzw_encode(raw) if scheme == LZW else zlib.compress(raw, 1)
 
