@@ -1,10 +1,10 @@
-"""Registered queries of the ten operators, and their DuckDB oracles where SQL can express them."""
+"""Registered queries of the operators, and their DuckDB oracles where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velumen.llm import chat, langid, minhash, mixing, packing, repeats, sharding, tiff, toxicity, vectors
+from velumen.llm import chat, divergence, langid, lines, minhash, mixing, packing, repeats, resampling, sharding, tiff, toxicity, vectors
 from velumen.llm.scratch import Scratch, table
 
 
@@ -51,6 +51,18 @@ def op10_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stored_digest(table(spark, sf_dir, "documents"), Scratch(spark, "store").root)
 
 
+def op11_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(table(spark, sf_dir, "documents"), min_docs=10, min_points=1)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_nearest_centroid_language": op2_nearest_centroid_language,
@@ -62,6 +74,9 @@ QUERIES = {
     "op8_toxic_segments": op8_toxic_segments,
     "op9_vector_packing": op9_vector_packing,
     "op10_tiered_compaction": op10_tiered_compaction,
+    "op11_bloom_line_dedup": op11_bloom_line_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _OP5 = r"""
@@ -195,6 +210,96 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, coalesce
 FROM v LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a = vec_id
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), each AS (
+  SELECT rid, i, lines[i] AS line,
+    regexp_replace(translate(lines[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key
+  FROM docs, LATERAL unnest(range(1, len(lines) + 1)) AS u(i)
+), doomed AS (
+  SELECT key FROM each WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10
+), kept AS (
+  SELECT rid, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM each ANTI JOIN doomed USING (key) GROUP BY rid
+)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)
+"""
+
+_OP12 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), each AS (
+  SELECT rid, lang, source, unnest(terms) AS term FROM docs
+), vocabulary AS (
+  SELECT lang, term FROM each GROUP BY lang, term HAVING count(DISTINCT rid) >= 30
+), n AS (
+  SELECT lang, source, term, count(*) AS c FROM each JOIN vocabulary USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), sizes AS (
+  SELECT lang, count(*) AS v FROM vocabulary GROUP BY lang
+), totals AS (
+  SELECT lang, source, coalesce(sum(c), 0) AS total FROM groups LEFT JOIN n USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, w.term, coalesce(n.c, 0) AS c,
+    1 + (1000000000::HUGEINT * (coalesce(n.c, 0) + 5)) // (g.total::HUGEINT + 5 * s.v) AS p
+  FROM totals g JOIN vocabulary w ON w.lang = g.lang JOIN sizes s ON s.lang = g.lang
+  LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = w.term
+), whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 5)) // (sum(sum(c)) OVER (PARTITION BY lang)::HUGEINT + 5 * any_value(v)) AS q
+  FROM n JOIN sizes USING (lang) GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS o, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+    ON f.lang = a.lang AND f.s = a.source AND f.o = b.source
+), terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q AS value FROM p JOIN whole USING (lang, term) WHERE c > 0 AND p.p > q
+), found AS (
+  SELECT * FROM pairs UNION ALL SELECT * FROM terms
+), ranked AS (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM found
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+_CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({x}))), lambda i: ('0x' || substr(hex(encode({x})), CAST(2 * i + 1 AS INT), 2))::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
+_OP13 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), wanted AS (
+  SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), each AS (
+  SELECT rid, unnest(words) AS word FROM docs
+), crc AS (
+  SELECT word, xor({_CRC32.format(x="word")}, 4294967295) % 10000 AS bucket FROM (SELECT word FROM each UNION SELECT word FROM wanted)
+), s AS (
+  SELECT bucket, count(*) AS n FROM each JOIN crc USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS n FROM wanted JOIN crc USING (word) GROUP BY bucket
+), sums AS (
+  SELECT (SELECT count(*) FROM each) AS s_all, (SELECT count(*) FROM wanted) AS t_all
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS g
+  FROM s LEFT JOIN t USING (bucket), sums
+), weights AS (
+  SELECT rid, sum(g) AS w FROM each JOIN crc USING (word) JOIN gain USING (bucket) GROUP BY rid
+), scored AS (
+  SELECT docs.*, CAST(len(words) AS BIGINT) AS n_features, CAST(coalesce(w, 0) AS BIGINT) AS weight,
+    CAST(floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise
+  FROM docs LEFT JOIN weights USING (rid)
+), may AS (
+  SELECT rid, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM scored WHERE len(words) >= 20
+)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN may USING (rid)
+"""
+
 ORACLES = {
     "op3_recompression_dedup": _OP3,
     "op4_bbit_minhash": _OP4,
@@ -202,4 +307,7 @@ ORACLES = {
     "op6_low_discrepancy_mix": _OP6,
     "op7_robust_pruned_graph": _OP7,
     "op10_tiered_compaction": _OP10,
+    "op11_bloom_line_dedup": _OP11,
+    "op12_source_divergence": _OP12,
+    "op13_importance_resampling": _OP13,
 }
