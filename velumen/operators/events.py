@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from velumen.operators.numbering import numbered
+
 #: Event types and the keys of their payloads, fixed values of the log format.
 VOCABULARY: dict[str, tuple[str, ...]] = {
     "getRandom": ("results", "time"),
@@ -31,27 +32,15 @@ def payload(event_type: str, **fields: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])) if fields else F.lit("{}")
 
 
-#: Rows of a bucket within which ids are given out by sorting.
-BUCKET = 4096
-
-
 def append(log: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """Rows to append for new (event_type, payload), with ids after the log's largest, in order of type and scrambled payload.
 
-    Ids are prefix sums over buckets, whose number follows the batch's size; the log is only asked for its maximum.
+    The log is only asked for its maximum; for several writers there is eventlog.EventLog. Equal payloads spread over tasks.
     """
-    digits = 1
-    while 16**digits * BUCKET < new.count():
-        digits += 1
     key = F.md5(F.coalesce("payload", F.lit("")))
-    placed = new.select("event_type", "payload", key.alias("key"), F.substring(key, 1, digits).alias("bucket"))
-    counts = placed.groupBy("event_type", "bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("event_type", "bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    first = counts.select(F.col("event_type").alias("_t"), F.col("bucket").alias("_b"), before.alias("first"))
-    local = placed.withColumn("n", F.row_number().over(W.partitionBy("event_type", "bucket").orderBy("key", "payload")))
-    top = log.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("top"))
-    numbered = local.join(first, F.col("event_type").eqNullSafe(F.col("_t")) & (F.col("bucket") == F.col("_b"))).crossJoin(F.broadcast(top))
-    return numbered.select((F.col("top") + F.col("first") + F.col("n")).alias("id"), "event_type", "payload", now.alias("created_at"))
+    lined = numbered(new.select("event_type", "payload", key.alias("_key")), "event_type", "_key", "payload")
+    top = log.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top"))
+    return lined.crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("number")).alias("id"), "event_type", "payload", now.alias("created_at"))
 
 
 def append_to(path: str, log: DataFrame, new: DataFrame, now: Column) -> None:
