@@ -1,16 +1,26 @@
-"""Filling missing embeddings in one pass."""
+"""Filling missing embeddings: in one pass, or as a job that goes on where it was broken off.
+
+A job writes down once which inputs it has to embed, each different input once, dealt to slices by their hash. A slice that
+is embedded is written and committed to a journal; a job that starts again, or several at once, leave committed slices alone. Of
+two workers that embed one slice at a time, one is committed.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velumen.functions.encoder import Encoder
+from velumen.sources.journal import Journal
 
 BATCH = 10
+#: Inputs of a slice.
+SLICE = 100_000
 
 
 def backlog(images: DataFrame, column: str = "embedding", *, seed: int | None = None, limit: int | None = BATCH) -> DataFrame:
@@ -36,3 +46,80 @@ def reindexed(images: DataFrame, new: DataFrame, column: str = "embedding") -> D
     fresh = new.select(F.col("id").alias("_id"), F.col("embedding").alias("_new"))
     joined = images.join(fresh, images["id"] == F.col("_id"), "left")
     return joined.select(*[F.coalesce("_new", images[c]).cast(images.schema[c].dataType).alias(c) if c == column else images[c] for c in images.columns])
+
+
+class Job:
+    """Embeds the inputs of images without a vector, slice by slice."""
+
+    def __init__(self, spark: SparkSession, root: str, **options):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.journal = Journal(spark, self.root, **options)
+
+    def _started(self) -> dict | None:
+        return next((e for e in self.journal.entries() if e["kind"] == "start"), None)
+
+    def _slices(self) -> dict[int, str]:
+        """Committed slices, and where their vectors are."""
+        return {e["slice"]: e["path"] for e in self.journal.entries() if e["kind"] == "slice"}
+
+    def start(self, images: DataFrame, *, text_col: str = "source", column: str = "embedding", size: int = SLICE) -> dict:
+        """Write down the different inputs of images without a vector, unless that was done before."""
+        started = self._started()
+        if started:
+            return started
+        todo = images.where(F.col(column).isNull()).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("input")).distinct()
+        slices = max(1, -(-todo.count() // size))
+        path = f"{self.root}/inputs/{uuid.uuid4().hex}"
+        todo.withColumn("slice", F.pmod(F.xxhash64("input"), F.lit(slices)).cast("int")).repartition("slice").write.partitionBy("slice").parquet(path)
+        self.journal.commit(lambda now: None if now else {"kind": "start", "slices": slices, "path": path})
+        return self._started()
+
+    def run(self, encoder: Encoder, *, most: int | None = None, parallel: int | None = None, seed: int | None = None, told: Callable[[int], None] = lambda slice_: None) -> int:
+        """Embed slices that are not committed, in an order by lot, `most` of them at most; how many this call has committed.
+
+        parallel: tasks of a slice. told is called with each slice before it is embedded.
+        """
+        started = self._started()
+        if started is None:
+            raise RuntimeError("the job has not been started")
+        todo = [k for k in range(started["slices"]) if k not in self._slices()]
+        random.Random(seed).shuffle(todo)
+        done = 0
+        for k in todo:
+            if most is not None and done >= most:
+                break
+            if k in self._slices():  # another worker was faster
+                continue
+            told(k)
+            inputs = self.spark.read.schema("input string, slice int").parquet(started["path"]).where(F.col("slice") == k).select("input")
+            path = f"{self.root}/vectors/{uuid.uuid4().hex}"
+            self._embedded(inputs.repartition(parallel) if parallel else inputs, encoder).write.parquet(path)
+            done += self.journal.commit(lambda now, k=k, path=path: None if any(e["kind"] == "slice" and e["slice"] == k for e in now) else {"kind": "slice", "slice": k, "path": path}) is not None
+        return done
+
+    @staticmethod
+    def _embedded(inputs: DataFrame, encoder: Encoder) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"input": batch["input"], "embedding": encoder.embed_batch(batch["input"].tolist())})
+
+        return inputs.mapInPandas(run, "input string, embedding array<float>")
+
+    def progress(self) -> DataFrame:
+        """(slice, done) of all slices."""
+        started, done = self._started(), self._slices()
+        n = started["slices"] if started else 0
+        return self.spark.createDataFrame([(k, k in done) for k in range(n)], "slice int, done boolean")
+
+    def vectors(self) -> DataFrame:
+        """(input, embedding) of the committed slices."""
+        paths = list(self._slices().values())
+        kind = "input string, embedding array<float>"
+        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+
+    def filled(self, images: DataFrame, *, text_col: str = "source", column: str = "embedding") -> DataFrame:
+        """images with the vectors there are so far where they had none; equal inputs have equal ones."""
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        fresh = self.vectors().select(F.col("input").alias("_input"), F.col("embedding").alias("_new"))
+        joined = images.join(fresh, images[column].isNull() & (text == F.col("_input")), "left")
+        return joined.select(*[F.coalesce(images[c], F.col("_new").cast(images.schema[c].dataType)).alias(c) if c == column else images[c] for c in images.columns])
