@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velumen.functions import blurhash, encoder, shape, vector
-from velumen.operators import auth, events, pairs, reindex, search, service, stats
-from velumen.sources import catalog, schema
+from velumen.operators import auth, eventlog, events, nearest, pairs, pairtable, reindex, search, sequences, service, stats
+from velumen.sources import catalog, clone, layout, rules, schema, shared
 from velumen.streaming import events as streaming
 
 QUERIES: dict = {}
@@ -178,9 +177,9 @@ _WORDS_VECTOR = ", ".join(map(repr, encoder.HashEncoder(64).embed(_WORDS)[0]))
 
 @query(f"""WITH {_IMAGES}, q AS (SELECT CAST([{_WORDS_VECTOR}] AS DOUBLE[]) AS v),
 far AS (SELECT {_RECORD}, round({_DISTANCE.format(a='embedding', b='v')}, 6) AS distance FROM image CROSS JOIN q WHERE {_VISIBLE})
-SELECT {_RECORD}, distance FROM far WHERE distance <= 2.0""")
+SELECT {_RECORD}, distance FROM far WHERE distance <= 0.95""")
 def search_by_text(spark, sf_dir):
-    return search.search_text(schema.images(spark, sf_dir), _WORDS, encoder.HashEncoder(64), threshold=2.0, digits=6)
+    return search.search_text(schema.images(spark, sf_dir), _WORDS, encoder.HashEncoder(64), threshold=0.95, digits=6)
 
 
 @query(f"""SELECT id, '{{"versions":{{"png":{{"original":"{shape.DEFAULT_PREFIX}/original/' || id || '.' || extension || '"}}}}}}' AS json FROM ({_near(0.765)}) WHERE extension IS NOT NULL""")
@@ -209,18 +208,30 @@ def near_duplicates(spark, sf_dir):
 @query(ORACLES["near_duplicates"])
 def review_of_stored_pairs(spark, sf_dir):
     images = schema.images(spark, sf_dir)
-    at = f"{_shared_folder(spark)}/velumen/pairs-{uuid.uuid4().hex}"
+    at = shared.fresh(spark, "pairs")
     pairs.refresh_image_neighbor(images, at)
     top = pairs.review(pairs.read_image_neighbor(spark, at), images)
     return top.select(F.col("image1.id").alias("id1"), F.col("image1.source").alias("source1"), F.col("image2.id").alias("id2"), F.col("image2.extension").alias("extension2"), F.round("distance", 6).alias("distance"))
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """Where tables that a query writes for itself go; a local folder only in local sessions that name none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return (named or "file://" + tempfile.mkdtemp(prefix="velumen-")).rstrip("/")
+@query(ORACLES["image_neighbor"])
+def image_neighbor_refreshed(spark, sf_dir):
+    """A pair table of other vectors and fewer images, brought up to date by what has changed since."""
+    images, table = schema.images(spark, sf_dir), pairtable.PairTable(spark, shared.fresh(spark, "pair-table"))
+    then = images.where("extension is not null").withColumn("embedding", F.when(F.col("extension") == "webp", F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")))
+    table.refresh(then)
+    table.refresh(images)
+    return table.read().withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH {_IMAGES}, seen AS (SELECT id, embedding FROM image WHERE {_VISIBLE}),
+far AS (SELECT t.id AS target, i.id, round({_DISTANCE.format(a='i.embedding', b='t.embedding')}, 6) AS distance FROM image t JOIN seen i ON t.id <> i.id WHERE t.deleted IS FALSE)
+SELECT target, id, distance, CAST(row_number() OVER (PARTITION BY target ORDER BY distance NULLS LAST, id) AS INT) AS rank FROM far
+QUALIFY rank <= 96""")
+def similar_of_all(spark, sf_dir):
+    """The nearest of every image that is not deleted, in one join."""
+    images = schema.images(spark, sf_dir)
+    return nearest.nearest_to(images.where(search.visible()), images.where("not deleted"), search.SIMILAR, digits=6)
 
 
 # Statistics -----------------------------------------------------------------------------------------------------
@@ -251,9 +262,9 @@ def percent_of_total(spark, sf_dir):
     return stats.percentages(schema.images(spark, sf_dir))
 
 
-@query("SELECT 'ok' AS status")
+@query(f"WITH {_IMAGES} SELECT 'ok' AS status, count(*) AS images FROM image")
 def heartbeat(spark, sf_dir):
-    return stats.heartbeat(spark)
+    return stats.heartbeat(spark).crossJoin(schema.images(spark, sf_dir).agg(F.count("*").alias("images")))
 
 
 # Sessions -------------------------------------------------------------------------------------------------------
@@ -309,6 +320,19 @@ def cookie_round_trip(spark, sf_dir):
     return schema.users(spark, sf_dir).select("id", cookie.alias("c")).select("id", F.col("c.sessionId").alias("session_id"), F.col("c.username").alias("username"))
 
 
+@query(f"{_LIVE} AND o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_orderdate + INTERVAL 1 DAY > TIMESTAMP '{schema.NOW_SESSIONS}')")
+def session_auth_clustered(spark, sf_dir):
+    """The check of one session on tables that are clustered by their keys: one row group of each is read."""
+    at = {t: shared.fresh(spark, t) for t in ("session", "web_user")}
+    layout.write(schema.sessions(spark, sf_dir), at["session"], layout.LAYOUTS["session"])
+    layout.write(schema.users(spark, sf_dir), at["web_user"], layout.LAYOUTS["web_user"])
+    newest = spark.read.parquet(at["session"]).where(F.col("expires_at") > _session_now()).agg(F.max("session_id")).first()[0]
+    live = layout.lookup(spark, at["session"], layout.LAYOUTS["session"], newest)
+    owner = live.first()
+    who = layout.lookup(spark, at["web_user"], layout.LAYOUTS["web_user"], owner.user_id if owner else -1)
+    return auth.authenticated(live, who, _session_now())
+
+
 # Embedding backlog ----------------------------------------------------------------------------------------------
 
 
@@ -317,12 +341,42 @@ def reindex_backlog(spark, sf_dir):
     return reindex.backlog(schema.images(spark, sf_dir), seed=42).select("id", "source")
 
 
-@query(f"WITH {_IMAGES} SELECT id, embedding IS NULL AS was_missing, false AS is_missing FROM image")
+#: The CRC-32 of {x} as SQL, byte by byte and bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({x}))), lambda i: ('0x' || substr(hex(encode({x})), CAST(2 * i + 1 AS INT), 2))::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"""
+#: The stand-in's vectors of the addresses of images without one: sixteen signed hits, to unit length; a missing address hits the first place.
+_EMBEDDED = f"""hits AS (SELECT id, {_CRC32.format(x="'image:' || source || ':' || k")} AS h FROM image, range(16) AS t(k) WHERE embedding IS NULL AND source IS NOT NULL),
+summed AS (SELECT id, h % 64 AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM hits GROUP BY ALL
+  UNION ALL SELECT id, 0, 1 FROM image WHERE embedding IS NULL AND source IS NULL),
+places AS (SELECT id, place, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM summed),
+whole AS (SELECT id, CAST(p AS INT) AS place, round(CASE WHEN embedding IS NULL THEN coalesce(x, 0) ELSE embedding[p + 1] END, 5) AS value, embedding IS NULL AS was_missing
+  FROM image CROSS JOIN range(64) AS t(p) LEFT JOIN places USING (id) WHERE embedding IS NOT NULL OR place = p OR place IS NULL)"""
+_REINDEXED = f"""WITH {_IMAGES}, {_EMBEDDED.replace("LEFT JOIN places USING (id) WHERE embedding IS NOT NULL OR place = p OR place IS NULL", "LEFT JOIN places ON places.id = image.id AND place = p").replace("SELECT id, CAST(p", "SELECT image.id, CAST(p")}
+SELECT id, was_missing, place, value + 0.0 AS value FROM whole"""
+
+
+def _places(done: DataFrame) -> DataFrame:
+    return done.select("id", "was_missing", F.posexplode("embedding").alias("place", "x")).select("id", "was_missing", "place", (F.round("x", 5) + 0.0).alias("value"))
+
+
+@query(_REINDEXED)
 def reindex_in_one_pass(spark, sf_dir):
     images = schema.images(spark, sf_dir)
     new = reindex.embedded(images, encoder.HashEncoder(64))
-    done = reindex.reindexed(images.withColumn("was_missing", F.col("embedding").isNull()), new)
-    return done.select("id", "was_missing", F.col("embedding").isNull().alias("is_missing"))
+    return _places(reindex.reindexed(images.withColumn("was_missing", F.col("embedding").isNull()), new))
+
+
+@query(_REINDEXED)
+def reindex_resumed(spark, sf_dir):
+    """A job that stops after its first slice, and a second worker that does the rest."""
+    images, at = schema.images(spark, sf_dir), shared.fresh(spark, "reindex")
+    first = reindex.Job(spark, at)
+    first.start(images, size=3)
+    first.run(encoder.HashEncoder(64), most=1, seed=1)
+    second = reindex.Job(spark, at)
+    second.start(images)
+    second.run(encoder.HashEncoder(64), seed=2)
+    return _places(second.filled(images.withColumn("was_missing", F.col("embedding").isNull())))
 
 
 # Events ---------------------------------------------------------------------------------------------------------
@@ -336,6 +390,16 @@ def event_append(spark, sf_dir):
     return events.append(schema.events(spark, sf_dir), new, _event_now())
 
 
+@query("""SELECT row_number() OVER (ORDER BY event_type = 'view', ts, event_type, md5(props)) AS id, event_type, props AS payload, ts AS created_at
+FROM events WHERE event_type IN ('click', 'view')""")
+def event_log_of_writers(spark, sf_dir):
+    """Two writers' batches, one of them sent twice; ids go on from batch to batch."""
+    log, e = eventlog.EventLog(spark, shared.fresh(spark, "events")), schema.events(spark, sf_dir)
+    for kind in ("click", "view", "click"):
+        log.append(e.where(F.col("event_type") == kind).select("event_type", "payload", "created_at"), batch=kind)
+    return log.read()
+
+
 class _TwoWords(encoder.HashEncoder):
     """Embeds every text as the fixture's query vector."""
 
@@ -405,6 +469,24 @@ def searchable_overlay_after_events(spark, sf_dir):
     return events.with_searchable(schema.images(spark, sf_dir), _changes(spark, sf_dir, "setImageSearchable", "setImageNotSearchable")).select("id", "searchable")
 
 
+@query(f"""WITH {_IMAGES}, kinds(event_type, flag, value, batch) AS (VALUES ('click', 'deleted', true, 1), ('view', 'deleted', false, 2), ('purchase', 'searchable', true, 2), ('error', 'searchable', false, 1)),
+last AS (SELECT event_id % 500 AS image_id, flag, arg_max(kinds.value, (ts, batch, kinds.event_type)) AS v FROM events JOIN kinds USING (event_type) GROUP BY ALL)
+SELECT id, coalesce(d.v, deleted) AS deleted, coalesce(s.v, searchable) AS searchable FROM image
+LEFT JOIN last d ON d.image_id = id AND d.flag = 'deleted' LEFT JOIN last s ON s.image_id = id AND s.flag = 'searchable'""")
+def flags_from_snapshot(spark, sf_dir):
+    """Flags from a snapshot of one batch and the tail after it, whose events are in part older than the snapshot's."""
+    kinds = {"click": "imageDeleted", "view": "imageUndeleted", "purchase": "setImageSearchable", "error": "setImageNotSearchable"}
+    e = schema.events(spark, sf_dir)
+    told = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")]
+    named = F.to_json(F.struct((F.col("id") % 500).cast("string").alias("id")))
+    of = lambda *names: e.where(F.col("event_type").isin(*names)).select(told.alias("event_type"), named.alias("payload"), "created_at")
+    log = eventlog.EventLog(spark, shared.fresh(spark, "events"))
+    log.append(of("click", "error"), batch="first")
+    log.snapshot()
+    log.append(of("view", "purchase"), batch="second")
+    return log.images(schema.images(spark, sf_dir)).select("id", "deleted", "searchable")
+
+
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     w = streaming.counts_by_window(schema.events(spark, sf_dir))
@@ -508,20 +590,43 @@ def primary_color(spark, sf_dir):
 
 # Catalogue ------------------------------------------------------------------------------------------------------
 
-#: References among the test tables: table, referenced table.
-EDGES = [("nation", "region"), ("customer", "nation"), ("supplier", "nation"), ("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier")]
+#: References among the test tables: table, column, referenced table, column.
+REFERENCES = [
+    ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+]
 TABLES = ["customer", "lineitem", "nation", "orders", "part", "region", "supplier"]
+_HOLDING = "edges(t, r) AS (" + " UNION ALL ".join(f"SELECT '{t}', '{r}' WHERE NOT EXISTS (SELECT 1 FROM {t} ANTI JOIN {r} ON {c} = {k})" for t, c, r, k in REFERENCES) + ")"
 
 
-@query(f"""WITH RECURSIVE edges(t, r) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in EDGES)}),
+@query(" UNION ALL ".join(f"SELECT '{t}' AS relation, '{c}' AS columns, '{r}.{k}' AS target WHERE NOT EXISTS (SELECT 1 FROM {t} ANTI JOIN {r} ON {c} = {k})" for t, c, r, k in REFERENCES))
+def references_found(spark, sf_dir):
+    """References that the tables' own values hold to: key columns whose values all are in the unique column of that name of another table."""
+    return catalog.references_held({t: _table(spark, sf_dir, t) for t in TABLES})
+
+
+@query(f"""WITH RECURSIVE {_HOLDING},
 tables(t) AS (VALUES {', '.join(f"('{t}')" for t in TABLES)}),
 depth(t, d) AS (SELECT t, 0 FROM tables UNION SELECT e.t, d + 1 FROM edges e JOIN depth ON e.r = depth.t)
 SELECT t AS table_name, CAST(row_number() OVER (ORDER BY max(d), t) AS INT) AS position FROM depth GROUP BY t""")
 def fk_load_order(spark, sf_dir):
-    order = catalog.load_order(TABLES, EDGES)
+    found = references_found(spark, sf_dir).collect()  # one row a reference
+    order = catalog.load_order(TABLES, [(r.relation, r.target.split(".")[0]) for r in found])
     return spark.createDataFrame([(t, i + 1) for i, t in enumerate(order)], "table_name string, position int")
 
 
+@query("""SELECT 'customer' AS name, CAST(max(c_custkey) AS BIGINT) AS last, CAST(max(c_custkey) + 1 AS BIGINT) AS next FROM customer
+UNION ALL SELECT 'orders', max(o_orderkey), max(o_orderkey) + 1 FROM orders UNION ALL SELECT 'events', max(event_id), max(event_id) + 1 FROM events
+UNION ALL SELECT 'region', max(r_regionkey), max(r_regionkey) + 1 FROM region UNION ALL SELECT 'none', 0, 1""")
+def sequences_resynced(spark, sf_dir):
+    """Counters after they were set to their tables' largest ids, and what the next insert gets; an empty table's begins at 1."""
+    counters = sequences.Sequences(spark, shared.fresh(spark, "counters"))
+    t = lambda name: _table(spark, sf_dir, name)
+    tables = {"customer": (t("customer"), "c_custkey"), "orders": (t("orders"), "o_orderkey"), "events": (t("events"), "event_id"), "region": (t("region"), "r_regionkey"), "none": (t("events").limit(0), "event_id")}
+    tops = counters.resync_to(tables)
+    return spark.createDataFrame([(name, top, counters.take(name)) for name, top in tops.items()], "name string, last long, next long")
+
+
 @query("SELECT coalesce(max(event_id), 0) AS max_id, coalesce(max(event_id), 0) + 1 AS next_id FROM events")
 def max_id_resync(spark, sf_dir):
     return catalog.next_id(schema.events(spark, sf_dir), "id")
@@ -582,13 +687,63 @@ def six_way_join(spark, sf_dir):
     return joined.groupBy("r_name", "p_type", "n_name").agg(F.count("*").alias("line_items"), F.countDistinct("c_custkey").alias("customers"))
 
 
+#: Rules of the fixture's database, whose tables are made of the test tables.
+FIXTURE_RULES = {
+    "web_user": rules.Rules(key=("id",), unique=(("username",),), not_null=("id", "username"), layout=layout.LAYOUTS["web_user"], sequence="id"),
+    "session": rules.Rules(key=("session_id",), not_null=("user_id", "expires_at"), references={"user_id": ("web_user", "id")}, layout=layout.LAYOUTS["session"]),
+    "image": rules.Rules(key=("id",), not_null=("deleted",), checks={"extension": "extension IN ('jpg', 'png', 'webp')"}, defaults={"searchable": "true", "from_old_database": "false", "deleted": "false"}, layout=layout.LAYOUTS["image"]),
+    "analytics_event": rules.Rules(key=("id",), not_null=("event_type", "payload", "created_at"), defaults={"created_at": "now()"}, layout=layout.LAYOUTS["analytics_event"], sequence="id"),
+}
+
+
+def fixture_database(spark: SparkSession, sf_dir: str, name: str) -> None:
+    """A database of the fixture's relations, with their rules in the catalogue."""
+    at = shared.fresh(spark, name)
+    made = {"web_user": schema.users(spark, sf_dir), "session": schema.sessions(spark, sf_dir), "image": schema.images(spark, sf_dir).withColumn("hash", F.md5(F.col("id").cast("string"))), "analytics_event": schema.events(spark, sf_dir)}
+    spark.sql(f"CREATE DATABASE {shape.quote_ident(name)}")
+    for table, df in made.items():
+        df.write.parquet(f"{at}/{table}")
+        spark.sql(f"CREATE TABLE {shape.quote_ident(name)}.{shape.quote_ident(table)} USING parquet LOCATION {shape.quote_literal(f'{at}/{table}')}")
+        rules.put(spark, name, table, FIXTURE_RULES[table])
+        rules.put_references(spark, name, table, FIXTURE_RULES[table])
+
+
+def _cloned(spark: SparkSession, sf_dir: str) -> clone.Target:
+    """A clone of the fixture's database that has replaced an older one."""
+    key = uuid.uuid4().hex[:12]
+    source, target = f"fixture_{key}", clone.Target(spark, f"copy_{key}", shared.fresh(spark, "clones"))
+    fixture_database(spark, sf_dir, source)
+    try:
+        target.clone_of(source)
+        target.clone_of(source)
+        target.vacuum()
+    finally:
+        spark.sql(f"DROP DATABASE {shape.quote_ident(source)} CASCADE")
+    return target
+
+
 @query("""SELECT * FROM (VALUES
- ('image', 'key', 'id', NULL), ('image', 'not null', 'deleted', NULL), ('image', 'default', 'searchable', 'true'),
- ('image', 'default', 'from_old_database', 'false'), ('image', 'default', 'deleted', 'false'),
- ('web_user', 'key', 'id', NULL), ('web_user', 'unique', 'username', NULL), ('web_user', 'not null', 'username', NULL), ('web_user', 'not null', 'password_hash', NULL),
- ('session', 'key', 'session_id', NULL), ('session', 'not null', 'user_id', NULL), ('session', 'not null', 'expires_at', NULL), ('session', 'references', 'user_id', 'web_user.id'),
- ('analytics_event', 'key', 'id', NULL), ('analytics_event', 'not null', 'event_type', NULL), ('analytics_event', 'not null', 'created_at', NULL),
- ('image_neighbor', 'unique', 'id1,id2', NULL), ('image_neighbor', 'not null', 'id1', NULL), ('image_neighbor', 'not null', 'id2', NULL)
-) AS t(relation, kind, columns, target)""")
+ ('image', 'key', 'id', NULL), ('image', 'not null', 'deleted', NULL), ('image', 'check', 'extension', 'extension IN (''jpg'', ''png'', ''webp'')'), ('image', 'default', 'searchable', 'true'),
+ ('image', 'default', 'from_old_database', 'false'), ('image', 'default', 'deleted', 'false'), ('image', 'layout', 'id', 'hash'),
+ ('web_user', 'key', 'id', NULL), ('web_user', 'unique', 'username', NULL), ('web_user', 'not null', 'id', NULL), ('web_user', 'not null', 'username', NULL), ('web_user', 'layout', 'id', 'username'), ('web_user', 'sequence', 'id', NULL),
+ ('session', 'key', 'session_id', NULL), ('session', 'not null', 'user_id', NULL), ('session', 'not null', 'expires_at', NULL), ('session', 'references', 'user_id', 'web_user.id'), ('session', 'layout', 'session_id', 'user_id'),
+ ('analytics_event', 'key', 'id', NULL), ('analytics_event', 'not null', 'event_type', NULL), ('analytics_event', 'not null', 'payload', NULL), ('analytics_event', 'not null', 'created_at', NULL),
+ ('analytics_event', 'default', 'created_at', 'now()'), ('analytics_event', 'layout', 'id', 'event_type'), ('analytics_event', 'sequence', 'id', NULL)
+) AS t(relation, kind, columns, target), (SELECT (SELECT count(*) FROM customer) AS users, (SELECT count(*) FROM orders) AS sessions, (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM embeddings) AS images)""")
 def catalog_constraints(spark, sf_dir):
-    return schema.described(spark)
+    """Rules as a clone of the fixture's database has them in the catalogue, beside the sizes of its tables."""
+    target = _cloned(spark, sf_dir)
+    made = target.database()
+    sizes = {"users": "web_user", "sessions": "session", "events": "analytics_event", "images": "image"}
+    found = rules.scan(spark, made)
+    for name, table in sizes.items():
+        found = found.crossJoin(target.table(table).agg(F.count("*").alias(name)))
+    return found
+
+
+@query(f"""SELECT o_orderkey AS session_id, c_name AS username, o_orderdate + INTERVAL 1 DAY AS expires_at, (SELECT max(event_id) + 1 FROM events) AS next_event FROM orders JOIN customer ON o_custkey = c_custkey""")
+def cloned_sessions(spark, sf_dir):
+    """Rows of a clone, and the id that its next event gets."""
+    target = _cloned(spark, sf_dir)
+    next_ = target.sequences().take("analytics_event")
+    return target.table("session").join(target.table("web_user"), F.col("user_id") == F.col("id")).select("session_id", "username", "expires_at", F.lit(next_).alias("next_event"))
