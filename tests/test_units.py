@@ -261,8 +261,7 @@ def test_service_tells_what_it_does(spark, tmp_path):
     assert told.where("event_type = 'getRandom'").select(F.get_json_object("payload", "$.results").cast("double")).first()[0] == 3
 
 
-def test_event_ids_are_given_out_over_buckets(spark, monkeypatch):
-    monkeypatch.setattr(events, "BUCKET", 2)
+def test_event_ids_are_given_out_over_partitions(spark):
     log = spark.createDataFrame([(41, "x", "{}", None)], "id long, event_type string, payload string, created_at timestamp")
     new = spark.createDataFrame([(f"t{i % 3}", None if i == 5 else f'{{"i":{i % 30}}}') for i in range(100)], "event_type string, payload string").repartition(4)
     got = events.append(log, new, F.current_timestamp()).orderBy("id").collect()
