@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from velumen.llm import registry
 
-TABLES = ("documents", "labels", "embeddings", "conversations")
+TABLES = ("documents", "labels", "embeddings", "conversations", "benchmark")
 
 
 def plain(rows):
