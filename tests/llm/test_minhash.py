@@ -121,3 +121,54 @@ def test_deduplicated_keeps_columns(spark):
     df = spark.createDataFrame([(2, "a b c", "x"), (1, "A b c", "y"), (3, "d", "z"), (None, "a b c", "n")], "doc_id long, text string, source string")
     got = minhash.deduplicated(df)
     assert got.columns == df.columns and {r.source for r in got.collect()} == {"y", "z", "n"}
+
+
+def template(n, common=60, own=17, seed=0):
+    """Documents that share one stretch of words and have some of their own: similar, but not enough."""
+    shared = [f"t{i}" for i in range(common)]
+    return [(i, " ".join(shared + [f"o{seed}x{i}x{j}" for j in range(own)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [250, 1000])
+def test_documents_of_one_template_do_not_ask_each_other(spark, monkeypatch, n):
+    asked = []
+    whole = minhash._mixed
+    monkeypatch.setattr(minhash, "_mixed", lambda *a: asked.append(r := whole(*a)) or r)
+    docs = template(n)
+    near = [(10_000 + i, docs[7 * i][1] + " " + " ".join(f"e{i}x{k}" for k in range(3))) for i in range(20)]
+    got = run(spark, docs + near)
+    links = {i: 7 * (i - 10_000) for i, _ in near}
+    assert [(r[0], r[2]) for r in got] == sorted(((i, links.get(i, i)) for i, _ in docs + near), key=str)
+    assert asked[0].count() <= 2 * n
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_similar_templates_against_brute_force(spark, monkeypatch, seed):
+    """Buckets of many components, with pairs on both sides of the threshold."""
+    monkeypatch.setattr(minhash, "FEW", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rng = np.random.default_rng(seed)
+    shared, docs = [f"t{i}" for i in range(60)], []
+    for i in range(90):
+        w = shared + [f"o{int(rng.integers(0, 30))}x{j}" for j in range(int(rng.integers(5, 25)))]
+        for _ in range(int(rng.integers(0, 3))):
+            w[int(rng.integers(len(w)))] = f"z{int(rng.integers(9))}"
+        docs.append((i, " ".join(w)))
+    assert run(spark, docs) == brute(docs)
+
+
+def test_rare_shingles_are_shared_by_similar_sets(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i, np.unique(rng.integers(0, 400, int(rng.integers(1, 60))).astype(np.uint64) << np.uint64(54)).tobytes()) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, w long, s binary")
+    lead, probe = {}, {}
+    for r in minhash.rare_shingles(df, 75).collect():
+        probe.setdefault(r.id, set()).add(r.key)
+        if r.leads:
+            lead.setdefault(r.id, set()).add(r.key)
+    sets = {i: set(np.frombuffer(s, np.uint64).tolist()) for i, _, s in rows}
+    for i, j in combinations(sets, 2):
+        a, b = sorted((i, j), key=lambda x: (len(sets[x]), x))
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            assert lead[a] & probe[b]
+    assert minhash.rare_first(df.select("s")).sum() == sum(map(len, sets.values()))

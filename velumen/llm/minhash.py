@@ -9,9 +9,12 @@ sets of all candidates are made in one pass, by one shuffle of the texts at ever
 Groups are resolved without listing their pairs. First every member of a band bucket meets the bucket's least member
 (a star). Confirmed links make components; a bucket within one component is done. In the other buckets only members of
 different components are compared, block by block, by their packed signatures, and what comes of it is which document
-may join which larger component. Its full set then meets the sets of all members of that component, block by block,
-through an index of shingles; blocks are bounded by rows and by bytes. A miss needs two sets of similarity 0.75 or more
-that share none of 32 bands: five in a million at the threshold itself.
+may join which larger component. Where a bucket holds many components, as documents of one template do that are alike but not enough,
+members are compared only if they share one of their rarest shingles, which sets of the similarity wanted always do (the
+prefix filter of set joins): what a template's documents have in common is not rare among them. The full set of a document that asks
+then meets the sets of all members of the component, block by block, through an index of shingles; blocks are bounded by
+rows and by bytes. A miss needs two sets of similarity 0.75 or more that share none of 32 bands: five in a million at the
+threshold itself.
 
 Defined results: documents without words or with null text have no links of their own, a null id has none; fewer words
 than a shingle make the whole sequence one shingle; rows with one id are one node, whatever their texts, so they share a
@@ -41,6 +44,8 @@ WORDS = MINIMA * LOW_BITS // 64
 LEAST = 0.56
 #: Members of a bucket that are compared at once.
 BLOCK = 512
+#: Components of a bucket whose members are compared by signature alone; counters of the order of shingles.
+FEW, CELLS = 16, 1 << 20
 #: Documents, and bytes of their sets, of one side of a block in which full sets meet.
 MEET_ROWS, MEET_BYTES = 128, 4 << 20
 
@@ -233,57 +238,136 @@ def joining(asked: DataFrame, label: DataFrame, sets: DataFrame, scratch: Scratc
     return out
 
 
-def _mixed(shared: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
+def rare_first(sets: DataFrame) -> np.ndarray:
+    """How many of the sets have a shingle, by the first bits of its fingerprint: the order in which shingles are told apart.
+
+    sets: s. A table of fixed size; shingles that share a counter are in the order of their fingerprints.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                n += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) >> tc.U(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=CELLS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+
+    out = np.zeros(CELLS, dtype=np.int64)
+    rows = sets.select("s").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out[rows["cell"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    return out
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, w, leads): the rarest shingles of each set, of which two sets that are similar enough share one.
+
+    In one order of all shingles, rare ones first, the smaller of two such sets has one of those that lead it (a seventh of it, at
+    three quarters) in common with the first quarter of the larger one, for else what they can share is too little.
+    """
+    order = sets.sparkSession.sparkContext.broadcast(rare_first(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = tc.U(64 - CELLS.bit_length() + 1)
+        for batch in batches:
+            keys, at, leads = [], [], []
+            for i, x in enumerate(batch.column(2)):
+                v = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(v)
+                probe, lead = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                first = v[np.lexsort((v, order.value[(v >> shift).astype(np.int64)]))[:probe]]
+                keys.append(first)
+                at.append(np.full(len(first), i))
+                leads.append(np.arange(len(first)) < lead)
+            if keys:
+                rows = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(leads))], names=["key", "id", "w", "leads"])
+
+    return sets.select("id", "w", "s").mapInArrow(run, "key long, id long, w long, leads boolean")
+
+
+def _asks(rows: pa.Table, left: np.ndarray, right: np.ndarray, ordered: bool, percent: int) -> np.ndarray:
+    """(id, w, b) of the pairs of a left and a right row, of different components, whose estimate allows a link.
+
+    ordered: only pairs whose left row has the smaller set. The member of the smaller component asks the larger one; of equals, the later one asks.
+    """
+    label, size, ids, w, n = (rows.column(c).to_numpy() for c in ("label", "size", "id", "w", "n"))
+    low = rows.column("low").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+    out, chance = [], 0.5**LOW_BITS
+    for i in range(0, len(left), 64):
+        some = left[i : i + 64]
+        a, b = n[some][:, None], n[right]
+        ok = (label[some][:, None] != label[right]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        if ordered:
+            later = (ids[some][:, None] < ids[right]) | ((ids[some][:, None] == ids[right]) & (w[some][:, None] < w[right]))
+            ok &= (a < b) | ((a == b) & later)
+        x, y = np.nonzero(ok)
+        x, y = some[x], right[y]
+        fine = ((1 - differing(low[x] ^ low[y]) / MINIMA) - chance) / (1 - chance) >= LEAST
+        x, y = x[fine], y[fine]
+        asks = (size[x] < size[y]) | ((size[x] == size[y]) & (label[x] > label[y]))
+        out.append(np.unique(np.stack([np.where(asks, ids[x], ids[y]), np.where(asks, w[x], w[y]), np.where(asks, label[y], label[x])]), axis=1))
+    return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), dtype=np.int64)
+
+
+def _met(rows: DataFrame, scratch: Scratch, ordered: bool, percent: int) -> DataFrame:
+    """(id, w, b) of all (key, p, q): rows of side 0 meet rows of side 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in tc.grouped(batches, ["key", "p", "q"]):
+            side = t.column("side").to_numpy()
+            found = _asks(t, np.flatnonzero(side != 1), np.flatnonzero(side != 0), ordered, percent)
+            if found.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["id", "w", "b"])
+
+    return rows.repartition(partitions(scratch.spark), "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "id long, w long, b long")
+
+
+def _mixed(shared: DataFrame, label: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(id, w, b): a member of a bucket and a larger component in it with a member whose estimate allows a link.
 
-    shared: key, id, w, n, low. Members of one component are not compared, and a component is named once per member.
+    shared: key, id, w, n, low. Members of one component are not compared, and a component is named once per member. In a bucket of many
+    components, as documents made from one template give, members are compared only where they share a rare shingle.
     """
     sized = label.groupBy("component").agg(F.count("*").alias("size"))
     named = shared.join(label.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = scratch.keep(named.join(sized.withColumnRenamed("component", "label"), "label", "left").withColumn("size", F.coalesce("size", F.lit(1)).cast("long")), "named")
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.sum("m").alias("rows"), F.max(F.struct("m", "label")).alias("top")).where("labels > 1")
-    mixed = mixed.select("key", F.col("top.label").alias("top"), F.ceil((F.col("rows") - F.col("top.m")) / BLOCK).alias("others"), F.ceil(F.col("top.m") / BLOCK).alias("tops"))
-    rows = named.join(mixed, "key").withColumn("is_top", F.col("label") == F.col("top"))
+    mixed = scratch.keep(sizes.groupBy("key").agg(F.count("*").alias("labels"), F.sum("m").alias("rows"), F.max(F.struct("m", "label")).alias("top")).where("labels > 1"), "mixed")
+
+    few = mixed.where(F.col("labels") <= FEW).select("key", F.col("top.label").alias("top"), F.ceil((F.col("rows") - F.col("top.m")) / BLOCK).alias("others"), F.ceil(F.col("top.m") / BLOCK).alias("tops"))
+    rows = named.join(few, "key").withColumn("is_top", F.col("label") == F.col("top"))
     # Blocks 0.. of the others and, after them, of the largest component; all pairs of blocks but those of that component.
     block = F.when(F.col("is_top"), F.col("others") + F.pmod(F.xxhash64("id", "w"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("id", "w"), F.col("others")))
     rows = rows.withColumn("block", block.cast("long"))
     meet = F.when(F.col("is_top"), F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("others") + F.col("tops") - 1))
-    rows = rows.withColumn("other", F.explode(meet)).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "w", "label", "size", "n", "low")
-
-    def close(t: pa.Table) -> np.ndarray:
-        block, label, size, ids, w, n = (t.column(c).to_numpy() for c in ("block", "label", "size", "id", "w", "n"))
-        low = t.column("low").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
-        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
-        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        out = []
-        for i in range(0, len(left), 64):
-            rows_ = left[i : i + 64]
-            ok = (label[rows_][:, None] != label[right]) & (100 * np.minimum(n[rows_][:, None], n[right]) >= PERCENT * np.maximum(n[rows_][:, None], n[right]))
-            x, y = np.nonzero(ok)
-            x, y = rows_[x], right[y]
-            differ = differing(low[x] ^ low[y])
-            chance = 0.5**LOW_BITS
-            fine = ((1 - differ / MINIMA) - chance) / (1 - chance) >= LEAST
-            x, y = x[fine], y[fine]
-            # The member of the smaller component asks the larger one; of equals, the later one asks.
-            asks = (size[x] < size[y]) | ((size[x] == size[y]) & (label[x] > label[y]))
-            pairs = np.stack([np.where(asks, ids[x], ids[y]), np.where(asks, w[x], w[y]), np.where(asks, label[y], label[x])])
-            out.append(np.unique(pairs, axis=1))
-        return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), dtype=np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in tc.grouped(batches, ["key", "p", "q"]):
-            found = close(t)
-            if found.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["id", "w", "b"])
-
-    found = rows.repartition(partitions(scratch.spark), "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "id long, w long, b long")
+    rows = rows.withColumn("other", F.explode(meet)).withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
+    side = F.when(F.col("p") == F.col("q"), 2).when(F.col("block") == F.col("p"), 0).otherwise(1).alias("side")
+    found = _met(rows.select("key", "p", "q", side, "id", "w", "label", "size", "n", "low"), scratch, False, percent)
+
+    many = named.join(mixed.where(F.col("labels") > FEW).select("key"), "key", "left_semi").dropDuplicates(["id", "w"]).drop("key")
+    many = scratch.keep(many, "many")
+    if not many.isEmpty():
+        found = found.unionByName(_sharing(many, sets, scratch, percent))
     out = scratch.keep(found.distinct(), "asked")
-    scratch.drop(named)
+    scratch.drop(named, mixed, many)
     return out
 
 
+def _sharing(many: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """What members of `many` (id, w, label, size, n, low) may join, of those with which they share a rare shingle."""
+    rare = scratch.keep(rare_shingles(sets.join(many.select("id", "w"), ["id", "w"], "left_semi"), percent).join(many.select("id", "w", "label"), ["id", "w"]), "rare")
+    # Shingles of one component, or that lead no set, tell nothing.
+    keys = rare.groupBy("key").agg(F.count("*").alias("m"), F.count_if("leads").alias("leading"), F.min("label").alias("u"), F.max("label").alias("v")).where("leading > 0 and u != v")
+    keys = keys.select("key", F.ceil(F.col("leading") / BLOCK).alias("np"), F.ceil(F.col("m") / BLOCK).alias("nq"))
+    rows = rare.drop("label").join(keys, "key").join(many, ["id", "w"])
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("id", "w"), F.col(n))
+    columns = ["id", "w", "label", "size", "n", "low"]
+    left = rows.where("leads").select("key", mine("np").alias("p"), every("nq").alias("q"), F.lit(0).alias("side"), *columns)
+    right = rows.select("key", every("np").alias("p"), mine("nq").alias("q"), F.lit(1).alias("side"), *columns)
+    return _met(left.unionByName(right), scratch, True, percent)
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     if percent < PERCENT:
@@ -307,7 +391,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     own = nodes.join(several, "doc_id", "left_semi").select("doc_id", "w", "x").join(owner, ["w", "x"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(scratch.keep(pairs, "pairs"), sets, scratch, percent).unionByName(own)
     label = components(links, scratch)
-    more = _mixed(shared.select("key", "id", "w").join(sig, ["id", "w"]), label, scratch)
+    more = _mixed(shared.select("key", "id", "w").join(sig, ["id", "w"]), label, sets, scratch, percent)
     if not more.isEmpty():
         links = joining(more, label, sets, scratch, percent)
         label = components(links.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
