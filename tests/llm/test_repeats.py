@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from velumen.llm import repeats
 from velumen.llm import textcore as tc
@@ -120,3 +121,18 @@ def test_whole_table(spark, sf):
 
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in QUERIES["op3_recompression_dedup"](spark, sf).collect()}
     assert [got[r.doc_id] for r in docs] == brute([r.text for r in docs], 35)
+
+
+@pytest.mark.parametrize("words", [20, 34, 60])
+def test_a_common_phrase_does_not_fill_a_bucket(spark, words):
+    """A phrase in all of 3000 otherwise unlike documents: no bucket holds much more than its share, and only repeats go."""
+    rng = np.random.default_rng(words)
+    phrase = " ".join(f"phrase{k}" for k in range(words))
+    docs = [(i, " ".join(f"a{x}" for x in rng.integers(0, 10**6, 50)) + " " + phrase + " " + " ".join(f"b{x}" for x in rng.integers(0, 10**6, 60))) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    keyed = df.select(F.xxhash64("doc_id", "text").alias("uid"), F.lit(0).cast("smallint").alias("chk"), F.encode("text", "UTF-8").alias("text"))
+    dealt = repeats.dealt_windows(keyed).where("whole is not null")
+    held = [r.n for r in dealt.groupBy("bucket").agg(F.sum(F.length("whole") / repeats.HASH_BYTES).alias("n")).collect()]
+    assert max(held) < 3 * sum(held) / len(held) and len(held) > 60
+    got = {r.doc_id: r.n_removed for r in repeats.repeat_digest(df).collect()}
+    assert set(got.values()) == ({0} if words < 35 else {words})

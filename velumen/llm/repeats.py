@@ -9,10 +9,12 @@ are the window's anchor, and equal windows have equal anchors.
 
 One shuffle deals windows out by their anchor, in runs. Where an anchor occurs once, its windows are unique; where it is
 shared, fingerprints of the whole windows verify which of them repeat. Windows in which no symbol is decided (within long
-runs of one word) stand by their own fingerprint. A common phrase does not gather its windows in one place, as the second
-name differs with what stands beside it; windows equal within one block are found at once and sent a single time, so that
-no passage, however common, fills a task. Two windows are equal if 56 bits of their words, 32 bits of their anchor's name
-and the bucket that more of its bits choose are equal; no step of these hashes is linear.
+runs of one word) stand by their own fingerprint. Many different windows around a common phrase have one anchor, both of whose names lie in
+the phrase; anchors with more than a bucket's share of the windows are found first, on every eighth text, and their windows
+are dealt by a second fingerprint of their own words instead. Windows equal within one block are found at once and sent a
+single time, so that no passage, however common, fills a task. Two windows are equal if 56 bits of their words, 32 bits of their
+anchor's name (or of the second fingerprint) and the bucket that more of its bits choose are equal; no step of these hashes
+is linear, and the words themselves are not sent again.
 
 Defined results: null text has no words; documents shorter than the window lose nothing; equal rows count as separate
 occurrences, and rows with one id and text get the same result; a null id is carried; an empty table gives no rows;
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velumen.llm import textcore as tc
-from velumen.llm.scratch import partitions
+from velumen.llm.scratch import Scratch, partitions
 
 WINDOW = 35
 ROUNDS = 4
@@ -40,6 +42,8 @@ MOST, BUCKETS = 63, 16_384
 HASH_BYTES = 7
 #: Rounds that begin with merging runs.
 RUNS = (0, 2)
+#: One text of so many is looked at for common anchors, and the windows there that make one common at least.
+LOOK, COMMON = 8, 64
 
 
 def _salt(k: int) -> np.uint64:
@@ -176,8 +180,42 @@ def _heads(key: np.ndarray) -> np.ndarray:
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """(uid, chk, start, n): windows start..start+n-1 of that text occur elsewhere. docs: uid, chk, text (binary)."""
     tasks = partitions(docs.sparkSession)
-    # Tasks work through their buckets one by one and hold one at a time.
-    buckets = tasks * max(1, min(16, BUCKETS // tasks))
+    dealt = dealt_windows(docs, window=window, rounds=rounds)
+    return dealt.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket").mapInArrow(_compare, _SPANS)
+
+
+def buckets_of(tasks: int) -> int:
+    """Tasks work through their buckets one by one and hold one at a time."""
+    return tasks * max(1, min(16, BUCKETS // tasks))
+
+
+def common_anchors(docs: DataFrame, window: int, rounds: int, buckets: int) -> np.ndarray:
+    """Names of the anchors that more than a bucket's share of all windows has, in order; fewer than there are buckets.
+
+    They are looked for on every eighth text. One that is missed costs balance and changes no result.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, off in tc.blocks(batch.column(0), 2 * tc.BLOCK):
+                starts, ends, rows = tc.spans(data, off)
+                if len(starts) >= window:
+                    name, n = np.unique(anchors(tc.word_hashes(data, starts, ends), rows, window, rounds)[2], return_counts=True)
+                    total, few = n.sum(), 8 * buckets * n > n.sum()  # what is rarer in this block counts for little
+                    yield pa.RecordBatch.from_arrays([pa.array(np.append(name[few].view(np.int64), 0)), pa.array(np.append(n[few], 0)), pa.array(np.append(np.zeros(few.sum(), np.int64), total))], names=["name", "n", "windows"])
+
+    scratch = Scratch(docs.sparkSession, "repeats")
+    seen = docs.where(F.pmod("uid", F.lit(LOOK)) == 0).select("text").mapInArrow(count, "name long, n long, windows long")
+    seen = scratch.keep(seen.groupBy("name").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows")), "names")
+    total = seen.agg(F.sum("windows")).first()[0] or 0
+    often = seen.where((F.col("n") >= COMMON) & (F.col("n").cast("double") * buckets > total)).select("name").collect()
+    return np.sort(np.array([r["name"] for r in often], dtype=np.int64).view(np.uint64))
+
+
+def dealt_windows(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+    """The windows of all texts in runs, by bucket. docs: uid, chk, text (binary)."""
+    buckets = buckets_of(partitions(docs.sparkSession))
+    common = common_anchors(docs, window, rounds, buckets)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,9 +224,15 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUND
                 starts, ends, rows = tc.spans(data, off)
                 if len(starts) < window:
                     continue
-                at, whole, name = anchors(tc.word_hashes(data, starts, ends), rows, window, rounds)
-                if len(at):
-                    yield from pack(at, whole, name, rows, uids[row:end], chks[row:end])
+                h = tc.word_hashes(data, starts, ends)
+                at, whole, name = anchors(h, rows, window, rounds)
+                if not len(at):
+                    continue
+                if len(common):
+                    hot = common[np.minimum(np.searchsorted(common, name), len(common) - 1)] == name
+                    if hot.any():
+                        name = np.where(hot, tc.mix(tc.grams(tc.mix(h ^ _salt(rounds + 1)), window)[at]), name)
+                yield from pack(at, whole, name, rows, uids[row:end], chks[row:end])
 
     def pack(at, whole, name, rows, uids, chks) -> Iterator[pa.RecordBatch]:
         order = np.argsort(whole, kind="stable")
@@ -218,59 +262,60 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUND
         d = doc[lead]
         yield _rows(bucket, [(name[lead] & tc.U(0xFFFFFFFF)).astype(np.uint32).view(np.int32), uids[d], chks[d], place[lead], size * 2 + equal[lead]], whole[each], size)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: list[pa.RecordBatch] = []
-
-        def unknown() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                told = batch.filter(batch.column(6).is_null())
-                if told.num_rows:
-                    known.append(_spans(*(told.column(i).flatten().to_numpy() for i in (2, 3, 4, 5))))
-                yield batch.filter(batch.column(6).is_valid())
-
-        for t in tc.grouped(unknown(), ["bucket"]):
-            yield from known
-            known.clear()
-            found = shared(t)
-            if found is not None:
-                yield found
-        yield from known
+    return docs.select("uid", "chk", "text").mapInArrow(deal, _DEALT)
+
 
-    def shared(t: pa.Table) -> pa.RecordBatch | None:
-        """Spans of the windows of a bucket that occur in it more than once, but for those found where they were read."""
-        name, uid, chk, start, size = (t.column(i).combine_chunks().flatten().to_numpy() for i in range(1, 6))
-        dup, size = (size & 1).astype(bool), (size >> 1).astype(np.int64)
-        # A name that occurs once, and not twice within its block, needs no look at its windows.
-        order = np.argsort(name, kind="stable")
-        same = name[order][1:] == name[order][:-1]
-        pick = dup.copy()
-        pick[order[1:]] |= same
-        pick[order[:-1]] |= same
-        pick = np.flatnonzero(pick)
-        if not len(pick):
-            return None
-        hashes = np.zeros((int(size.sum()), 8), dtype=np.uint8)
-        hashes[:, :HASH_BYTES] = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column(6)]).reshape(-1, HASH_BYTES)
-        hashes = hashes.view("<u8").ravel()
-        upto, s = np.cumsum(size), size[pick]
-        end = np.cumsum(s)
-        run = np.repeat(np.arange(len(pick)), s)
-        key, tag = hashes[((upto - size)[pick] - (end - s))[run] + np.arange(end[-1])], name[pick][run]
-        order = np.lexsort((tag, key))
-        same = (key[order][1:] == key[order][:-1]) & (tag[order][1:] == tag[order][:-1])
-        found = np.zeros(len(key), dtype=bool)
-        found[order[1:]] |= same
-        found[order[:-1]] |= same
-        hit = np.flatnonzero(found & ~dup[pick][run])
-        if not len(hit):
-            return None
-        cut = _runs(np.diff(hit) == 1, np.diff(run[hit]) == 0)
-        lead = hit[cut]
-        r = run[lead]
-        return _spans(uid[pick][r], chk[pick][r], start[pick][r] + (lead - (end - s)[r]), np.diff(np.append(cut, len(hit))))
-
-    dealt = docs.select("uid", "chk", "text").mapInArrow(deal, _DEALT)
-    return dealt.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket").mapInArrow(compare, _SPANS)
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: list[pa.RecordBatch] = []
+
+    def unknown() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = batch.filter(batch.column(6).is_null())
+            if told.num_rows:
+                known.append(_spans(*(told.column(i).flatten().to_numpy() for i in (2, 3, 4, 5))))
+            yield batch.filter(batch.column(6).is_valid())
+
+    for t in tc.grouped(unknown(), ["bucket"]):
+        yield from known
+        known.clear()
+        found = _shared(t)
+        if found is not None:
+            yield found
+    yield from known
+
+
+def _shared(t: pa.Table) -> pa.RecordBatch | None:
+    """Spans of the windows of a bucket that occur in it more than once, but for those found where they were read."""
+    name, uid, chk, start, size = (t.column(i).combine_chunks().flatten().to_numpy() for i in range(1, 6))
+    dup, size = (size & 1).astype(bool), (size >> 1).astype(np.int64)
+    # A name that occurs once, and not twice within its block, needs no look at its windows.
+    order = np.argsort(name, kind="stable")
+    same = name[order][1:] == name[order][:-1]
+    pick = dup.copy()
+    pick[order[1:]] |= same
+    pick[order[:-1]] |= same
+    pick = np.flatnonzero(pick)
+    if not len(pick):
+        return None
+    hashes = np.zeros((int(size.sum()), 8), dtype=np.uint8)
+    hashes[:, :HASH_BYTES] = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column(6)]).reshape(-1, HASH_BYTES)
+    hashes = hashes.view("<u8").ravel()
+    upto, s = np.cumsum(size), size[pick]
+    end = np.cumsum(s)
+    run = np.repeat(np.arange(len(pick)), s)
+    key, tag = hashes[((upto - size)[pick] - (end - s))[run] + np.arange(end[-1])], name[pick][run]
+    order = np.lexsort((tag, key))
+    same = (key[order][1:] == key[order][:-1]) & (tag[order][1:] == tag[order][:-1])
+    found = np.zeros(len(key), dtype=bool)
+    found[order[1:]] |= same
+    found[order[:-1]] |= same
+    hit = np.flatnonzero(found & ~dup[pick][run])
+    if not len(hit):
+        return None
+    cut = _runs(np.diff(hit) == 1, np.diff(run[hit]) == 0)
+    lead = hit[cut]
+    r = run[lead]
+    return _spans(uid[pick][r], chk[pick][r], start[pick][r] + (lead - (end - s)[r]), np.diff(np.append(cut, len(hit))))
 
 
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
