@@ -206,7 +206,8 @@ WITH RECURSIVE v AS (
 ), least AS (
   SELECT a, min(b) AS component_id FROM reach GROUP BY a
 )
-SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept,
+  CASE WHEN EXISTS (SELECT 1 FROM links) THEN 1.0 ELSE CAST(NULL AS DOUBLE) END AS recall
 FROM v LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a = vec_id
 """
 

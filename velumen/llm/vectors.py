@@ -15,7 +15,7 @@ and components alike, so links are counted without listing pairs and agree with
 
 Recall is audited by brute force against all rows for samples of about `audit` vectors and more, until enough linked ones
 of small groups were seen; each counts alike, small and large groups apart, and audited vectors carry their own recall in
-the output. A recall under `least_recall` widens beam and overlap and searches again; after the second search all pairs
+the output. Where the audit sees no linked vector the recall is not known, and said to be so. A recall under `least_recall` widens beam and overlap and searches again; after the second search all pairs
 are compared, block against block.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components have no links, nor has a
@@ -418,8 +418,8 @@ def across(homes: DataFrame, scratch: Scratch, cosine: float) -> DataFrame:
     return scratch.keep(met.mapInArrow(meet, "id long, links long, root long"), "across")
 
 
-def recall(classes: DataFrame, counts: DataFrame, scratch: Scratch, cosine: float, audit: int) -> tuple[float, list[DataFrame]]:
-    """Recall of linked classes by brute force against all, and tables (id, share) of the audited ones that have links.
+def recall(classes: DataFrame, counts: DataFrame, scratch: Scratch, cosine: float, audit: int) -> tuple[float | None, list[DataFrame]]:
+    """Recall of linked classes by brute force against all (None where no linked one was seen), and tables (id, share) of the audited ones that have links.
 
     Each counts alike, and the worse of small and large groups decides. Samples of about `audit` classes and more are drawn
     until LINKED linked ones in small groups were seen, or MOST_AUDITED classes.
@@ -461,11 +461,12 @@ def recall(classes: DataFrame, counts: DataFrame, scratch: Scratch, cosine: floa
             seen[r.large][0] += r.k
             seen[r.large][1] += r.s
         shared.destroy()
-    return min([s / k for k, s in seen.values() if k], default=1.0), tables
+    return min([s / k for k, s in seen.values() if k], default=None), tables
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, beam: int = 6, wide: float = 1.2, audit: int = 512, least_recall: float = 0.95) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept, audit_recall (null where it was not audited or has no links)."""
+    """One row per vector: vec_id, n_links, component_id, kept, audit_recall (null where it was not audited or has no links),
+    and recall, that of the whole search as the audit measured it (null where the audit saw no links)."""
     scratch = Scratch(vectors.sparkSession, "vectors")
     base = scratch.keep(prepared(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))), "base")
     usable = base.where("dim is not null")
@@ -476,13 +477,15 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         found = search(members, scratch, cosine, beam << 2 * attempt, wide * (1 + attempt / 2))
         counts = scratch.keep(found.groupBy("id").agg(F.sum("links").alias("links")), "counts")
         share, audited = recall(classes, counts, scratch, cosine, audit)
-        if share >= least_recall:
+        if share is None or share >= least_recall:
             break
         _log.warning("recall %.3f; %s", share, "beam and overlap are widened" if attempt < 1 else "all pairs are compared")
     else:
         found = exact(members, scratch, cosine)
         counts = scratch.keep(found.groupBy("id").agg(F.sum("links").alias("links")), "counts")
         share, audited = recall(classes, counts, scratch, cosine, audit)
+    if share is None and classes.count() > MOST_AUDITED:
+        _log.warning("recall is not measured: no vector of the audit has links")
     least = classes.select("id", "least")
     links = found.where("id != root").join(least.toDF("id", "a"), "id").join(least.toDF("root", "b"), "root").select("a", "b")
     several = base.groupBy("vec_id").agg(F.min(F.coalesce("k", F.lit(0))).alias("u"), F.max(F.coalesce("k", F.lit(0))).alias("v")).where("u != v and vec_id is not null").select("vec_id")
@@ -499,4 +502,4 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     rest = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.lit(None).cast("double").alias("audit_recall"))
     unnamed = base.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("audit_recall"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
-    return some.unionByName(rest).unionByName(unnamed).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", kept.alias("kept"), "audit_recall")
+    return some.unionByName(rest).unionByName(unnamed).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", kept.alias("kept"), "audit_recall", F.lit(share).cast("double").alias("recall"))
