@@ -303,3 +303,18 @@ def test_a_failed_clone_leaves_the_target(spark, tmp_path):
     assert spark.table("clone_b.mv").columns == ["id", "twice"] and spark.table("clone_b.mv").count() == 0
     for db in ("clone_a", "clone_b"):
         spark.sql(f"DROP DATABASE {db} CASCADE")
+
+
+def test_ranked_lists_are_bounded(spark):
+    df = images(spark, [(1, [1.0], True, False), (2, [2.0], True, False)])
+    for ranked in (search.with_target_first, search.similar_records):
+        with pytest.raises(ValueError):
+            ranked(df, 1, limit=None)
+
+
+def test_blanks_are_stripped_as_the_class_says(spark):
+    import re
+
+    assert all(re.match(f"[{encoder.BLANK.replace('x{85}', 'x85').replace('x{a0}', 'xa0').replace('x{', 'u').replace('}', '')}]", c) for c in encoder.BLANKS) and len(set(encoder.BLANKS)) == len(encoder.BLANKS) == 29
+    df = spark.createDataFrame([(f"{encoder.BLANKS}a{encoder.BLANKS}b​{encoder.BLANKS}",)], "text string")
+    assert [r.input for r in encoder.dispatch(df).collect()][0] == "a" and [r.input for r in encoder.dispatch(df).collect()][-1] == "b​"

@@ -20,6 +20,8 @@ ADDRESS = r"^https?://"
 #: Characters at which a text has a new line, and those that are stripped from its ends, as character classes.
 NEW_LINE = r"\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
 BLANK = r"\t \x1f\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}" + NEW_LINE
+#: The same blanks one by one.
+BLANKS = "\t \x1f\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 class Encoder(ABC):
@@ -71,7 +73,7 @@ class HashEncoder(Encoder):
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^[{BLANK}]+", ""), f"[{BLANK}]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def lines(text: Column) -> Column:

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from velumen.functions import argon2
+
 SESSION_DAYS, COOKIE_SECONDS = 1, 28_800
 
 
@@ -41,6 +43,9 @@ def hash_password(password: str, salt: bytes | None = None) -> str:
 
 
 def verify_password(stored: str, password: str) -> bool:
+    """Whether a password has a stored hash: Argon2 in its usual text form, or ours."""
+    if stored.startswith("$argon2"):
+        return argon2.verify(stored, password)
     kind, _, rest = stored.partition("$")
     salt = rest.partition("$")[0]
     return kind == "scrypt" and hmac.compare_digest(stored, hash_password(password, bytes.fromhex(salt)))

@@ -56,8 +56,14 @@ def similar(images: DataFrame, id_, *, column: str = "embedding", limit: int | N
     return ordered if limit is None else ordered.limit(limit)
 
 
+def _bounded(limit: int | None) -> None:
+    if limit is None or limit > 10_000:
+        raise ValueError("ranks are those of a bounded list: name a limit of 10000 at most")
+
+
 def with_target_first(images: DataFrame, id_, **options) -> DataFrame:
     """(rank, id, distance): the target at rank 0, its neighbours after it."""
+    _bounded(options.get("limit", SIMILAR))
     near = similar(images, id_, **options)
     # A bounded list: ranks are those of a top-k.
     ranked = near.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("distance").isNull().alias("last"), "distance", "id"))).alias("l"))
@@ -72,6 +78,7 @@ RECORD = ("id", "source", "extension", "blurhash", "from_old_database", "searcha
 
 def similar_records(images: DataFrame, id_, *, column: str = "embedding", limit: int = SIMILAR, digits: int | None = None) -> DataFrame:
     """(rank, the record's columns, distance): the target's record at rank 0, even if deleted, and those of its nearest."""
+    _bounded(limit)
     near = similar(images, id_, column=column, limit=limit, digits=digits).withColumnRenamed("id", "_id")
     found = images.join(near, images["id"] == near["_id"]).select(*RECORD, "distance")
     # A bounded list: ranks are those of a top-k.
