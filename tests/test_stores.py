@@ -376,7 +376,7 @@ def test_a_failure_at_any_step_leaves_the_old_version_whole(spark, source, tmp_p
     before = whole(target)
     assert len(steps) == 16 and steps[0] == "database" and steps[-1] == "switch"
     rules.insert(spark, source, "web_user", spark.createDataFrame([(8, "cem")], "id int, username string"))
-    for k in (0, 1, 4, 6, 7, 8, 10, 11, 12, 13, 15):
+    for k in (0, 3, 5, 7, 9, 11, 13, 15):
         seen = []
 
         def fails(what, k=k, seen=seen):

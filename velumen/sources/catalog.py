@@ -39,21 +39,23 @@ def references_held(tables: dict[str, DataFrame]) -> DataFrame:
     where each of its values is found there. Each table is read once for its unique columns, once for each candidate.
     """
     named = lambda c: c.split("_", 1)[1] if "_" in c and c.endswith("key") else None
-    unique = {}
+    unique: dict[str, list[tuple[str, str]]] = {}
     for t, df in tables.items():
         keys = [c for c in df.columns if named(c)]
         seen = df.agg(F.count("*").alias("n"), *[F.count_distinct(c).alias(c) for c in keys]).first()  # one row a table
-        unique |= {named(c): (t, c) for c in keys if seen[c] == seen.n}
+        for c in keys:
+            if seen[c] == seen.n:
+                unique.setdefault(named(c), []).append((t, c))
     spark = next(iter(tables.values())).sparkSession
     out = spark.createDataFrame([], "relation string, columns string, target string")
     for t, df in tables.items():
         for c in df.columns:
-            parent = unique.get(named(c))
-            if parent is None or parent[0] == t:
-                continue
-            lost = df.where(F.col(c).isNotNull()).join(tables[parent[0]].select(F.col(parent[1]).alias("_parent")), F.col(c) == F.col("_parent"), "left_anti")
-            held = lost.limit(1).agg(F.count("*").alias("n")).where("n = 0")
-            out = out.unionByName(held.select(F.lit(t).alias("relation"), F.lit(c).alias("columns"), F.lit(".".join(parent)).alias("target")))
+            for parent in unique.get(named(c), []):
+                if parent[0] == t:
+                    continue
+                lost = df.where(F.col(c).isNotNull()).join(tables[parent[0]].select(F.col(parent[1]).alias("_parent")), F.col(c) == F.col("_parent"), "left_anti")
+                held = lost.limit(1).agg(F.count("*").alias("n")).where("n = 0")
+                out = out.unionByName(held.select(F.lit(t).alias("relation"), F.lit(c).alias("columns"), F.lit(".".join(parent)).alias("target")))
     return out
 
 
