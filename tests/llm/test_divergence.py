@@ -55,7 +55,7 @@ def corpus(n=300, sources=6):
     return [(i, " ".join(rng.choice(words, rng.integers(0, 40))), ("en", "fr")[i % 2], f"s{int(rng.integers(0, sources))}") for i in range(n)]
 
 
-@pytest.mark.parametrize("options", [{}, {"min_docs": 3, "top": 4}, {"min_docs": 5, "chunk": 5, "block": 2}, {"min_docs": 5, "chunk": 1, "block": 1}])
+@pytest.mark.parametrize("options", [{}, {"min_docs": 3, "top": 4}, {"min_docs": 5, "chunk": 5, "block": 2}])
 def test_against_slow_version(spark, options):
     check(spark, corpus(), **options)
 

@@ -54,7 +54,7 @@ def corpus(n=120):
     return docs
 
 
-@pytest.mark.parametrize("options", [{}, {"min_docs": 10}, {"keep": "first"}, {"keep": "first", "min_docs": 3, "min_points": 2}, {"min_points": 0}, {"min_docs": 3, "hot": 1}, {"min_docs": 3, "hot": 10**9}])
+@pytest.mark.parametrize("options", [{"min_docs": 10}, {"keep": "first"}, {"keep": "first", "min_docs": 3, "min_points": 2, "hot": 1}, {"min_points": 0, "hot": 10**9}])
 def test_against_slow_version(spark, options):
     check(spark, corpus(), **options)
 

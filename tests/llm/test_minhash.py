@@ -129,7 +129,7 @@ def template(n, common=60, own=17, seed=0):
     return [(i, " ".join(shared + [f"o{seed}x{i}x{j}" for j in range(own)])) for i in range(n)]
 
 
-@pytest.mark.parametrize("n", [250, 1000])
+@pytest.mark.parametrize("n", [1000])
 def test_documents_of_one_template_do_not_ask_each_other(spark, monkeypatch, n):
     asked = []
     whole = minhash._mixed
@@ -142,7 +142,7 @@ def test_documents_of_one_template_do_not_ask_each_other(spark, monkeypatch, n):
     assert asked[0].count() <= 2 * n
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", [0, 1])
 def test_similar_templates_against_brute_force(spark, monkeypatch, seed):
     """Buckets of many components, with pairs on both sides of the threshold."""
     monkeypatch.setattr(minhash, "FEW", 2)

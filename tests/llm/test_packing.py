@@ -87,3 +87,22 @@ def test_tokenizers_that_keep_white_space_are_refused(spark, tmp_path):
     odd.save(f"{tmp_path}/odd.json")
     with pytest.raises(ValueError):
         Memo(f"{tmp_path}/odd.json")
+
+
+def test_conversations_in_which_only_the_last_answer_bears_loss(spark, sf, tokenizer):
+    """The whole table, under a limit of loss-bearing tokens that stops sequences before the limit of tokens does."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").toPandas().sort_values(["conv_id", "turn"])
+    docs = []
+    for i, part in turns.groupby("conv_id"):
+        texts = [t or "" for t in part["text"]]
+        docs.append((int(i), " ".join(texts), len(brute(tokenizer, " ".join(texts[:-1]))) - 1))
+    limit = {"capacity": 256, "max_loss": 48, "max_segments": 8}
+    rows = pack(spark.createDataFrame(docs, "doc_id long, text string, lf long").repartition(2), loss_from_col="lf", **limit).collect()
+    verify(rows, docs, tokenizer, 256, 8)
+    from_, loss, used = {i: n for i, _, n in docs}, defaultdict(int), defaultdict(int)
+    for r in rows:
+        loss[r.sequence_id] += max(0, r.start + r.length - max(r.start, from_[r.doc_id]))
+        used[r.sequence_id] += r.length
+    assert max(loss.values()) <= 48 and sum(n >= 40 and used[s] < 256 for s, n in loss.items()) > 0
+    free = pack(spark.createDataFrame(docs, "doc_id long, text string, lf long").repartition(2), loss_from_col="lf", capacity=256, max_segments=8).collect()
+    assert len({r.sequence_id for r in free}) < len(used)

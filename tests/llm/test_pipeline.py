@@ -54,3 +54,34 @@ def test_each_stage_on_what_the_last_one_kept(spark, sf, tmp_path):
 def test_run_gives_the_packed_rows(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0
+
+
+def stages(spark, docs, folder):
+    """What each stage returns, each on the written result of the last one."""
+    out = []
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, folder)
+        got.write.parquet(f"{folder}/{name}")
+        docs = spark.read.schema(got.schema).parquet(f"{folder}/{name}")
+        out.append(docs)
+    return out
+
+
+def test_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows and columns whose names the operators use themselves; then no rows at all."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, n long, key string, id long, score double, rank int, slot long, words array<string>"
+    rest = (1, "k", 2, 0.5, 3, 4, ["w"])
+    rows = [(i, f"some words of text {i} and {i * i}", "en", "a", 9, *rest) for i in range(8)] + [(None, None, None, None, None, *([None] * 7)), (9, "", None, "a", 0, *rest), (9, "", None, "a", 0, *rest), (10, None, "en", None, 0, *rest), (None, "lone words", None, None, 1, *rest)]
+    for name, docs, labels in (("some", rows, [(1, 1, 0), (2, 0, None), (None, None, 1)]), ("none", [], [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.createDataFrame(docs, kind)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        got = stages(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        assert all(g.columns == docs.columns for g in got[:-1])
+        kept = [g.count() for g in got[:-1]]
+        if name == "none":
+            assert kept == [0, 0, 0, 0] and got[-1].count() == 0
+        else:
+            assert kept[:3] == [13, 13, 13]  # nothing here is toxic, near another or repeated
+            assert {r.doc_id for r in got[3].collect()} <= {None, *range(8)} and got[4].count() >= got[3].count()

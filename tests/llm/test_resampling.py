@@ -47,7 +47,7 @@ def corpus(n=200):
     return [(i, " ".join(rng.choice(words, rng.integers(0, 80)))) for i in range(n)]
 
 
-@pytest.mark.parametrize("options", [{}, {"percent": 100, "min_words": 0}, {"runs": 3, "buckets": 97}, {"percent": 33, "min_words": 40, "seed": "other"}])
+@pytest.mark.parametrize("options", [{}, {"percent": 100, "min_words": 0}, {"runs": 3, "buckets": 97, "percent": 33, "min_words": 40, "seed": "other"}])
 def test_against_slow_version(spark, options):
     check(spark, corpus(), ["the w1 w2 été", "w3 " * 30, None, ""], **options)
 
