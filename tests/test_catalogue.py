@@ -5,7 +5,9 @@ import math
 import duckdb
 import pytest
 
+from velumen.operators import search
 from velumen.plans import catalogue
+from velumen.sources import schema
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -37,6 +39,13 @@ def test_rows_only(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
 
 
+def test_a_text_finds_every_image_in_reach(spark, sf):
+    """No distance is above 2: each visible image with a vector is found."""
+    seen = schema.images(spark, sf).where(search.visible()).where("embedding IS NOT NULL")
+    got = catalogue.QUERIES["search_by_text"](spark, sf)
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in seen.collect())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
