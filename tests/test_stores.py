@@ -265,6 +265,33 @@ def test_two_workers_commit_a_slice_once(spark, tmp_path):
     assert sum(done) == 5 and jobs[0].vectors().count() == 40 and jobs[1].progress().where("not done").count() == 0
 
 
+def test_jobs_do_not_grow_with_the_slices(spark, tmp_path):
+    df = spark.createDataFrame([(i, None, f"t{i}") for i in range(90)], "id long, embedding array<float>, source string")
+    job, seen = reindex.Job(spark, at(tmp_path)), []
+    assert job.start(df, size=3)["slices"] == 30
+    assert job.run(encoder.HashEncoder(4), most=2, seed=1, told=seen.append) == 2 and len(seen) == 2
+    assert job.run(encoder.HashEncoder(4), seed=2, told=seen.append) == 28 and sorted(seen) == list(range(30))
+    assert len(job.journal.entries()) == 1 + 2 + 5  # waves of 1 and 1, then of 1, 2, 4, 8 and 13
+    assert not [d for d in (tmp_path / "store" / "inputs").rglob("*") if d.is_dir() and "slice=" in d.name]
+    assert sorted(r.input for r in job.vectors().collect()) == sorted(f"t{i}" for i in range(90))
+
+
+def test_a_wave_that_another_worker_has_begun_commits_the_rest(spark, tmp_path):
+    df = spark.createDataFrame([(i, None, f"t{i}") for i in range(60)], "id long, embedding array<float>, source string")
+    one, two = (reindex.Job(spark, at(tmp_path)) for _ in range(2))
+    one.start(df, size=10)
+    said = []
+
+    def meanwhile(k):
+        said.append(k)
+        if len(said) == 3:  # the second wave has two slices; the other worker commits the first of them
+            assert two.run(encoder.HashEncoder(4), most=1, seed=5) == 1
+
+    assert one.run(encoder.HashEncoder(4), seed=5, told=meanwhile) == 5
+    assert [e["whole"] for e in one.journal.entries() if e["kind"] == "slices"].count(False) == 1
+    assert one.progress().where("not done").count() == 0 and sorted(r.input for r in one.vectors().collect()) == sorted(f"t{i}" for i in range(60))
+
+
 # Layouts -----------------------------------------------------------------------------------------------------------
 
 

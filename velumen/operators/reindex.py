@@ -2,7 +2,9 @@
 
 A job writes down once which inputs it has to embed, each different input once, dealt to slices by their hash. A slice that
 is embedded is written and committed to a journal; a job that starts again, or several at once, leave committed slices alone. Of
-two workers that embed one slice at a time, one is committed.
+two workers that embed one slice at a time, one is committed. Small slices go in waves, each one Spark job and one entry of
+the journal: the first has one slice, the next twice as many, up to the inputs of a full slice. So what breaks loses little, and the number of
+jobs does not grow with that of the slices.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from velumen.sources.journal import Journal
 BATCH = 10
 #: Inputs of a slice.
 SLICE = 100_000
+#: Slices of a wave at most.
+WAVE = 4096
 
 
 def backlog(images: DataFrame, column: str = "embedding", *, seed: int | None = None, limit: int | None = BATCH) -> DataFrame:
@@ -58,9 +62,9 @@ class Job:
     def _started(self) -> dict | None:
         return next((e for e in self.journal.entries() if e["kind"] == "start"), None)
 
-    def _slices(self) -> dict[int, str]:
-        """Committed slices, and where their vectors are."""
-        return {e["slice"]: e["path"] for e in self.journal.entries() if e["kind"] == "slice"}
+    @staticmethod
+    def _committed(entries: list[dict]) -> set[int]:
+        return {k for e in entries if e["kind"] == "slices" for k in e["slices"]}
 
     def start(self, images: DataFrame, *, text_col: str = "source", column: str = "embedding", size: int = SLICE) -> dict:
         """Write down the different inputs of images without a vector, unless that was done before."""
@@ -70,8 +74,9 @@ class Job:
         todo = images.where(F.col(column).isNull()).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("input")).distinct()
         slices = max(1, -(-todo.count() // size))
         path = f"{self.root}/inputs/{uuid.uuid4().hex}"
-        todo.withColumn("slice", F.pmod(F.xxhash64("input"), F.lit(slices)).cast("int")).repartition("slice").write.partitionBy("slice").parquet(path)
-        self.journal.commit(lambda now: None if now else {"kind": "start", "slices": slices, "path": path})
+        # In the order of slices, so that a wave reads the row groups that can hold its own; a folder for each would be listed again and again.
+        todo.withColumn("slice", F.pmod(F.xxhash64("input"), F.lit(slices)).cast("int")).repartitionByRange("slice").sortWithinPartitions("slice").write.parquet(path)
+        self.journal.commit(lambda now: None if now else {"kind": "start", "slices": slices, "size": size, "path": path})
         return self._started()
 
     def run(self, encoder: Encoder, *, most: int | None = None, parallel: int | None = None, seed: int | None = None, told: Callable[[int], None] = lambda slice_: None) -> int:
@@ -82,40 +87,55 @@ class Job:
         started = self._started()
         if started is None:
             raise RuntimeError("the job has not been started")
-        todo = [k for k in range(started["slices"]) if k not in self._slices()]
-        random.Random(seed).shuffle(todo)
-        done = 0
-        for k in todo:
-            if most is not None and done >= most:
+        order = list(range(started["slices"]))
+        random.Random(seed).shuffle(order)
+        largest = max(1, min(WAVE, SLICE // started["size"]))
+        done, waves = 0, 0
+        while most is None or done < most:
+            gone = self._committed(self.journal.entries())  # another worker may have been faster
+            order = [k for k in order if k not in gone]
+            wave = order[: min(largest, 1 << waves, len(order) if most is None else most - done)]
+            if not wave:
                 break
-            if k in self._slices():  # another worker was faster
-                continue
-            told(k)
-            inputs = self.spark.read.schema("input string, slice int").parquet(started["path"]).where(F.col("slice") == k).select("input")
+            for k in wave:
+                told(k)
+            inputs = self.spark.read.schema("input string, slice int").parquet(started["path"]).where(F.col("slice").isin(wave))
             path = f"{self.root}/vectors/{uuid.uuid4().hex}"
             self._embedded(inputs.repartition(parallel) if parallel else inputs, encoder).write.parquet(path)
-            done += self.journal.commit(lambda now, k=k, path=path: None if any(e["kind"] == "slice" and e["slice"] == k for e in now) else {"kind": "slice", "slice": k, "path": path}) is not None
+
+            def entry(now: list[dict], wave=wave, path=path) -> dict | None:
+                left = sorted(set(wave) - self._committed(now))
+                return {"kind": "slices", "slices": left, "whole": len(left) == len(wave), "path": path} if left else None
+
+            done += len((self.journal.commit(entry) or {"slices": []})["slices"])
+            waves += 1
         return done
 
     @staticmethod
     def _embedded(inputs: DataFrame, encoder: Encoder) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame({"input": batch["input"], "embedding": encoder.embed_batch(batch["input"].tolist())})
+                yield pd.DataFrame({"input": batch["input"], "embedding": encoder.embed_batch(batch["input"].tolist()), "slice": batch["slice"]})
 
-        return inputs.mapInPandas(run, "input string, embedding array<float>")
+        return inputs.mapInPandas(run, "input string, embedding array<float>, slice int")
 
     def progress(self) -> DataFrame:
         """(slice, done) of all slices."""
-        started, done = self._started(), self._slices()
+        started, done = self._started(), self._committed(self.journal.entries())
         n = started["slices"] if started else 0
         return self.spark.createDataFrame([(k, k in done) for k in range(n)], "slice int, done boolean")
 
     def vectors(self) -> DataFrame:
         """(input, embedding) of the committed slices."""
-        paths = list(self._slices().values())
-        kind = "input string, embedding array<float>"
-        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+        kind = "input string, embedding array<float>, slice int"
+        waves = [e for e in self.journal.entries() if e["kind"] == "slices"]
+        found = self.spark.createDataFrame([], kind)
+        if whole := [e["path"] for e in waves if e["whole"]]:
+            found = self.spark.read.schema(kind).parquet(*whole)
+        for e in waves:
+            if not e["whole"]:  # others committed some of its slices
+                found = found.unionByName(self.spark.read.schema(kind).parquet(e["path"]).where(F.col("slice").isin(e["slices"])))
+        return found.drop("slice")
 
     def filled(self, images: DataFrame, *, text_col: str = "source", column: str = "embedding") -> DataFrame:
         """images with the vectors there are so far where they had none; equal inputs have equal ones."""
